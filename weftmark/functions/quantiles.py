@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmark.session import materialize
+
 BINS = 4096
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
-    """One row (total, q0, q1, ...) of linearly interpolated quantiles.
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(v, c): the distinct values of a column as double and how often each occurs.
+
+    Written once to the shared folder: the rounds below read this one narrow table instead of running
+    whatever is behind ``df`` again. Equal values are merged before the shuffle.
+    """
+    values = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    return materialize(values.groupBy("v").agg(F.count("*").alias("c")), "value-counts")
+
+
+def exact_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
+    """One row (total, q0, q1, ...) of linearly interpolated quantiles of a ``value_counts`` table.
 
     Two rounds of counting in 4096 bins find the cells that hold the wanted ranks; only the distinct values
-    inside those cells (one 16-millionth of the range each) are put in order. Every round is a grouped count
+    inside those cells (one 16-millionth of the range each) are put in order. Every round is a grouped sum
     with map-side combining, so at most 4096 rows per rank meet in one task until the last step.
     """
-    values = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))).scalar()
+    span = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))).scalar()
 
     def cell(offset: Column, width: Column) -> Column:
         raw = F.floor(F.try_divide(offset, width)).cast("int")
         return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), raw)), F.lit(0))
 
-    ranked = values.withColumn("s", span)
+    ranked = counts.withColumn("s", span)
     width = (F.col("s.hi") - F.col("s.lo")) / BINS
     ranked = ranked.withColumn("b1", cell(F.col("v") - F.col("s.lo"), width))
     ranked = ranked.withColumn("b2", cell(F.col("v") - F.col("s.lo") - F.col("b1") * width, width / BINS))
-    ranked = ranked.select("v", "b1", "b2", F.col("s.n").alias("n"))
+    ranked = ranked.select("v", "c", "b1", "b2", F.col("s.n").alias("n"))
 
     wanted = F.array(
         *[
@@ -48,27 +61,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
             .withColumn("before", F.col("at"))
         )
 
-    first = ranked.groupBy("b1").agg(F.count("v").alias("c"), F.max("n").alias("n"))
+    first = ranked.groupBy("b1").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
     first = first.withColumn("before", F.lit(0).cast("long")).select(
         "b1", "c", "before", F.explode(wanted).alias("w")
     )
     first = pick(first.select("b1", "c", "before", "w.slot", "w.rank"), ["slot"], "b1")
     cells1 = first.agg(F.collect_list(F.struct("slot", "rank", "before", "b1"))).scalar()
 
-    second = ranked.select(
-        "b2", F.explode(F.filter(cells1, lambda c: c["b1"] == F.col("b1"))).alias("c1")
-    ).select("b2", "c1.*")
-    second = second.groupBy("slot", "rank", "before", "b1", "b2").agg(F.count("*").alias("c"))
+    def inside(cells: Column, *path: str) -> DataFrame:
+        """Rows that lie in a wanted cell, once per rank wanted there."""
+        marked = ranked.withColumn("cells", cells)
+        same = lambda c: reduce(lambda a, b: a & b, [c[p] == F.col(p) for p in path])
+        return marked.select("v", "c", "b2", F.inline(F.filter("cells", same).alias("c")))
+
+    second = inside(cells1, "b1")
+    second = second.groupBy("slot", "rank", "before", "b1", "b2").agg(F.sum("c").alias("c"))
     second = pick(second, ["slot"], "b2")
     cells2 = second.agg(F.collect_list(F.struct("slot", "rank", "before", "b1", "b2"))).scalar()
 
-    last = ranked.select(
-        "v",
-        F.explode(
-            F.filter(cells2, lambda c: (c["b1"] == F.col("b1")) & (c["b2"] == F.col("b2")))
-        ).alias("c2"),
-    ).select("v", "c2.*")
-    last = last.groupBy("slot", "rank", "before", "v").agg(F.count("*").alias("c"))
+    last = inside(cells2, "b1", "b2").drop("b2")
+    last = last.groupBy("slot", "rank", "before", "v").agg(F.sum("c").alias("c"))
     last = pick(last, ["slot"], "v")
 
     out = last.agg(

@@ -153,16 +153,17 @@ def lagged_correlation(summary: DataFrame, params: DetectorParams = DetectorPara
     paired = targets.join(predictors, "at").groupBy("predictor_metric", "target_metric", "lag_weeks")
     stats = paired.agg(
         F.count("*").alias("n_observations"),
-        F.corr("x", "y").alias("r"),
-        F.var_pop("x").alias("vx"),
-        F.var_pop("y").alias("vy"),
+        F.covar_pop("x", "y").alias("cov"),
+        F.stddev_pop("x").alias("sx"),
+        F.stddev_pop("y").alias("sy"),
     )
-    flat = (F.col("vx") == 0) | (F.col("vy") == 0)
+    # corr() itself divides by zero on constant input
+    r = F.coalesce(F.try_divide("cov", F.col("sx") * F.col("sy")), F.lit(0.0))
     return stats.where(F.col("n_observations") >= params.min_indicator_pairs).select(
         "predictor_metric",
         "target_metric",
         "lag_weeks",
-        F.when(flat, 0.0).otherwise(F.col("r")).alias("correlation"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"),
         "n_observations",
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftmark.functions.numbers import half_up, price, ratio
 from weftmark.functions.ordering import top_by
-from weftmark.functions.quantiles import exact_quantiles
+from weftmark.functions.quantiles import exact_quantiles, value_counts
 from weftmark.operators.clean import orders_clean
 from weftmark.operators.marts import week_of
 
@@ -97,19 +97,19 @@ def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def iqr_outliers(orders: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """One row: Tukey fences of the price column and how many prices lie outside."""
-    prices = orders.select(price(F.col("unit_price")).cast("double").alias("p")).where("p IS NOT NULL")
-    quartiles = exact_quantiles(prices, "p", [0.25, 0.75])
+    prices = value_counts(orders.select(price(F.col("unit_price")).alias("p")), "p")
+    quartiles = exact_quantiles(prices, [0.25, 0.75])
     reach = (F.col("q1") - F.col("q0")) * multiplier
     fences = quartiles.select(
-        F.struct((F.col("q0") - reach).alias("lower"), (F.col("q1") + reach).alias("upper"), "total")
+        F.struct((F.col("q0") - reach).alias("lower"), (F.col("q1") + reach).alias("upper"))
     ).scalar()
     placed = prices.withColumn("f", fences)
-    outside = (F.col("p") < F.col("f.lower")) | (F.col("p") > F.col("f.upper"))
+    outside = (F.col("v") < F.col("f.lower")) | (F.col("v") > F.col("f.upper"))
     return placed.agg(
         F.max("f.lower").alias("lower_bound"),
         F.max("f.upper").alias("upper_bound"),
-        F.count_if(outside).alias("outliers"),
-        F.count("*").alias("total"),
+        F.coalesce(F.sum(F.when(outside, F.col("c"))), F.lit(0)).alias("outliers"),
+        F.sum("c").alias("total"),
     ).where("total > 3")
 
 

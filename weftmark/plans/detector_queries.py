@@ -170,12 +170,12 @@ def decompose_volume_yield(spark, sf_dir):
 
 
 def _thousands_sql(value: str) -> str:
-    return f"format('{{:,}}', CAST(floor({value} + 0.5e0) AS BIGINT))"
+    return f"format('{{:,}}', CAST(floor({value} + 0.500001e0) AS BIGINT))"
 
 
 def _fixed_sql(value: str, digits: int) -> str:
     scale = f"{10**digits}e0"
-    return f"printf('%.{digits}f', floor({value} * {scale} + 0.5e0) / {scale})"
+    return f"printf('%.{digits}f', floor({value} * {scale} + 0.500001e0) / {scale})"
 
 
 _NARRATIVE = f"""CASE WHEN abs(gdv_delta) >= 10000 THEN

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from weftmark.config import DetectorParams
 
 MAX_ADHOC_ROWS = 50  # fixed value
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 RAW_SCHEMAS = {
     "orders": (
@@ -54,16 +55,16 @@ def write_csv_table(df: DataFrame, folder: str, table: str) -> None:
 
 def write_event_log(events: DataFrame, path: str) -> None:
     """Append run events as JSON lines."""
-    events.write.mode("append").json(path)
+    events.write.mode("append").option("timestampFormat", JSON_TIME).json(path)
 
 
 def read_event_log(spark: SparkSession, path: str, schema: str | StructType = EVENT_SCHEMA) -> DataFrame:
     """Run events from JSON lines; fields missing in a line are null."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("timestampFormat", JSON_TIME).json(path)
 
 
 def stream_event_log(spark: SparkSession, path: str, schema: str | StructType = EVENT_SCHEMA) -> DataFrame:
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(schema).option("timestampFormat", JSON_TIME).json(path)
 
 
 def save_with_provenance(
@@ -91,14 +92,12 @@ def save_with_provenance(
         "row_count": spark.table(table).count(),
         "columns": df.columns,
     }
-    text = json.dumps(comment).replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('comment' = '{text}')")
+    spark.sql(f"COMMENT ON TABLE {table} IS :note", args={"note": json.dumps(comment)})
     return table
 
 
 def read_provenance(spark: SparkSession, table: str) -> dict:
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table} ('comment')").collect()
-    return json.loads(rows[0]["value"])
+    return json.loads(spark.catalog.getTable(table).description)
 
 
 def adhoc_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame], limit: int = MAX_ADHOC_ROWS) -> DataFrame:
