@@ -45,14 +45,16 @@ def student_two_sided_p(t: Column, df: Column) -> Column:
 def char_entropy(text: Column) -> Column:
     """Shannon entropy in bits of the characters of a string; 0 for an empty one.
 
-    Each distinct character is counted by removing it from the string, which costs one linear pass per
-    distinct character and stays inside the string functions.
+    With counts c over n characters the entropy is log2(n) - sum(c log2 c) / n. A distinct character is
+    counted by how many bytes the string loses without it: one linear pass each, all inside string functions.
     """
-    size = F.length(text)
     chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
 
     def add(total: Column, c: Column) -> Column:
-        share = (size - F.length(F.replace(text, c, F.lit("")))) / size
-        return total - share * F.log2(share)
+        lost = F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))
+        count = lost / F.octet_length(c)
+        return total + count * F.log2(count)
 
-    return F.when(size > 0, F.aggregate(chars, F.lit(0.0), add)).when(size == 0, F.lit(0.0))
+    size = F.length(text)
+    entropy = F.log2(size) - F.aggregate(chars, F.lit(0.0), add) / size
+    return F.when(size > 0, F.greatest(F.lit(0.0), entropy)).when(size == 0, F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,15 @@ RULES = {
     ),
 }
 CATEGORIES = tuple(RULES)
+# Text that every match of a category holds; looking for it first spares most rows the pattern.
+REQUIRED_TEXT = {
+    "email": ("@",),
+    "ssn": ("-",),
+    "date_of_birth": ("-",),
+    "url": ("http",),
+    "api_key": ("sk-", "AKIA", "ghp_", "AIza"),
+    "password_hash": ("$2",),
+}
 ENTROPY_CHECKED = ("credit_card", "api_key", "password_hash")
 MIN_ENTROPY = 0.1
 MIN_ZIP_LENGTH = 5
@@ -63,7 +73,12 @@ def text_columns(df: DataFrame, hints: Sequence[str] | None = None) -> list[str]
 
 def found(text: Column, category: str) -> Column:
     """All matches of a category in a text. ``(?U)`` gives \\w, \\d, \\s and \\b their Unicode meaning."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + RULES[category][1]), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit("(?U)" + RULES[category][1]), F.lit(0))
+    needed = REQUIRED_TEXT.get(category)
+    if needed is None:
+        return matches
+    possible = reduce(lambda a, b: a | b, [text.contains(n) for n in needed])
+    return F.when(possible, matches).otherwise(F.array().cast("array<string>"))
 
 
 def keep_match(category: Column, match: Column) -> Column:

@@ -166,18 +166,21 @@ def keyword_route(
     Ties keep the label order, no hit gives the default, and some phrases give every label. The hints are a
     parameter, so scoring is a projection: no join and no shuffle.
     """
-    lowered = F.lower(F.col(text))
+    # a column of its own, so that it is computed once per row and not once per hint
+    texts = texts.withColumn("_lowered", F.lower(F.col(text)))
+    lowered = F.col("_lowered")
 
     def hits(words: Sequence[str]) -> Column:
         return sum((lowered.contains(w).cast("int") for w in words), F.lit(0))
 
-    scored = F.array(
+    scores = F.array(
         *[
             F.struct((-hits(words)).alias("rank"), F.lit(i).alias("place"), F.lit(label).alias("label"))
             for i, (label, words) in enumerate(hints.items())
         ]
     )
-    positive = F.array_sort(F.filter(scored, lambda s: s["rank"] < 0))
+    texts = texts.withColumn("_scored", F.array_sort(F.filter(scores, lambda s: s["rank"] < 0)))
+    positive = F.col("_scored")
     chosen = F.transform(positive, lambda s: s["label"])
     everything = F.lit(False)
     for phrase in phrases:
@@ -188,4 +191,5 @@ def keyword_route(
         .otherwise(F.array(F.lit(default)))
     )
     best = F.when(F.size(positive) > 0, -positive[0]["rank"]).otherwise(0)
-    return texts.withColumn("routes", routes).withColumn("label", F.col("routes")[0]).withColumn("hits", best)
+    routed = texts.withColumn("routes", routes).withColumn("hits", best).drop("_lowered", "_scored")
+    return routed.withColumn("label", F.col("routes")[0])
