@@ -1,43 +1,55 @@
-"""Sequence numbers and gaps inside groups of any size."""
+"""Sequence numbers and gaps inside groups of any size, and deterministic top rows.
+
+A key (a run, say) may hold a large part of all rows, so its rows are never brought to one task. They are cut
+into time slices: rows meet only inside (key, second), seconds are summed up inside (key, hour), and hours
+inside the key. Every window below runs over one of these three levels.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_HOUR, _SECOND = "_hour", "_second"
+
+
+def _sliced(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn(_HOUR, F.date_trunc("hour", F.col(ts))).withColumn(_SECOND, F.date_trunc("second", F.col(ts)))
+
+
+def _before_in_hour(key: str):
+    return Window.partitionBy(key, _HOUR).orderBy(_SECOND).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _before_in_key(key: str):
+    return Window.partitionBy(key).orderBy(_HOUR).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def sequence_numbers(df: DataFrame, key: str, ts: str, tie: str, name: str = "seq") -> DataFrame:
+    """Number the rows of each key by (ts, tie), starting at 1."""
+    rows = _sliced(df, ts)
+    seconds = rows.groupBy(key, _HOUR, _SECOND).agg(F.count("*").alias("_n"))
+    hours = seconds.groupBy(key, _HOUR).agg(F.sum("_n").alias("_n"))
+    hours = hours.select(key, _HOUR, F.coalesce(F.sum("_n").over(_before_in_key(key)), F.lit(0)).alias("_hours"))
+    earlier = F.coalesce(F.sum("_n").over(_before_in_hour(key)), F.lit(0))
+    starts = seconds.withColumn("_seconds", earlier).join(hours, [key, _HOUR])
+    starts = starts.select(key, _SECOND, (F.col("_hours") + F.col("_seconds")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(key, _SECOND).orderBy(ts, tie))
+    numbered = rows.withColumn("_inside", inside).join(starts, [key, _SECOND])
+    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(_HOUR, _SECOND, "_inside", "_start")
+
 
-def _sliced(df: DataFrame, ts: str, slice_unit: str) -> DataFrame:
-    return df.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts)))
-
-
-def sequence_numbers(
-    df: DataFrame, key: str, ts: str, tie: str, name: str = "seq", slice_unit: str = "hour"
-) -> DataFrame:
-    """Number the rows of each key by (ts, tie), starting at 1.
-
-    A key may hold a large part of all rows, so it is never sorted in one task: rows are numbered inside
-    (key, time slice), and the slice's starting number comes from the counts of the earlier slices.
-    """
-    rows = _sliced(df, ts, slice_unit)
-    counts = rows.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(key, "_slice", F.coalesce(earlier, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(ts, tie))
-    numbered = rows.withColumn("_inside", inside).join(starts, [key, "_slice"])
-    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop("_slice", "_inside", "_start")
-
-
-def previous_value(
-    df: DataFrame, key: str, ts: str, tie: str, name: str = "previous_ts", slice_unit: str = "hour"
-) -> DataFrame:
-    """The ``ts`` of the preceding row of the key, null for its first row; same slicing as above."""
-    rows = _sliced(df, ts, slice_unit)
-    lasts = rows.groupBy(key, "_slice").agg(F.max(ts).alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
-    lasts = lasts.select(key, "_slice", before.alias("_before"))
-    inside = F.lag(ts).over(Window.partitionBy(key, "_slice").orderBy(ts, tie))
-    joined = rows.withColumn("_inside", inside).join(lasts, [key, "_slice"])
-    return joined.withColumn(name, F.coalesce("_inside", "_before")).drop("_slice", "_inside", "_before")
+def previous_value(df: DataFrame, key: str, ts: str, tie: str, name: str = "previous_ts") -> DataFrame:
+    """The ``ts`` of the preceding row of the key, null for its first row."""
+    rows = _sliced(df, ts)
+    seconds = rows.groupBy(key, _HOUR, _SECOND).agg(F.max(ts).alias("_last"))
+    hours = seconds.groupBy(key, _HOUR).agg(F.max("_last").alias("_last"))
+    hours = hours.select(key, _HOUR, F.max("_last").over(_before_in_key(key)).alias("_hours"))
+    lasts = seconds.withColumn("_seconds", F.max("_last").over(_before_in_hour(key))).join(hours, [key, _HOUR])
+    lasts = lasts.select(key, _SECOND, F.coalesce("_seconds", "_hours").alias("_before"))
+    inside = F.lag(ts).over(Window.partitionBy(key, _SECOND).orderBy(ts, tie))
+    joined = rows.withColumn("_inside", inside).join(lasts, [key, _SECOND])
+    return joined.withColumn(name, F.coalesce("_inside", "_before")).drop(_HOUR, _SECOND, "_inside", "_before")
 
 
 def top_by(df: DataFrame, by: Column, n: int, *ties: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -88,7 +89,17 @@ def schema_drift(spark, sf_dir):
     )
 
 
-@query("catalog_columns")
+_TABLE_COUNTS = sql.union_columns([f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in inputs.TABLES])
+
+
+@query(
+    "catalog_columns",
+    f"""SELECT DISTINCT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+        WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+        WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS data_type,
+      CAST(ordinal_position AS INT) AS position, n AS row_count
+      FROM information_schema.columns JOIN ({_TABLE_COUNTS}) ON table_name = t""",
+)
 def catalog_columns(spark, sf_dir):
     return catalog.catalog_columns(inputs.all_tables(spark, sf_dir))
 
@@ -126,14 +137,16 @@ def adhoc_sql(spark, sf_dir):
     return files.adhoc_sql(spark, text, inputs.raw_retail(spark, sf_dir))
 
 
-@query("save_with_provenance")
+@query(
+    "save_with_provenance",
+    sql.with_(sql.GOLD) + "SELECT *, (SELECT count(*) FROM weekly_sales) AS noted_rows FROM weekly_sales",
+)
 def save_with_provenance(spark, sf_dir):
-    path = workspace(spark, "weekly_sales")
-    table = "weftmark_" + path.rsplit("-", 1)[-1]
+    table = "weftmark_" + uuid.uuid4().hex[:12]
     silver = clean.silver_orders(inputs.raw_orders(spark, sf_dir))
-    files.save_with_provenance(marts.gold_weekly_sales(silver), table, "weekly sales", path=path)
+    files.save_with_provenance(marts.gold_weekly_sales(silver), table, "weekly sales")
     note = files.read_provenance(spark, table)
-    return spark.table(table).withColumn("noted_rows", F.lit(note["row_count"]))
+    return spark.table(table).withColumn("noted_rows", F.lit(note["row_count"]).cast("bigint"))
 
 
 _EVENT_LOG = """SELECT event_id, user_id AS run_id, ts, event_type AS agent,
@@ -148,13 +161,28 @@ _EVENT_LOG = """SELECT event_id, user_id AS run_id, ts, event_type AS agent,
   FROM events"""
 
 
-@query("event_log_round_trip", _EVENT_LOG)
-def event_log_round_trip(spark, sf_dir):
+@query("event_log_read", _EVENT_LOG)
+def event_log_read(spark, sf_dir):
     path = workspace(spark, "event-log")
     files.write_event_log(inputs.run_events(spark, sf_dir), path)
     return comparable(files.read_event_log(spark, path)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "event_log_write",
+    f"""SELECT agent, count(*) AS lines, sum(tokens_in)::BIGINT AS tokens_in,
+      strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS newest FROM ({_EVENT_LOG}) GROUP BY agent""",
+)
+def event_log_write(spark, sf_dir):
+    """The written lines as plain text: one JSON object each."""
+    path = workspace(spark, "event-log")
+    files.write_event_log(inputs.run_events(spark, sf_dir), path)
+    lines = spark.read.text(path).select(F.json_tuple("value", "agent", "tokens_in", "ts").alias("agent", "tokens", "ts"))
+    return lines.groupBy("agent").agg(
+        F.count("*").alias("lines"), F.sum(F.col("tokens").cast("bigint")).alias("tokens_in"), F.max("ts").alias("newest")
+    )
+
+
 @query(
     "sample_rows",
     sql.with_(sql.RAW_ORDERS)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftmark.config import DetectorParams
+from weftmark.session import workspace
 
 MAX_ADHOC_ROWS = 50  # fixed value
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -68,28 +70,34 @@ def stream_event_log(spark: SparkSession, path: str, schema: str | StructType =
 
 
 def save_with_provenance(
-    df: DataFrame, table: str, description: str = "", params: DetectorParams = DetectorParams(),
-    generator: str = "weftmark", path: str | None = None,
+    df: DataFrame,
+    table: str,
+    description: str = "",
+    params: DetectorParams = DetectorParams(),
+    generator: str = "weftmark",
+    folder: str | None = None,
 ) -> str:
     """Overwrite a table and record where it came from in its comment; an empty input is skipped.
 
-    With ``path`` the table's files lie there, else in the session's warehouse. The row count is read back
-    from the written table, so the input is computed once.
+    The rows are computed and written once, to a new folder, and counted on the way. Only then does the table
+    name move to that folder, so readers never see a half-written table.
     """
-    if df.isEmpty():
-        return table
     spark = df.sparkSession
-    writer = df.write.mode("overwrite").format("parquet")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}" if folder else workspace(spark, table)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    rows = seen.get["rows"]
+    if rows == 0:
+        return table
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.catalog.createTable(table, path=path, source="parquet", schema=df.schema)
     comment = {
         "description": description,
         "generated_by": generator,
         "generated_at": datetime.now(UTC).isoformat(),
         "lookback_weeks": params.lookback_weeks,
         "baseline_weeks": params.baseline_weeks,
-        "row_count": spark.table(table).count(),
+        "row_count": rows,
         "columns": df.columns,
     }
     spark.sql(f"COMMENT ON TABLE {table} IS :note", args={"note": json.dumps(comment)})
