@@ -18,11 +18,14 @@ OUTPUT = (
     "z_score", "iqr_outlier", "cusum_high", "cusum_low", "bayes_change_prob", "ensemble_score",
     "consensus_strength", "n_agreeing_layers", "direction", "severity",
 )
-_SERIES = Window.partitionBy(*SERIES_KEY).orderBy(PERIOD)
+
+
+def _per_series():
+    return Window.partitionBy(*SERIES_KEY).orderBy(PERIOD)
 
 
 def _prior(params: DetectorParams):
-    return _SERIES.rowsBetween(-params.baseline_weeks, -1)
+    return _per_series().rowsBetween(-params.baseline_weeks, -1)
 
 
 def rolling_baseline(series: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
@@ -80,7 +83,7 @@ def cusum(
     minimum (capped at 0). Periods without a baseline add nothing. A carried-in state is where the free sum
     starts.
     """
-    upto = _SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _per_series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.col("z_score")
     rise = F.coalesce(step - params.cusum_slack, F.lit(0.0))
     fall = F.coalesce(-step - params.cusum_slack, F.lit(0.0))

@@ -79,6 +79,14 @@ def _issue(check: str, text: Column) -> list[Column]:
     return [F.lit(check).alias("check"), F.col("table_name"), text.alias("issue"), F.lit(False).alias("fatal")]
 
 
+_ISSUE_SCHEMA = "check string, table_name string, issue string, fatal boolean"
+
+
+def _no_issues(tables: Mapping[str, DataFrame], extra: str = "") -> DataFrame:
+    session = next(iter(tables.values())).sparkSession
+    return session.createDataFrame([], _ISSUE_SCHEMA + extra)
+
+
 def gate_row_counts(tables: Mapping[str, DataFrame | None], params: DetectorParams = DetectorParams()) -> DataFrame:
     """Tables with too few rows. A table given as None could not be read: an issue, but no failure."""
     readable = {name: df for name, df in tables.items() if df is not None}
@@ -110,7 +118,10 @@ def gate_null_fraction(
 ) -> DataFrame:
     """Date and money columns with too many nulls, all columns of a table in one pass."""
     wanted = {t: sorted(set(r.values())) for t, r in _role_columns(tables, ("date", "gdv"), keywords).items()}
-    profile = profile_tables({t: tables[t].select(*cols) for t, cols in wanted.items() if cols})
+    checked = {t: tables[t].select(*cols) for t, cols in wanted.items() if cols}
+    if not checked:
+        return _no_issues(tables)
+    profile = profile_tables(checked)
     share = F.col("null_count") / F.greatest(F.col("row_count"), F.lit(1))
     percent = F.floor(share * 100 + 0.5)
     text = F.format_string(
@@ -125,6 +136,8 @@ def gate_date_coverage(
 ) -> DataFrame:
     """Date columns that span less than half of the lookback period."""
     dates = {t: r["date"] for t, r in _role_columns(tables, ("date",), keywords).items() if r}
+    if not dates:
+        return _no_issues(tables)
     spans = union_all(
         [
             tables[t]
@@ -159,12 +172,7 @@ def gate_metric_types(tables: Mapping[str, DataFrame], keywords: Keywords = ROLE
             lost = F.count_if(value.isNotNull() & value.try_cast("double").isNull())
             row = df.agg(lost.alias("unparsable")).withColumn("table_name", F.lit(table))
             frames.append(row.select(*_issue("metric_type", text), "unparsable"))
-    if not frames:
-        session = next(iter(tables.values())).sparkSession
-        return session.createDataFrame(
-            [], "check string, table_name string, issue string, fatal boolean, unparsable bigint"
-        )
-    return union_all(frames)
+    return union_all(frames) if frames else _no_issues(tables, ", unparsable bigint")
 
 
 def quality_gate(
