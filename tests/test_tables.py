@@ -156,9 +156,9 @@ def test_gate_issues_are_never_fatal(spark, raw):
     tables = {"orders": raw["orders"], "gone": None}
     keywords = {**gate.ROLE_KEYWORDS, "gdv": ("unit_price",)}
     issues = gate.quality_gate(tables, DetectorParams(), keywords)
-    assert {r.check for r in issues.collect()} == {"row_count", "null_fraction", "metric_type"}
+    assert {r.check for r in issues.collect()} == {"row_count", "metric_type"}
     passed = gate.gate_passed(issues).first()
-    assert passed.issues == 4 and passed.passed
+    assert passed.issues == 3 and passed.passed
 
 
 def test_facts_respect_roles_and_bounds(spark):

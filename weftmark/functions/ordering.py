@@ -2,7 +2,8 @@
 
 A key (a run, say) may hold a large part of all rows, so its rows are never brought to one task. They are cut
 into time slices: rows meet only inside (key, second), seconds are summed up inside (key, hour), and hours
-inside the key. Every window below runs over one of these three levels.
+inside the key. Every window below runs over one of these three levels. A row without key or time has no place
+in the order; it is kept with a null result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ def _sliced(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(_HOUR, F.date_trunc("hour", F.col(ts))).withColumn(_SECOND, F.date_trunc("second", F.col(ts)))
 
 
+def _placed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & F.col(_SECOND).isNotNull() & F.col(_HOUR).isNotNull())
+
+
 def _before_in_hour(key: str):
     return Window.partitionBy(key, _HOUR).orderBy(_SECOND).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -28,27 +33,27 @@ def _before_in_key(key: str):
 def sequence_numbers(df: DataFrame, key: str, ts: str, tie: str, name: str = "seq") -> DataFrame:
     """Number the rows of each key by (ts, tie), starting at 1."""
     rows = _sliced(df, ts)
-    seconds = rows.groupBy(key, _HOUR, _SECOND).agg(F.count("*").alias("_n"))
+    seconds = _placed(rows, key).groupBy(key, _HOUR, _SECOND).agg(F.count("*").alias("_n"))
     hours = seconds.groupBy(key, _HOUR).agg(F.sum("_n").alias("_n"))
     hours = hours.select(key, _HOUR, F.coalesce(F.sum("_n").over(_before_in_key(key)), F.lit(0)).alias("_hours"))
     earlier = F.coalesce(F.sum("_n").over(_before_in_hour(key)), F.lit(0))
     starts = seconds.withColumn("_seconds", earlier).join(hours, [key, _HOUR])
     starts = starts.select(key, _SECOND, (F.col("_hours") + F.col("_seconds")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(key, _SECOND).orderBy(ts, tie))
-    numbered = rows.withColumn("_inside", inside).join(starts, [key, _SECOND])
+    numbered = rows.withColumn("_inside", inside).join(starts, [key, _SECOND], "left")
     return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(_HOUR, _SECOND, "_inside", "_start")
 
 
 def previous_value(df: DataFrame, key: str, ts: str, tie: str, name: str = "previous_ts") -> DataFrame:
     """The ``ts`` of the preceding row of the key, null for its first row."""
     rows = _sliced(df, ts)
-    seconds = rows.groupBy(key, _HOUR, _SECOND).agg(F.max(ts).alias("_last"))
+    seconds = _placed(rows, key).groupBy(key, _HOUR, _SECOND).agg(F.max(ts).alias("_last"))
     hours = seconds.groupBy(key, _HOUR).agg(F.max("_last").alias("_last"))
     hours = hours.select(key, _HOUR, F.max("_last").over(_before_in_key(key)).alias("_hours"))
     lasts = seconds.withColumn("_seconds", F.max("_last").over(_before_in_hour(key))).join(hours, [key, _HOUR])
     lasts = lasts.select(key, _SECOND, F.coalesce("_seconds", "_hours").alias("_before"))
     inside = F.lag(ts).over(Window.partitionBy(key, _SECOND).orderBy(ts, tie))
-    joined = rows.withColumn("_inside", inside).join(lasts, [key, _SECOND])
+    joined = rows.withColumn("_inside", inside).join(lasts, [key, _SECOND], "left")
     return joined.withColumn(name, F.coalesce("_inside", "_before")).drop(_HOUR, _SECOND, "_inside", "_before")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftmark.functions.stats import char_entropy
+from weftmark.session import materialize
 
 # Category -> severity, pattern, column-name keywords.
 RULES = {
@@ -133,11 +134,11 @@ def _any_keyword(category: str, column: Column) -> Column:
 def pii_report(matches: DataFrame, samples: int = 5) -> DataFrame:
     """Per table, column and category: matches, the first distinct samples, confidence and severity.
 
-    Equal matches are merged before the shuffle, and only the smallest ``samples`` values of a category travel
-    to its last task.
+    Equal matches are merged before the shuffle and written once, so that the texts are searched only once for
+    counts and samples. Only the smallest ``samples`` values of a category travel to its last task.
     """
     key = ["table_name", "column_name", "category"]
-    distinct = matches.groupBy(*key, "match").agg(F.count("*").alias("n"))
+    distinct = materialize(matches.groupBy(*key, "match").agg(F.count("*").alias("n")), "pii-matches")
     totals = distinct.groupBy(*key).agg(F.sum("n").alias("matches"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("match"))
     first = (
