@@ -180,6 +180,22 @@ def test_facts_respect_roles_and_bounds(spark):
     assert [r.value for r in zero] == [0.0, 0.0]
 
 
+def test_date_bounds_reach_the_scan(spark, sf_dir):
+    from weftmark.plans import inputs
+
+    bounded = inputs.event_facts(spark, sf_dir, until="2024-01-31", lookback_weeks=2)
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(ts,2024-01-17" in pushed and "LessThan(ts,2024-01-31" in pushed
+    whole = inputs.event_facts(spark, sf_dir)
+    inside = whole.where("week_start_date >= '2024-01-17' AND week_start_date < '2024-01-31'")
+    assert bounded.exceptAll(inside).count() == 0 and bounded.count() == inside.count() > 0
+    by_dates = facts.weekly_facts_by_dates(
+        inputs.event_rows(spark, sf_dir), {"EVENTS": "ts"}, inputs.EVENT_ROLES, until="2024-01-31", lookback_weeks=2, period="day"
+    )
+    assert by_dates.exceptAll(bounded).count() == 0 and by_dates.count() == bounded.count()
+
+
 def test_one_pass_over_several_dates_equals_separate_passes(spark, sf_dir):
     from weftmark.plans import inputs
 

@@ -44,16 +44,24 @@ def _count_or_sum(df: DataFrame, column: str | None) -> Column:
     return F.sum(column)
 
 
-def _aggregate(
-    df: DataFrame, moment: Column, source: Column, roles: Roles, until: str | None, lookback_weeks: int | None, period: str
-) -> DataFrame:
-    rows = df.where(moment.isNotNull())
+def _within(df: DataFrame, column: str, until: str | None, lookback_weeks: int | None) -> Column:
+    """Whether a date column has a value inside [until - lookback, until).
+
+    The bounds take the type of the column, so that on a stored date or timestamp they reach the scan.
+    """
+    kind = df.schema[column].dataType.typeName()
+    native = kind in ("date", "timestamp", "timestamp_ntz")
+    value, kind = (F.col(column), kind) if native else (safe_timestamp(df, column), "timestamp")
+    inside = value.isNotNull()
     if until is not None:
-        rows = rows.where(moment < F.lit(until).cast("timestamp"))
+        end = F.lit(until).cast("date")
+        inside = inside & (value < end.cast(kind))
         if lookback_weeks is not None:
-            start = F.date_sub(F.lit(until).cast("date"), 7 * lookback_weeks).cast("timestamp")
-            rows = rows.where(moment >= start)
+            inside = inside & (value >= F.date_sub(end, 7 * lookback_weeks).cast(kind))
+    return inside
+
 
+def _aggregate(df: DataFrame, rows: DataFrame, moment: Column, source: Column, roles: Roles, period: str) -> DataFrame:
     def dimension(column: str | None, name: str) -> Column:
         return (F.lit(None) if column is None else F.col(column)).cast("string").alias(name)
 
@@ -97,7 +105,8 @@ def weekly_facts(
     """
     if roles.date is None:
         return None
-    return _aggregate(df, safe_timestamp(df, roles.date), F.lit(source), roles, until, lookback_weeks, period)
+    rows = df.where(_within(df, roles.date, until, lookback_weeks))
+    return _aggregate(df, rows, safe_timestamp(df, roles.date), F.lit(source), roles, period)
 
 
 def weekly_facts_by_dates(
@@ -116,12 +125,15 @@ def weekly_facts_by_dates(
     """
     dated = F.array(
         *[
-            F.struct(F.lit(source).alias("_source"), safe_timestamp(df, column).alias("_moment"))
+            F.struct(
+                F.lit(source).alias("_source"),
+                F.when(_within(df, column, until, lookback_weeks), safe_timestamp(df, column)).alias("_moment"),
+            )
             for source, column in dates.items()
         ]
     )
-    rows = df.select("*", F.inline(dated))
-    return _aggregate(rows, F.col("_moment"), F.col("_source"), roles, until, lookback_weeks, period)
+    rows = df.select("*", F.inline(dated)).where(F.col("_moment").isNotNull())
+    return _aggregate(df, rows, F.col("_moment"), F.col("_source"), roles, period)
 
 
 def weekly_facts_union(parts: list[DataFrame | None]) -> DataFrame:

@@ -102,25 +102,26 @@ def pii_matches(
 ) -> DataFrame:
     """One row per match: table, column, category, match, and the given key columns.
 
-    A row's text is read once; its matches of all categories are collected in the row and then exploded, so
-    texts are never copied per category. ``max_rows`` scans only the first rows by a column's order.
+    Rows are unfolded three times: into their text columns, each text into its matches per category, and those
+    into single matches. A text is searched 15 times in one task but never copied per category. ``max_rows``
+    scans only the first rows by a column's order.
     """
     if max_rows is not None:
         df = df.orderBy(max_rows_by or df.columns[0]).limit(max_rows)
     columns = text_columns(df, hints)
     if not columns:
-        return df.where("false").select(
-            *keys, F.lit(table).alias("table_name"), *[F.lit("").alias(c) for c in ("column_name", "category", "match")]
-        )
-
-    def tagged(column: str, category: str) -> Column:
-        return F.transform(
-            found(F.col(f"`{column}`").cast("string"), category),
-            lambda m: F.struct(F.lit(column).alias("column_name"), F.lit(category).alias("category"), m.alias("match")),
-        )
-
-    hits = F.concat(*[F.coalesce(tagged(c, k), F.array().cast("array<struct<column_name:string,category:string,match:string>>")) for c in columns for k in categories])
-    rows = df.select(*keys, F.lit(table).alias("table_name"), F.inline(hits))
+        none = [F.lit("").alias(c) for c in ("column_name", "category", "match")]
+        return df.where("false").select(*keys, F.lit(table).alias("table_name"), *none)
+    texts = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("_text")) for c in columns]
+    )
+    text = F.col("_text")
+    hits = F.array(*[F.struct(F.lit(c).alias("category"), found(text, c).alias("_found")) for c in categories])
+    rows = (
+        df.select(*keys, F.inline(texts))
+        .select(*keys, "column_name", F.inline(hits))
+        .select(*keys, F.lit(table).alias("table_name"), "column_name", "category", F.explode("_found").alias("match"))
+    )
     return rows.where(keep_match(F.col("category"), F.col("match")))
 
 

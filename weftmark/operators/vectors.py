@@ -70,14 +70,14 @@ def _merge(local: DataFrame, k: int) -> DataFrame:
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest documents of each query by Euclidean distance.
 
-    ``docs`` and ``queries`` have ``id`` and ``vector``. Exact: the nearest of the whole corpus are among the
+    ``docs`` and ``queries`` have ``id`` and ``vector``; a query id stands for one vector. Exact: the nearest of the whole corpus are among the
     nearest of its partitions, so each task scans its batches once and sends on k rows per query. Ties go to
     the smaller id. Up to ``QUERY_BLOCK`` queries travel with the tasks; a larger set is cut into blocks of
     that size, each run as its own pass and written to the shared folder.
     """
     spark = docs.sparkSession
     corpus = docs.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
-    asked = queries.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector").distinct()
 
     def one_pass(rows: list) -> DataFrame:
         ids = np.array([r["id"] for r in rows], dtype=np.int64)
@@ -91,7 +91,7 @@ def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, skip_self:
         return one_pass(head)
 
     blocks = -(-asked.count() // QUERY_BLOCK) * 2
-    marked = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    marked = asked.withColumn("_block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)))
     path = workspace(spark, "top-k")
     for block in range(blocks):
         rows = marked.where(F.col("_block") == block).collect()
