@@ -31,26 +31,27 @@ def as_set(columns, rows):
     return sorted(columns), sorted(kept, key=repr)
 
 
-def kind(name: str) -> str:
-    name = name.lower()
-    for word, group in (
-        ("bigint", "int"), ("int", "int"), ("double", "float"), ("varchar", "string"), ("string", "string"),
-        ("timestamp", "timestamp"), ("date", "date"), ("boolean", "boolean"),
-    ):
-        if word in name:
-            return group
-    return name
+# Spark type -> DuckDB type
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
 
 
 def compare(df, con, sql):
     """None when equal, else a short text."""
     cursor = con.execute(sql)
-    described = {d[0]: kind(str(d[1])) for d in cursor.description}
+    described = {d[0]: str(d[1]) for d in cursor.description}
     want = as_set(list(described), cursor.fetchall())
     got = as_set(df.columns, [tuple(r) for r in df.collect()])
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
-    types = {f.name: kind(f.dataType.simpleString()) for f in df.schema.fields}
+    types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
     if types != described:
         return f"types {types} != {described}"
     if len(got[1]) != len(want[1]):

@@ -446,7 +446,7 @@ def executive_facts(spark, sf_dir):
     _VALID + f""", monthly AS (
         SELECT channel, strftime(order_date, '%Y-%m') AS month, CAST(sum(revenue) AS DOUBLE) AS income
         FROM valid GROUP BY 1, 2),
-      numbered AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY month) AS month_no FROM monthly),
+      numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY month) AS INT) AS month_no FROM monthly),
       netted AS (SELECT *, income * least(1.0e0, month_no / 6.0e0) - {inputs.FIXED_COST} AS net FROM numbered),
       running AS (SELECT *, sum(net) OVER (PARTITION BY channel ORDER BY month) AS cumulative FROM netted)
       SELECT channel, month, month_no, {snap_sql("income", 2)} AS income, {snap_sql("net", 2)} AS net,

@@ -152,7 +152,7 @@ _PAIRS = """pairs AS (
 
 
 def _ranked(source: str) -> str:
-    return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM {source}"""
+    return f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM {source}"
 
 
 def _vector_inputs(spark, sf_dir):
