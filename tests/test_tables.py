@@ -255,3 +255,16 @@ def test_event_log_lines_keep_microseconds(spark, sf_dir, tmp_path):
     (tmp_path / "extra" / "a.json").write_text('{"event_id": 1, "run_id": 2}\n{broken\n')
     rows = files.read_event_log(spark, str(tmp_path / "extra")).collect()
     assert sorted((r.event_id, r.ts) for r in rows if r.event_id) == [(1, None)] and len(rows) == 2
+
+
+def test_working_folder_follows_the_session(spark):
+    from types import SimpleNamespace
+
+    from weftmark.session import CHECKPOINT_CONF, workspace
+
+    assert workspace(spark, "x").startswith(spark.conf.get(CHECKPOINT_CONF))
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(applicationId="app-1")
+    )
+    first, second = workspace(bare, "x"), workspace(bare, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# temporary folders of sessions that name no shared folder, by application
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "weftmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume.
@@ -36,11 +39,13 @@ def workspace(spark: SparkSession, name: str) -> str:
 
     A local temporary folder is used only where the session names none, as in tests.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    application = spark.sparkContext.applicationId
+    root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-weftmark-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/weftmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        if application not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="spark-weftmark-")
+        root = _LOCAL_ROOTS[application]
+    return f"{root.rstrip('/')}/weftmark/{application}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
