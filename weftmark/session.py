@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# temporary folders of sessions that name no shared folder, by application
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def build_session(app: str = "weftmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume.
@@ -37,15 +33,16 @@ def build_session(app: str = "weftmark", master: str | None = None, **conf: str)
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's shared checkpoint folder.
 
-    A local temporary folder is used only where the session names none, as in tests.
+    Where the session names none, the folder lies below the warehouse, which every executor of a cluster reaches; a
+    warehouse on a local disk is refused unless driver and executors share the machine.
     """
-    application = spark.sparkContext.applicationId
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if application not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="spark-weftmark-")
-        root = _LOCAL_ROOTS[application]
-    return f"{root.rstrip('/')}/weftmark/{application}/{name}-{uuid.uuid4().hex[:12]}"
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        local = root.startswith(("/", "file:"))
+        if local and not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share; {root} is local")
+    return f"{root.rstrip('/')}/weftmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
