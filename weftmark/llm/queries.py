@@ -63,3 +63,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.mixing import mix_by_source
 
     return mix_by_source(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.substrings import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))

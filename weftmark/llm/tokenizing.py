@@ -14,7 +14,7 @@ from weftmark.llm.batches import ragged
 
 END_ID = 2
 # pieces that a worker remembers; more are encoded anew in every batch
-MEMO_PIECES = 700_000
+MEMO_PIECES = 500_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
