@@ -70,3 +70,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.substrings import repeat_digests
 
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
