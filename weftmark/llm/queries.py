@@ -77,3 +77,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
