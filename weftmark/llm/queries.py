@@ -91,3 +91,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_kmeans_tree")
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_voronoi_join")
+def op6_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.voronoi import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
