@@ -1,26 +1,61 @@
-"""The corpus pipeline: quality, near duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality, near duplicates, secrets, mixing, packing.
+
+Every stage works on all that the one before kept. ``run`` writes each stage's output to the shared folder and reads it
+again, so that a lost executor costs the work of one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftmark.llm.mixing import take
 from weftmark.llm.packing import pack_documents
+from weftmark.llm.quality import keep_good
 from weftmark.llm.queries import tokenizer_file
+from weftmark.llm.secrets import redact
+from weftmark.llm.simhash import keep_one
 from weftmark.session import materialize
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
+    return take(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
     return pack_documents(docs, tokenizer_file())
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scans", secrets),
+    ("source_mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
-# tokenizer ids and trained models have no SQL form
+# trained models and tokenizer ids have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's output is written and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # bytes of text that a task holds as words or numbers at a time; a longer text is a slice of its own
 SLICE_BYTES = 4 << 20
@@ -42,6 +43,29 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with columns other than ``own`` under names that clash with none, and a function that undoes it.
+
+    Names are taken as they are written, so a column that differs from one of ``own`` by case is another column.
+    """
+    safe = [n if n in own else f"extra_{i}" for i, n in enumerate(docs.columns)]
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(s).alias(n) for s, n in zip(safe, docs.columns)))
+
+    return docs.toDF(*safe), restore
+
+
+def own_columns(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns alone."""
+    return set_aside(docs, *own)[0].select(*own)
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone."""
+    return own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def text_key() -> Column:
     """Tells rows with one doc_id and different texts apart; rows equal in both are interchangeable."""
     return F.coalesce(F.xxhash64("text"), F.lit(0).cast("bigint"))
@@ -68,7 +92,7 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function that may import this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmark.llm.batches import map_arrow, slices
+from weftmark.llm.batches import documents, map_arrow, own_columns, slices
 
 PROFILE = 400
 ALPHABET = 128
@@ -123,7 +123,8 @@ def _counted(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """The profile of each language, from all documents that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
+    rows = own_columns(docs, "doc_id", "lang", "text")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
     counted = map_arrow(rows, _count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # at most ALPHABET ** 3 n-grams for each language
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -166,5 +167,5 @@ def identify(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, lang_pred string, score double")
+    rows = map_arrow(documents(docs), run, "doc_id bigint, lang_pred string, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

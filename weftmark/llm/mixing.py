@@ -21,8 +21,9 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from weftmark.llm.batches import slots, text_key
+from weftmark.llm.batches import own_columns, set_aside, slots, text_key
 from weftmark.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -108,23 +109,28 @@ def route_words(
     return {key: edges[e ^ 1][1] for key, e in routes.items() if edges[e ^ 1][1]}
 
 
-def _keyed(docs: DataFrame, members: Column, seed: int) -> DataFrame:
-    """doc_id, row_key, pattern and seeded place of every document; the other columns stay aside."""
-    return docs.select(
+def _keyed(docs: DataFrame, by: str, seed: int) -> DataFrame:
+    """Add key, pattern and seeded place; the column ``by`` has a document's source or an array of its sources."""
+    members = F.col(by)
+    if not isinstance(docs.schema[by].dataType, ArrayType):
+        members = F.array(members.cast("string"))
+    # an array that is null or empty is that of the null source
+    members = F.when(F.size(members) > 0, members).otherwise(F.array(F.lit(None).cast("string")))
+    return docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).select(
         "*",
         F.to_json(F.array_sort(F.array_distinct(members))).alias("_pattern"),
         text_key().alias("_row_key"),
     ).withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "_row_key"))
 
 
-def plan_mix(docs: DataFrame, members: Column, seed: int = SEED, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, by: str = "source", seed: int = SEED, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
     """Sizes of all documents, and one row for each pattern that says which of its documents are taken how often.
 
     The decision of a pattern: every document ``base`` times, those up to (``cut_cell``, ``cut_place``) in seeded order
     once more, and the few named in ``fixes`` once more or less. ``routes`` has the words that each source gets.
     """
     spark = docs.sparkSession
-    keyed = _keyed(docs.select("doc_id", "text", members.alias("_members")), F.col("_members"), seed)
+    keyed = _keyed(own_columns(docs, "doc_id", "text", by), by, seed)
     sizes = materialize(
         keyed.select("doc_id", "_row_key", "_pattern", "_place", word_count().alias("size")), "sizes"
     )
@@ -217,18 +223,18 @@ def _decided(rows: DataFrame, mix: DataFrame) -> DataFrame:
 
 def mix_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken of documents with one source each."""
-    sizes, mix = plan_mix(docs, F.array(F.col("source")), seed)
+    sizes, mix = plan_mix(docs, "source", seed)
     return _decided(sizes, mix).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def take(docs: DataFrame, members: Column, seed: int = SEED) -> DataFrame:
+def take(docs: DataFrame, by: str = "source", seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
-    sizes, mix = plan_mix(docs, members, seed)
+    sizes, mix = plan_mix(docs, by, seed)
     number = slots(sizes, ROWS_EACH)
-    rows = _keyed(docs.select("*", members.alias("_members")), F.col("_members"), seed)
-    rows = rows.withColumn("_cell", F.pmod("_place", F.lit(number)))
+    rows, restore = set_aside(docs, "doc_id", "text", by)
+    rows = _keyed(rows, by, seed).withColumn("_cell", F.pmod("_place", F.lit(number)))
     decided = _decided(rows, mix.drop("source_size", "target", "routes"))
     repeated = decided.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return restore(repeated)

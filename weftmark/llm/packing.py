@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmark.llm.batches import map_arrow, slices, slots, text_key
+from weftmark.llm.batches import documents, map_arrow, slices, slots, text_key
 from weftmark.llm.tokenizing import crc_of, encoder
 from weftmark.session import materialize
 
@@ -124,7 +124,7 @@ def _pieces(path: str, capacity: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: doc_id, row_key, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("row_key"), "text")
+    rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
     schema = "doc_id bigint, row_key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     return map_arrow(rows, _pieces(tokenizer, capacity), schema)
 

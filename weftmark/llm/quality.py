@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from weftmark.llm.batches import byte_texts, map_arrow, slices
+from weftmark.llm.batches import byte_texts, documents, map_arrow, own_columns, set_aside, slices
 
 PASSAGE_WORDS = 100
 SAMPLE_DOCS = 4000
@@ -179,14 +180,15 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """The model of ``quality`` from labels of documents that are not held out."""
     sample = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+        own_columns(labels, "doc_id", "quality")
+        .where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE_DOCS)
     )
     # the sample is bounded, so it may go to every task
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = documents(docs).join(F.broadcast(sample), "doc_id")
     got = map_arrow(rows.select("doc_id", "label", "text"), _encode, "doc_id bigint, label double, x binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
     if not got:
@@ -214,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for scored in _score(model)(batches):
             yield scored.select(["doc_id", "_score"])
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, _score double")
+    rows = map_arrow(documents(docs), run, "doc_id bigint, _score double")
     return rows.select(
         "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted")
     )
@@ -222,6 +224,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is ``CUT`` or more, with their own columns."""
-    schema = docs.schema.add("_score", "double")
-    scored = map_arrow(docs, _score(fit(docs, labels)), schema)
-    return scored.where(F.col("_score") >= CUT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, restore = set_aside(docs, "doc_id", "text")
+    scored = map_arrow(rows, _score(fit(docs, labels)), StructType([*rows.schema.fields, StructField("_score", DoubleType())]))
+    return restore(scored.where(F.col("_score") >= CUT))

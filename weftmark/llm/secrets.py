@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.llm.batches import documents, set_aside
+
 # Kinds in order with their patterns
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -189,7 +191,7 @@ def _text(spans: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_random: what the models add."""
-    rows = docs.select("doc_id", "text")
+    rows = documents(docs)
     found = with_spans(rows, train_ratios(sample_strings(rows)))
     counts = {f"n_{k}": F.size(F.filter("_base", lambda s, n=n: s["kind"] == n)).cast("bigint") for n, k in enumerate(KINDS[:3])}
     return found.select(
@@ -200,7 +202,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``MASK``; n_chars, where there is one, follows the text."""
-    found = with_spans(docs, train_ratios(sample_strings(docs.select("doc_id", "text"))))
+    rows, restore = set_aside(docs, "doc_id", "text", "n_chars")
+    found = with_spans(rows, train_ratios(sample_strings(documents(docs))))
 
     def step(state, s):
         gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
@@ -210,13 +213,8 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     done = F.aggregate("_spans", start, step)
     text = F.when(F.size("_spans") > 0, F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(F.col("text"))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(text.alias("text"))
-        elif c == "n_chars":
-            kept = F.col("n_chars")
-            columns.append(F.when(F.size("_spans") > 0, F.char_length(text).cast(docs.schema[c].dataType)).otherwise(kept).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return found.select(*columns)
+    found = found.withColumn("text", text)
+    if "n_chars" in rows.columns:
+        length = F.char_length("text").cast(rows.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, length).otherwise(F.col("n_chars")))
+    return restore(found)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmark.llm.batches import byte_texts, map_arrow, slices, text_key
+from weftmark.llm.batches import byte_texts, documents, map_arrow, set_aside, slices, text_key
 from weftmark.llm.components import components
 from weftmark.session import materialize
 
@@ -83,7 +83,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and fingerprint of every row."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("row_key"), "text")
+    rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
     return map_arrow(rows, _fingerprints, "doc_id bigint, row_key bigint, fp bigint")
 
 
@@ -208,9 +208,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = found.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("_doc_id"), F.col("first.row_key").alias("_key")
     )
-    keyed = docs.withColumn("_row_key", text_key())
+    rows, restore = set_aside(docs, "doc_id", "text")
+    keyed = rows.withColumn("_row_key", text_key())
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_row_key") == F.col("_key"))
     stays = keyed.join(kept, same, "left_semi")
     # repeated rows
     once = Window.partitionBy("doc_id", "_row_key").orderBy("doc_id")
-    return stays.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return restore(stays.withColumn("_n", F.row_number().over(once)).where("_n = 1"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.batches import byte_texts, map_arrow, slices, text_key
+from weftmark.llm.batches import byte_texts, documents, map_arrow, slices, text_key
 from weftmark.session import materialize
 
 WINDOW_WORDS = 35
@@ -235,7 +235,7 @@ def _block_factors(window: int):
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """doc_id, row_key, start and end (words, end exclusive) of factors; they may overlap."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("row_key"), "text")
+    rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
     own = map_arrow(rows, _own_factors(window, gram), _ROWS_DDL)
     blocks = own.repartition("minimizer").sortWithinPartitions("minimizer")
     return map_arrow(blocks, _block_factors(window), "doc_id bigint, row_key bigint, start bigint, end bigint")
@@ -274,7 +274,7 @@ def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     grouped = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(
         F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key"), "spans"
     )
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("row_key"), "text")
+    rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
     same = rows.doc_id.eqNullSafe(F.col("of_doc")) & (rows.row_key == F.col("of_key"))
     return rows.join(grouped, same, "left").select("doc_id", "row_key", "text", "spans")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmark.llm.batches import map_arrow, slices
+from weftmark.llm.batches import documents, map_arrow, slices
 from weftmark.llm.tokenizing import crc_of, encoder
 
 # ids in a block, a multiple of 8 so that blocks begin at whole bytes; ids after which a segment ends with its document
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
     segment at the first document end after ``SEGMENT_TOKENS`` ids.
     """
     ordered = (
-        docs.select(F.col("doc_id").cast("bigint"), "text")
+        documents(docs)
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )

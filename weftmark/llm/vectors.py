@@ -7,18 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmark.llm.batches import own_columns
+
 # rows and queries that meet in one unit of work
 UNIT_ROWS = 8192
 UNIT_QUERIES = 1024
 
-RESULT = "query_id bigint, vec_id bigint, score {kind}"
 
 
 def usable(embeddings: DataFrame, zero: bool = False) -> DataFrame:
     """id and v (doubles) of rows with an id and a vector of finite numbers; zero vectors only if asked for."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), v.alias("v"))
+    rows = own_columns(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("bigint").alias("id"), v.alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~F.coalesce(bad, F.lit(True)))
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
