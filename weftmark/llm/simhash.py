@@ -123,12 +123,13 @@ def forest(resident: np.ndarray, rest: np.ndarray, max_bits: int = MAX_BITS) ->
     a, b = [], []
     left = np.unique(everyone)
     while len(left):
-        root, left, reached = left[0], left[1:], [left[0]]
+        reached, left = [left[0]], left[1:]
         while reached and len(left):
-            near = np.bitwise_count(left ^ reached.pop()) <= max_bits
+            at = reached.pop()
+            near = np.bitwise_count(left ^ at) <= max_bits
             if near.any():
                 found, left = left[near], left[~near]
-                a.append(np.full(len(found), root))
+                a.append(np.full(len(found), at))
                 b.append(found)
                 reached.extend(found)
     return (np.concatenate(a), np.concatenate(b)) if a else (everyone[:0], everyone[:0])
