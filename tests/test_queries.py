@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as spark_entry
 from oracle import compare, connect
+from weftmark.plans import load_queries
+from weftmark.plans.registry import ORACLES, QUERIES
 
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+load_queries()
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +38,14 @@ def test_entry_has_rows_and_stable_schema(spark):
     df = spark_entry.entry(spark)
     assert df.columns == spark_entry.entry(spark).columns
     assert df.limit(1).count() == 1
+
+
+def test_entry_without_the_training_data_folders():
+    """The queries of the rest are there when those folders are not."""
+    code = (
+        "import sys\n"
+        "sys.modules['corpus_pipeline'] = sys.modules['weftmark.llm'] = None\n"
+        "import __spark_entry__ as e\n"
+        "assert set(e.queries()) == set(e.oracle_sql()) and 'pipeline' not in e.queries()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(spark_entry.__file__).parent)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from weftmark.functions import ordering
 from weftmark.functions.ordering import previous_value, sequence_numbers
 from weftmark.operators import runlog
 
@@ -88,6 +89,28 @@ def test_previous_event_of_a_hot_run(spark):
     assert {r.event_id: r.previous_ts for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seconds", [1, 86400])
+def test_null_and_coarse_times_make_no_large_slice(spark, monkeypatch, seconds):
+    """One run, most rows without a time or all on few days."""
+    monkeypatch.setattr(ordering, "ROWS_EACH", 100)
+    sizes = []
+    write = ordering.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        sizes.extend(r["count"] for r in out.groupBy("_slice").count().collect())
+        return out
+
+    monkeypatch.setattr(ordering, "materialize", seen)
+    rows = [event(i, at=i % 3 * seconds) for i in range(1500)]
+    rows += [(10_000 + i, i % 2 or None, None, *rows[0][3:]) for i in range(1500)]
+    got = sequence_numbers(log(spark, rows).repartition(6), "run_id", "ts", "event_id").collect()
+    want = {r[0]: i + 1 for run in by_run(rows[:1500]).values() for i, r in enumerate(run)}
+    assert {r.event_id: r.seq for r in got} == {**want, **{10_000 + i: None for i in range(1500)}}
+    assert max(sizes) < 400
+    assert runlog.event_gaps(log(spark, rows)).count() == 3000
+
+
 def test_gaps_are_clamped(spark):
     rows = [event(1, at=0), event(2, at=0.01), event(3, at=1.01), event(4, at=100), event(5, run=2, at=3)]
     got = {r.event_id: r.gap_s for r in runlog.event_gaps(log(spark, rows)).collect()}

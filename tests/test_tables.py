@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftmark.config import DetectorParams
+from weftmark.functions import quantiles
 from weftmark.functions.quantiles import exact_quantiles, value_counts
 from weftmark.operators import clean, facts, gate, marts, metrics, profile
 from weftmark.plans import medallion
@@ -131,6 +132,28 @@ def test_exact_quantiles_equal_numpy(spark, values):
         assert row[f"q{i}"] == pytest.approx(np.percentile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_one_far_value_leaves_slices_even(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "VALUES_EACH", 500)
+    sizes = []
+    write = quantiles.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "value-slices":
+            sizes.extend(r["count"] for r in out.groupBy("s").count().collect())
+        return out
+
+    monkeypatch.setattr(quantiles, "materialize", seen)
+    values = [*np.random.default_rng(3).uniform(0, 2000, 9999).tolist(), 1e13]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    row = exact_quantiles(value_counts(df, "x"), [0.25, 0.75]).first()
+    assert (row.q0, row.q1) == pytest.approx(tuple(np.percentile(values, [25, 75])), rel=1e-12)
+    assert max(sizes) < 1500 and len(sizes) > 10
+    # also of a frame that is no stored table
+    pairs = df.groupBy(df.x.alias("v")).count().withColumnRenamed("count", "c")
+    assert exact_quantiles(pairs, [0.25]).first().q0 == row.q0
+
+
 def test_iqr_outliers_of_few_prices(spark, raw):
     assert profile.iqr_outliers(raw["orders"].where("order_id < 4")).count() == 0
     rows = [(i, 1, 1, "2024-01-01", 1, p, "web") for i, p in enumerate(["1", "2", "3", "4", "5", "99", "N/A"])]
@@ -229,9 +252,10 @@ def test_schema_hash_and_drift(spark, raw):
     assert catalog.schema_drift(old, old).count() == 0
 
 
-def test_adhoc_sql_gives_at_most_50_rows(spark, raw):
+def test_adhoc_sql_gives_all_rows_unless_a_limit_is_asked(spark, raw):
     many = {"orders": spark.range(80).toDF("order_id"), "products": raw["products"]}
-    assert files.adhoc_sql(spark, "SELECT * FROM {orders} ORDER BY order_id", many).count() == 50
+    assert files.adhoc_sql(spark, "SELECT * FROM {orders} ORDER BY order_id", many).count() == 80
+    assert files.adhoc_sql(spark, "SELECT * FROM {orders} ORDER BY order_id", many, limit=50).count() == 50
     assert files.sample_rows(raw["products"], ["product_id"], 2).collect()[1].list_price == "3.0"
 
 

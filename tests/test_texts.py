@@ -70,11 +70,6 @@ def test_samples_are_the_smallest_distinct_values(spark):
     assert row.matches == 90 and row.sample_values == [f"u{i}@x.com" for i in range(5)]
 
 
-def test_max_rows_scans_the_first_rows_only(spark):
-    df = spark.createDataFrame([(i, f"u{i}@x.com") for i in range(9)], "id int, v string")
-    assert pii.pii_matches(df, "t", hints=["v"], max_rows=4, max_rows_by="id").count() == 4
-
-
 def test_matches_equal_python_regex_on_all_texts(spark, sf_dir):
     """The whole documents table against Python's own pattern engine, accents included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

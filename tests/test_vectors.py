@@ -21,10 +21,11 @@ def brute(points, query, k, skip=None, keep=None):
     return [i for _, i in order[:k]]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_equals_brute_force(spark, monkeypatch, block):
-    """Also with more queries than one pass may hold."""
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("unit", [8192, 60])
+def test_equals_brute_force(spark, monkeypatch, unit):
+    """Also in many blocks of both sides."""
+    monkeypatch.setattr(vectors, "UNIT_DOCUMENTS", unit)
+    monkeypatch.setattr(vectors, "UNIT_QUERIES", unit // 10)
     points, docs = corpus(spark)
     got = vectors.vector_top_k(docs, docs.where("id < 20"), 7, skip_self=True).collect()
     assert len(got) == 140
@@ -65,3 +66,21 @@ def test_store_does_not_repeat_ids(spark, tmp_path):
     vectors.seed_documents(docs.withColumn("id", docs.id + 100), path)
     assert vectors.count_documents(spark, path).first().documents == 6
     assert spark.read.parquet(path).where("id = 5").first().metadata == '{"k":"5"}'
+
+
+def test_vectors_of_other_lengths_are_no_neighbours(spark):
+    rows = [(1, [9.0], "a"), (2, [9.0, 9.0], "a"), (3, [1.0, None], "a"), (4, [], "a"), (None, [8.0, 8.0], "a"), (5, [1.0, 2.0, 3.0], "a")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    query = spark.createDataFrame([(0, [8.0, 9.0])], "id bigint, vector array<float>")
+    assert [(r.id, r.distance) for r in vectors.vector_top_k(docs, query, 5).collect()] == [(2, 1.0)]
+
+
+def test_store_of_repeats_and_of_no_rows(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "id bigint, text string, vector array<float>, metadata map<string,string>, category string"
+    docs = spark.createDataFrame([(i % 3, f"t{i}", [0.5], {"k": "v"}, "c") for i in range(9)], schema)
+    vectors.append_documents(docs.where("false"), path)
+    vectors.seed_documents(docs, path)
+    assert vectors.count_documents(spark, path).first().documents == 3
+    vectors.add_documents(docs, path)
+    assert vectors.count_documents(spark, path).first().documents == 12

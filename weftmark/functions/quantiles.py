@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmark.session import materialize
 
-BINS = 4096
+# distinct values that one task puts in order, about
+VALUES_EACH = 100_000
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
     """(v, c): the distinct values of a column as double and how often each occurs.
 
-    Written once to the shared folder: the rounds below read this one narrow table instead of running
+    Written once to the shared folder: the steps below read this one narrow table instead of running
     whatever is behind ``df`` again. Equal values are merged before the shuffle.
     """
     values = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -23,69 +22,42 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
 
 
 def exact_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
-    """One row (total, q0, q1, ...) of linearly interpolated quantiles of a ``value_counts`` table.
+    """One row (total, q0, q1, ...) of linearly interpolated quantiles of a table of values and counts.
 
-    Two rounds of counting in 4096 bins find the cells that hold the wanted ranks; only the distinct values
-    inside those cells (one 16-millionth of the range each) are put in order. Every round is a grouped sum
-    with map-side combining, so at most 4096 rows per rank meet in one task until the last step.
+    The distinct values are dealt to slices by ranges of ``v`` that Spark samples, so a slice holds about as many values as
+    any other, however they are spread. Counts of the slices say in which ones the wanted ranks lie, and only these are
+    put in order.
     """
-    span = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))).scalar()
-
-    def cell(offset: Column, width: Column) -> Column:
-        raw = F.floor(F.try_divide(offset, width)).cast("int")
-        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), raw)), F.lit(0))
-
-    ranked = counts.withColumn("s", span)
-    width = (F.col("s.hi") - F.col("s.lo")) / BINS
-    ranked = ranked.withColumn("b1", cell(F.col("v") - F.col("s.lo"), width))
-    ranked = ranked.withColumn("b2", cell(F.col("v") - F.col("s.lo") - F.col("b1") * width, width / BINS))
-    ranked = ranked.select("v", "c", "b1", "b2", F.col("s.n").alias("n"))
+    slices = counts.count() // VALUES_EACH + 1
+    dealt = counts.repartitionByRange(slices, "v").select("v", "c", F.spark_partition_id().alias("s"))
+    dealt = materialize(dealt, "value-slices")
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    sums = dealt.groupBy("s").agg(F.sum("c").alias("n"))
+    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
     wanted = F.array(
         *[
             F.struct(
                 F.lit(2 * i + up).alias("slot"),
-                F.least(F.floor((F.col("n") - 1) * F.lit(float(p))) + up, F.col("n") - 1).alias("rank"),
+                F.least(F.floor((F.col("total") - 1) * F.lit(float(p))) + up, F.col("total") - 1).alias("rank"),
             )
             for i, p in enumerate(probs)
             for up in (0, 1)
         ]
     )
-
-    def pick(counts: DataFrame, part: list[str], order: str) -> DataFrame:
-        running = F.sum("c").over(Window.partitionBy(*part).orderBy(order))
-        before = F.coalesce(F.col("before"), F.lit(0)) + running - F.col("c")
-        return (
-            counts.withColumn("at", before)
-            .where((F.col("at") <= F.col("rank")) & (F.col("rank") < F.col("at") + F.col("c")))
-            .withColumn("before", F.col("at"))
-        )
-
-    first = ranked.groupBy("b1").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
-    first = first.withColumn("before", F.lit(0).cast("long")).select(
-        "b1", "c", "before", F.explode(wanted).alias("w")
+    here = F.filter("all", lambda w: (F.col("start") <= w["rank"]) & (w["rank"] < F.col("start") + F.col("n")))
+    asked = starts.withColumn("all", total.select(wanted).scalar())
+    asked = asked.select("s", "start", here.alias("ranks")).where(F.size("ranks") > 0)
+
+    running = F.sum("c").over(Window.partitionBy("s").orderBy("v"))
+    placed = dealt.join(asked, "s").withColumn("at", F.col("start") + running - F.col("c"))
+    hits = placed.select(
+        "v", F.inline(F.filter("ranks", lambda w: (F.col("at") <= w["rank"]) & (w["rank"] < F.col("at") + F.col("c"))))
     )
-    first = pick(first.select("b1", "c", "before", "w.slot", "w.rank"), ["slot"], "b1")
-    cells1 = first.agg(F.collect_list(F.struct("slot", "rank", "before", "b1"))).scalar()
-
-    def inside(cells: Column, *path: str) -> DataFrame:
-        """Rows that lie in a wanted cell, once per rank wanted there."""
-        marked = ranked.withColumn("cells", cells)
-        same = lambda c: reduce(lambda a, b: a & b, [c[p] == F.col(p) for p in path])
-        return marked.select("v", "c", "b2", F.inline(F.filter("cells", same).alias("c")))
-
-    second = inside(cells1, "b1")
-    second = second.groupBy("slot", "rank", "before", "b1", "b2").agg(F.sum("c").alias("c"))
-    second = pick(second, ["slot"], "b2")
-    cells2 = second.agg(F.collect_list(F.struct("slot", "rank", "before", "b1", "b2"))).scalar()
-
-    last = inside(cells2, "b1", "b2").drop("b2")
-    last = last.groupBy("slot", "rank", "before", "v").agg(F.sum("c").alias("c"))
-    last = pick(last, ["slot"], "v")
-
-    out = last.agg(
+    out = hits.agg(
         *[F.max(F.when(F.col("slot") == s, F.col("v"))).alias(f"v{s}") for s in range(2 * len(probs))]
-    ).withColumn("total", F.coalesce(span["n"], F.lit(0)))
+    ).withColumn("total", total.scalar())
 
     def interpolated(i: int, p: float) -> Column:
         at = (F.col("total") - 1) * F.lit(float(p))

@@ -97,17 +97,12 @@ def pii_matches(
     hints: Sequence[str] | None = None,
     categories: Sequence[str] = CATEGORIES,
     keys: Sequence[str] = (),
-    max_rows: int | None = None,
-    max_rows_by: str | None = None,
 ) -> DataFrame:
     """One row per match: table, column, category, match, and the given key columns.
 
     Rows are unfolded three times: into their text columns, each text into its matches per category, and those
-    into single matches. A text is searched 15 times in one task but never copied per category. ``max_rows``
-    scans only the first rows by a column's order.
+    into single matches. A text is searched 15 times in one task but never copied per category.
     """
-    if max_rows is not None:
-        df = df.orderBy(max_rows_by or df.columns[0]).limit(max_rows)
     columns = text_columns(df, hints)
     if not columns:
         none = [F.lit("").alias(c) for c in ("column_name", "category", "match")]

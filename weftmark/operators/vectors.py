@@ -2,102 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmark.session import workspace
+from weftmark.session import ship_package
 
-# Queries that one pass over the corpus may hold in each task; more are run in several passes.
-QUERY_BLOCK = 1024
-# Tasks' local results are merged in this many groups before the last merge of a query.
-MERGE_GROUPS = 64
+# documents and queries that meet in one unit of work, on average
+UNIT_DOCUMENTS = 8192
+UNIT_QUERIES = 512
 
-RESULT = "query_id long, id long, distance double"
+RESULT = "query_id long, id long, distance double, category string"
 
 
-def _local_top_k(ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool):
-    """A task that keeps the k nearest rows per query of its own partition."""
+def _nearest(k: int, skip_self: bool):
+    """The k nearest documents of a unit for each of its queries."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = [np.empty(0, np.int64)] * len(ids)
-        best_distance = [np.empty(0)] * len(ids)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            doc = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            points = flat.astype(np.float64).reshape(len(doc), -1)
-            for q in range(len(ids)):
-                gap = points - vectors[q]
+    def search(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        found = {"query_id": [np.empty(0, np.int64)], "at": [np.empty(0, np.int64)], "distance": [np.empty(0)]}
+        if asked.num_rows and docs.num_rows:
+            ids, queries = asked.column("id").to_numpy(), _matrix(asked)
+            own, points = docs.column("id").to_numpy(), _matrix(docs)
+            for q, query in zip(ids, queries):
+                gap = points - query
                 distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                full = len(best_id[q]) == k
-                keep = distance <= (best_distance[q][-1] if full else np.inf)
-                if skip_self:
-                    keep &= doc != ids[q]
-                near_id = np.concatenate([best_id[q], doc[keep]])
-                near = np.concatenate([best_distance[q], distance[keep]])
-                order = np.lexsort((near_id, near))[:k]
-                best_id[q], best_distance[q] = near_id[order], near[order]
-        sizes = [len(b) for b in best_id]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, sizes), pa.int64()),
-                    pa.array(np.concatenate(best_id), pa.int64()),
-                    pa.array(np.concatenate(best_distance), pa.float64()),
-                ],
-                names=["query_id", "id", "distance"],
-            )
-
-    return scan
-
-
-def _merge(local: DataFrame, k: int) -> DataFrame:
-    """The k best of all tasks' local bests, in two steps so that no task sees every task's rows."""
-    nearest = ["distance", "id"]
-    group = F.pmod(F.xxhash64("id"), F.lit(MERGE_GROUPS))
-    near = local.withColumn("_group", group)
-    part = Window.partitionBy("query_id", "_group").orderBy(*nearest)
-    near = near.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+                at = np.flatnonzero(own != q) if skip_self else np.arange(len(own))
+                if len(at) > k:
+                    at = at[distance[at] <= np.partition(distance[at], k - 1)[k - 1]]
+                at = at[np.lexsort((own[at], distance[at]))[:k]]
+                found["query_id"].append(np.full(len(at), q))
+                found["at"].append(at)
+                found["distance"].append(distance[at])
+        at = np.concatenate(found["at"])
+        return pa.table({
+            "query_id": np.concatenate(found["query_id"]),
+            "id": docs.column("id").take(pa.array(at)),
+            "distance": np.concatenate(found["distance"]),
+            "category": docs.column("category").take(pa.array(at)),
+        })
+
+    return search
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)
+
+
+def _usable(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows with an id and a vector without null elements."""
+    vector = F.col("vector").cast("array<double>")
+    rows = rows.select(F.col("id").cast("long").alias("id"), vector.alias("vector"), *extra)
+    return rows.where("id IS NOT NULL AND size(vector) > 0").where(~F.exists("vector", lambda x: x.isNull()))
+
+
+def _search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    category = F.col("category").cast("string") if "category" in docs.columns else F.lit(None).cast("string")
+    corpus = _usable(docs.withColumn("category", category), "category").withColumn("length", F.size("vector"))
+    asked = _usable(queries).distinct().withColumn("length", F.size("vector"))
+    parts, blocks = corpus.count() // UNIT_DOCUMENTS + 1, asked.count() // UNIT_QUERIES + 1
+
+    def dealt(rows: DataFrame, own: str, number: int, other: str, others: int) -> DataFrame:
+        """Rows in their own block by hash, once for each block of the other side."""
+        block = F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias(own)
+        return rows.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    key = ("length", "part", "block")
+    left = dealt(asked, "block", blocks, "part", parts).groupBy(*key)
+    right = dealt(corpus, "part", parts, "block", blocks).groupBy(*key)
+    ship_package(docs.sparkSession)
+    near = left.cogroup(right).applyInArrow(_nearest(k, skip_self), RESULT)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest documents of each query by Euclidean distance.
 
-    ``docs`` and ``queries`` have ``id`` and ``vector``; a query id stands for one vector. Exact: the nearest of the whole corpus are among the
-    nearest of its partitions, so each task scans its batches once and sends on k rows per query. Ties go to
-    the smaller id. Up to ``QUERY_BLOCK`` queries travel with the tasks; a larger set is cut into blocks of
-    that size, each run as its own pass and written to the shared folder.
+    ``docs`` and ``queries`` have ``id`` and ``vector``; a query id stands for one vector. Exact: blocks of queries meet
+    blocks of documents, each pair of blocks sends on k rows per query, and these are ranked. Both sides are dealt by
+    hash, at any size. Ties go to the smaller id. Vectors that are null, empty or hold a null take no part; a document
+    whose vector has another length than the query's is no neighbour of it.
     """
-    spark = docs.sparkSession
-    corpus = docs.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
-    asked = queries.where(F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector").distinct()
-
-    def one_pass(rows: list) -> DataFrame:
-        ids = np.array([r["id"] for r in rows], dtype=np.int64)
-        vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
-        return _merge(corpus.mapInArrow(_local_top_k(ids, vectors, k, skip_self), RESULT), k)
-
-    head = asked.limit(QUERY_BLOCK + 1).collect()
-    if not head:
-        return corpus.where("false").selectExpr("id AS query_id", "0 AS rank", "id", "0D AS distance")
-    if len(head) <= QUERY_BLOCK:
-        return one_pass(head)
-
-    blocks = -(-asked.count() // QUERY_BLOCK) * 2
-    marked = asked.withColumn("_block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)))
-    path = workspace(spark, "top-k")
-    for block in range(blocks):
-        rows = marked.where(F.col("_block") == block).collect()
-        if rows:
-            one_pass(rows).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return _search(docs, queries, k, skip_self).select("query_id", "rank", "id", "distance")
 
 
 def vector_top_k_category(
@@ -107,32 +95,47 @@ def vector_top_k_category(
 
     Without ``prefilter`` the cut comes first, so fewer than k rows may remain.
     """
-    inside = docs.where(F.col("category") == category)
-    if prefilter:
-        return vector_top_k(inside, queries, k, skip_self=skip_self)
-    found = vector_top_k(docs, queries, k, skip_self=skip_self)
-    return found.join(inside.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
+    inside = F.col("category") == category
+    found = _search(docs.where(inside) if prefilter else docs, queries, k, skip_self).where(inside)
+    return found.select("query_id", "rank", "id", "distance")
+
+
+def _store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored documents, or nothing where no store is yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _ready(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "text", "vector", F.to_json("metadata").alias("metadata"), "category")
+
+
+def add_documents(docs: DataFrame, path: str) -> None:
+    """Add documents (id, text, vector, metadata, category) as they are, stored ids or not."""
+    _ready(docs).write.mode("append").parquet(path)
 
 
 def append_documents(docs: DataFrame, path: str) -> None:
-    """Add documents (id, text, vector, metadata, category) whose id is not stored yet."""
-    spark = docs.sparkSession
-    ready = docs.select("id", "text", "vector", F.to_json("metadata").alias("metadata"), "category")
-    if _exists(spark, path):
-        ready = ready.join(spark.read.parquet(path).select("id"), "id", "left_anti")
+    """Add documents whose id is not stored yet; of several with one id in the batch, one."""
+    ready = _ready(docs).dropDuplicates(["id"])
+    stored = _store(docs.sparkSession, path)
+    if stored is not None:
+        ready = ready.join(stored.select("id"), "id", "left_anti")
     ready.write.mode("append").parquet(path)
 
 
 def seed_documents(docs: DataFrame, path: str) -> None:
-    """Write the default documents only into an empty store."""
-    if not _exists(docs.sparkSession, path):
+    """Write the default documents only into a store without rows."""
+    stored = _store(docs.sparkSession, path)
+    if stored is None or stored.isEmpty():
         append_documents(docs, path)
 
 
-def count_documents(spark, path: str) -> DataFrame:
+def count_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("documents"))
-
-
-def _exists(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

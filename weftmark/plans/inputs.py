@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ TABLES = (
 PART_CATEGORIES = ("STANDARD", "PROMO", "LARGE", "ECONOMY")
 SEEDED_WEEKS = {"2001-03-05": 4.0, "2001-01-15": 0.4}
 ORDERS_UNTIL = "2001-08-06"
+ORDERS_LAST = "2001-07-30"
 EVENTS_UNTIL = "2024-01-31"
+EVENTS_LAST = "2024-01-30"
 FIXED_COST = 4_000_000.0
 
 ORDER_ROLES = Roles(
@@ -39,21 +43,9 @@ EVENT_ROLES = Roles(
 _STEPS = {"signup": "profile", "view": "etl", "click": "sql", "error": "anomaly", "purchase": "report"}
 
 
-# large tables and the key that spreads them
-SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.
-
-    A table that is a single file with a single row group would be scanned, and everything up to the first
-    shuffle computed, by one task. Such a table is small; it is spread over the cores by key. Tables of many
-    files are left as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD_KEYS and len(df.inputFiles()) == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism, SPREAD_KEYS[name])
-    return df
+    """A test table, as Spark splits its files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -172,13 +164,23 @@ def event_facts(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
     return weekly_facts(event_rows(spark, sf_dir), "EVENTS", EVENT_ROLES, period="day", **bounds)
 
 
+def event_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on the weeks of the orders: each day of their month stands for one of the last weeks."""
+    days_left = F.datediff(F.lit(EVENTS_LAST), F.to_date("ts"))
+    rows = event_rows(spark, sf_dir).withColumn("week", F.date_add(F.lit(ORDERS_LAST).cast("date"), -7 * days_left))
+    return weekly_facts(rows, "EVENTS", replace(EVENT_ROLES, date="week"), until=ORDERS_UNTIL)
+
+
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines by order week and by ship week, and events by day; a table without dates drops out."""
+    """Order lines by order week and by ship week, and events, on one axis of weeks with one end.
+
+    A table without dates drops out. In the last week the money is scaled, so that every source has something to explain.
+    """
     trade = weekly_facts_by_dates(
-        fact_lines(spark, sf_dir), {"ORDERS": "order_date", "SHIPMENTS": "ship_date"}, ORDER_ROLES
+        fact_lines(spark, sf_dir), {"ORDERS": "order_date", "SHIPMENTS": "ship_date"}, ORDER_ROLES, until=ORDERS_UNTIL
     )
     undated = weekly_facts(read(spark, sf_dir, "part"), "PARTS", Roles.discover(read(spark, sf_dir, "part")))
-    return weekly_facts_union([trade, event_facts(spark, sf_dir), undated])
+    return weekly_facts_union([trade, event_week_facts(spark, sf_dir), undated])
 
 
 def channel_series(spark: SparkSession, sf_dir: str) -> DataFrame:

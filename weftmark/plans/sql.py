@@ -82,7 +82,7 @@ def union_columns(rows: list[str]) -> str:
 
 # -- detector ---------------------------------------------------------------------------------------------
 
-FACTS = f"""{VALID}, lines AS (
+FACTS_ALL = f"""{VALID}, lines AS (
   SELECT v.*, CAST(revenue * tax AS DECIMAL(18,6)) AS cost_value, n_name AS country, c_mktsegment AS segment
   FROM valid v JOIN customer ON v.customer_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ), trade AS (
@@ -92,10 +92,11 @@ FACTS = f"""{VALID}, lines AS (
     CAST(NULL AS DOUBLE) AS views, CAST(NULL AS DOUBLE) AS clicks, CAST(sum(cost_value) AS DOUBLE) AS cost
   FROM (SELECT 'ORDERS' AS source_table, order_date AS day, * FROM lines
         UNION ALL SELECT 'SHIPMENTS' AS source_table, ship_date AS day, * FROM lines) t
-  WHERE day IS NOT NULL
+  WHERE day IS NOT NULL AND day < DATE '2001-08-06'
   GROUP BY ALL
 ), event_facts AS (
-  SELECT 'EVENTS' AS source_table, CAST(ts AS DATE) AS week_start_date, CAST(NULL AS VARCHAR) AS country,
+  SELECT 'EVENTS' AS source_table,
+    DATE '2001-07-30' - CAST(7 * (DATE '2024-01-30' - CAST(ts AS DATE)) AS INTEGER) AS week_start_date, CAST(NULL AS VARCHAR) AS country,
     CAST(NULL AS VARCHAR) AS device, event_type AS traffic_source,
     CAST(count(DISTINCT user_id) AS DOUBLE) AS fundraisers,
     CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS gdv,
@@ -104,10 +105,9 @@ FACTS = f"""{VALID}, lines AS (
     CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS DOUBLE) AS views,
     CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) AS DOUBLE) AS clicks,
     CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS cost
-  FROM events WHERE ts IS NOT NULL {{event_bounds}}
+  FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-30'
   GROUP BY ALL
 ), facts AS (SELECT * FROM trade UNION ALL SELECT * FROM event_facts)"""
-FACTS_ALL = FACTS.replace("{event_bounds}", "")
 
 _METRICS = ("FUNDRAISERS", "GDV", "NAC2", "COMPLETES", "VIEWS", "CLICKS", "COST")
 FACTS_LONG = "facts_long AS (" + union_columns(

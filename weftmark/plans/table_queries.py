@@ -130,7 +130,7 @@ def role_profile(spark, sf_dir):
 @query(
     "adhoc_sql",
     sql.with_(sql.RAW_ORDERS)
-    + "SELECT product_id, count(*) AS n FROM raw_orders GROUP BY product_id ORDER BY n DESC, product_id LIMIT 50",
+    + "SELECT product_id, count(*) AS n FROM raw_orders GROUP BY product_id ORDER BY n DESC, product_id",
 )
 def adhoc_sql(spark, sf_dir):
     text = "SELECT product_id, count(*) AS n FROM {orders} GROUP BY product_id ORDER BY n DESC, product_id"

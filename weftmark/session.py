@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,25 @@ def build_session(app: str = "weftmark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# applications whose workers have this package
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may run where it is not installed.
+
+    The archive lies on the driver, which serves it to the executors.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spark-package-")
+    archive = shutil.make_archive(f"{folder}/{root.name}-package", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's shared checkpoint folder.
 

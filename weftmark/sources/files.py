@@ -14,7 +14,6 @@ from pyspark.sql.types import StructType
 from weftmark.config import DetectorParams
 from weftmark.session import workspace
 
-MAX_ADHOC_ROWS = 50  # fixed value
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 RAW_SCHEMAS = {
@@ -108,10 +107,11 @@ def read_provenance(spark: SparkSession, table: str) -> dict:
     return json.loads(spark.catalog.getTable(table).description)
 
 
-def adhoc_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame], limit: int = MAX_ADHOC_ROWS) -> DataFrame:
-    """Run a query over the given tables, written in braces (``FROM {orders}``); at most 50 rows come back."""
+def adhoc_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Run a query over the given tables, written in braces (``FROM {orders}``); all rows, or ``limit`` for display."""
     used = {name: df for name, df in tables.items() if "{" + name + "}" in query}
-    return spark.sql(query, **used).limit(limit)
+    found = spark.sql(query, **used)
+    return found if limit is None else found.limit(limit)
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:
