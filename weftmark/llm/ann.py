@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftmark.llm.batches import map_arrow
 from weftmark.llm.vectors import UNIT_QUERIES, UNIT_ROWS, best_of, local_best, matrix, products, ranked, usable
-from weftmark.session import materialize
+from weftmark.session import materialize, ship_package
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -184,6 +184,7 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
         of, at, score = local_best(ids, own, products(matrix(q.column("v")), matrix(x.column("v"))), k)
         return pa.table({"query_id": of, "vec_id": at, "score": score})
 
+    ship_package(rows.sparkSession)
     key = ("leaf", "part", "block")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     return ranked(found, k)

@@ -32,6 +32,7 @@ MIN_RATE = 0.4
 SMOOTHING = 0.5
 # documents whose words are samples of ordinary identifiers, and numbers whose digests are samples of random strings
 SAMPLE_DOCS = 5000
+SALTS = 16
 MASK = "[SECRET]"
 
 # characters are numbered from the blank
@@ -82,14 +83,15 @@ def _spans(text: str, pattern: str, found: str, kind: int) -> Column:
 def sample_strings(docs: DataFrame) -> DataFrame:
     """Labelled samples: text and random (true or false).
 
-    Of up to ``SAMPLE_DOCS`` documents, those with the smallest hashes of their numbers: digests of the number in three
-    writings, and the words, alone and joined.
+    Of up to ``SAMPLE_DOCS`` documents, those with the smallest hashes of their numbers: ``SALTS`` digests of the number
+    in four writings, and the words, alone and joined.
     """
     picked = docs.select(F.col("doc_id").alias("picked"), F.xxhash64("doc_id").alias("hash")).where("picked IS NOT NULL")
     picked = picked.distinct().orderBy("hash", "picked").limit(SAMPLE_DOCS).select("picked")
-    digest = F.sha2(F.col("picked").cast("string"), 256)
+    digest = F.sha2(F.concat_ws(":", "picked", "salt"), 256)
     writings = F.array(digest, F.upper(digest), F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "")))
-    random = picked.select(F.explode(writings).alias("text"), F.lit(True).alias("random"))
+    salted = picked.select("picked", F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt"))
+    random = salted.select(F.explode(writings).alias("text"), F.lit(True).alias("random"))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi")
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "[0-9A-F]{24,}|" + ACCESS, " "), "[0-9a-f]{24,}", " ")
     words = texts.select(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("words"))
@@ -189,14 +191,17 @@ def _text(spans: str) -> Column:
     )
 
 
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_random: what the models add."""
     rows = documents(docs)
     found = with_spans(rows, train_ratios(sample_strings(rows)))
-    counts = {f"n_{k}": F.size(F.filter("_base", lambda s, n=n: s["kind"] == n)).cast("bigint") for n, k in enumerate(KINDS[:3])}
     return found.select(
-        "doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(_text("_base"), 256).alias("base_sha256"),
-        _text("_spans").alias("spans"), F.size(F.filter("_spans", lambda s: s["kind"] == 3)).cast("bigint").alias("n_random"),
+        "doc_id", *(_count("_base", n).alias(f"n_{kind}") for n, kind in enumerate(KINDS[:3])), F.sha2(_text("_base"), 256).alias("base_sha256"),
+        _text("_spans").alias("spans"), _count("_spans", 3).alias("n_random"),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftmark.llm.batches import map_arrow
 from weftmark.llm.vectors import UNIT_QUERIES, UNIT_ROWS, local_best, matrix, ranked, usable
-from weftmark.session import materialize
+from weftmark.session import materialize, ship_package
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -139,6 +139,7 @@ def _join(rows: DataFrame, k: int) -> DataFrame:
         of, at, score = local_best(ids, own, scores, k)
         return pa.table({"query_id": of, "vec_id": at, "score": pa.array(score.astype(np.int64))})
 
+    ship_package(spark)
     key = ("group", "part", "block")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
     return ranked(found, k)
