@@ -93,7 +93,8 @@ def sample_strings(docs: DataFrame) -> DataFrame:
     salted = picked.select("picked", F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt"))
     random = salted.select(F.explode(writings).alias("text"), F.lit(True).alias("random"))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi")
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "[0-9A-F]{24,}|" + ACCESS, " "), "[0-9a-f]{24,}", " ")
+    # assigned values and long runs with digits are what is looked for, not samples of the ordinary
+    clean = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "(?=[A-Za-z+/_=-]*[0-9])" + RUN, " ")
     words = texts.select(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("words"))
 
     def joined(w, i):
