@@ -18,6 +18,9 @@ YIELD = "yield (average gift size)"
 ALL_COUNTRIES, ALL_DEVICES, ALL_SOURCES = "Global", "All devices", "All sources"
 NO_WARNING = "No leading indicator warnings detected."
 
+# series are dealt to so many blocks for pairing
+SERIES_BLOCKS = 16
+
 
 def latest_period(summary: DataFrame) -> Column:
     """The newest period of a summary, as a scalar subquery."""
@@ -129,8 +132,9 @@ def segment_spotlight(contributions: DataFrame, n: int = 5) -> DataFrame:
 def lagged_correlation(summary: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
     """Correlation of every money series with every other series some periods earlier.
 
-    The periods of all series form one axis; a period missing in a series counts as 0. Series are laid out on
-    the axis by their own period map, and pairs meet through an equi-join on the axis index plus lag.
+    The periods of all series form one axis; a period missing in a series counts as 0. Each series is one row with its
+    values as an array, cut and centred once for each lag, and a pair of series is one row with a dot product. Targets
+    meet blocks of predictors, dealt by hash.
     """
     axis = summary.agg(F.array_sort(F.collect_set(PERIOD))).scalar()
     by_period = F.map_from_entries(F.collect_list(F.struct(F.col(PERIOD), F.col("total"))))
@@ -139,32 +143,39 @@ def lagged_correlation(summary: DataFrame, params: DetectorParams = DetectorPara
     dense = maps.select(
         F.upper(F.concat_ws("::", *SERIES_KEY)).alias("series"),
         F.size("axis").alias("weeks"),
-        "values",
-        F.posexplode("axis").alias("at", "period"),
-    ).select("series", "weeks", "at", F.coalesce(F.element_at("values", F.col("period")), F.lit(0.0)).alias("v"))
-    dense = dense.where(F.col("weeks") >= params.min_indicator_weeks)
+        F.transform("axis", lambda p: F.coalesce(F.element_at("values", p), F.lit(0.0))).alias("v"),
+        F.explode(F.array(*[F.lit(lag) for lag in params.indicator_lags])).alias("lag_weeks"),
+    )
+    pairs_left = F.col("weeks") - F.col("lag_weeks")
+    dense = dense.where(
+        (F.col("weeks") >= params.min_indicator_weeks) & (pairs_left >= params.min_indicator_pairs)
+    ).withColumn("n", pairs_left)
     is_money = F.col("series").contains(MONEY_METRIC)
-    lags = F.explode(F.array(*[F.lit(lag) for lag in params.indicator_lags]))
-    targets = dense.where(is_money).select(
-        F.col("series").alias("target_metric"), F.col("v").alias("y"), F.col("at").alias("target_at"), lags.alias("lag_weeks")
-    )
-    targets = targets.withColumn("at", F.col("target_at") - F.col("lag_weeks"))
-    predictors = dense.where(~is_money).select(F.col("series").alias("predictor_metric"), "at", F.col("v").alias("x"))
-    paired = targets.join(predictors, "at").groupBy("predictor_metric", "target_metric", "lag_weeks")
-    stats = paired.agg(
-        F.count("*").alias("n_observations"),
-        F.covar_pop("x", "y").alias("cov"),
-        F.stddev_pop("x").alias("sx"),
-        F.stddev_pop("y").alias("sy"),
+
+    def centred(rows: DataFrame, name: str, first: Column, block: Column) -> DataFrame:
+        """The part of each series that pairs under a lag, less its mean, and the length of that vector."""
+        zero = F.lit(0.0)
+        rows = rows.select("series", "lag_weeks", "n", F.slice("v", first, F.col("n")).alias("part"), block.alias("block"))
+        mean = F.aggregate("part", zero, lambda total, x: total + x) / F.col("n")
+        rows = rows.withColumn("mean", mean).withColumn("c", F.transform("part", lambda x: x - F.col("mean")))
+        length = F.sqrt(F.aggregate("c", zero, lambda total, x: total + x * x))
+        return rows.select(F.col("series").alias(name), "lag_weeks", "n", "block", F.col("c").alias(f"c_{name}"), length.alias(f"l_{name}"))
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(SERIES_BLOCKS - 1)))
+    dealt = F.pmod(F.xxhash64("series"), F.lit(SERIES_BLOCKS)).cast("int")
+    targets = centred(dense.where(is_money), "target_metric", F.col("lag_weeks") + 1, blocks)
+    predictors = centred(dense.where(~is_money), "predictor_metric", F.lit(1), dealt)
+    dot = F.aggregate(
+        F.zip_with("c_predictor_metric", "c_target_metric", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
     )
     # corr() itself divides by zero on constant input
-    r = F.coalesce(F.try_divide("cov", F.col("sx") * F.col("sy")), F.lit(0.0))
-    return stats.where(F.col("n_observations") >= params.min_indicator_pairs).select(
+    r = F.coalesce(F.try_divide(dot, F.col("l_predictor_metric") * F.col("l_target_metric")), F.lit(0.0))
+    return targets.drop("n").join(predictors, ["lag_weeks", "block"]).select(
         "predictor_metric",
         "target_metric",
         "lag_weeks",
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"),
-        "n_observations",
+        F.col("n").cast("bigint").alias("n_observations"),
     )
 
 
@@ -235,6 +246,14 @@ def early_warnings(summary: DataFrame, indicators: DataFrame) -> DataFrame:
     )
 
 
+def warning_lines(warnings: DataFrame) -> DataFrame:
+    """The warnings as text lines, largest projected impact first; one line says so if there are none."""
+    by = Window.orderBy(F.round(F.abs("projected_impact_value"), 6).desc(), "predictor_metric", "target_metric", "lag_weeks")
+    lines = warnings.select(F.row_number().over(by).alias("line"), F.concat_ws(" ", "narrative", "recommended_action").alias("text"))
+    none = warnings.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("line"), F.lit(NO_WARNING).alias("text"))
+    return lines.unionByName(none)
+
+
 def yoy_comparison(summary: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
     """The same series exactly 52 weeks earlier; a null or zero prior value is left out."""
     before = summary.select(

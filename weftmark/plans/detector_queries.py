@@ -328,6 +328,19 @@ def early_warnings(spark, sf_dir):
     return comparable(explain.early_warnings(summary, indicators), **_WARNING_DIGITS)
 
 
+@query(
+    "early_warning_lines",
+    sql.with_(_WARNED)
+    + """SELECT CAST(row_number() OVER (ORDER BY round(abs(projected_impact_value), 6) DESC, predictor_metric, target_metric,
+        lag_weeks) AS INT) AS line, narrative || ' ' || recommended_action AS text FROM early
+      UNION ALL SELECT 1, 'No leading indicator warnings detected.' WHERE (SELECT count(*) FROM early) = 0""",
+)
+def early_warning_lines(spark, sf_dir):
+    _, summary = _summarized(spark, sf_dir)
+    indicators = explain.lead_significance(explain.lagged_correlation(summary))
+    return explain.warning_lines(explain.early_warnings(summary, indicators))
+
+
 _YOY = """SELECT a.source_table, a.metric, a.week_start_date, a.actual, b.actual AS actual_yoy,
   (a.actual - b.actual) / b.actual * 100 AS yoy_pct_diff
   FROM summary a JOIN summary b ON a.source_table = b.source_table AND a.metric = b.metric

@@ -165,16 +165,20 @@ def event_facts(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
 
 
 def event_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events on the weeks of the orders: each day of their month stands for one of the last weeks."""
+    """Events on the weeks of the orders: each day of their month stands for one of the last weeks.
+
+    Spending in the last week is four times what it was, so that the sources have something to warn of.
+    """
     days_left = F.datediff(F.lit(EVENTS_LAST), F.to_date("ts"))
     rows = event_rows(spark, sf_dir).withColumn("week", F.date_add(F.lit(ORDERS_LAST).cast("date"), -7 * days_left))
+    rows = rows.withColumn("spend", F.col("spend") * F.when(days_left == 0, 4).otherwise(1))
     return weekly_facts(rows, "EVENTS", replace(EVENT_ROLES, date="week"), until=ORDERS_UNTIL)
 
 
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines by order week and by ship week, and events, on one axis of weeks with one end.
 
-    A table without dates drops out. In the last week the money is scaled, so that every source has something to explain.
+    A table without dates drops out.
     """
     trade = weekly_facts_by_dates(
         fact_lines(spark, sf_dir), {"ORDERS": "order_date", "SHIPMENTS": "ship_date"}, ORDER_ROLES, until=ORDERS_UNTIL

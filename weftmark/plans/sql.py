@@ -104,7 +104,8 @@ FACTS_ALL = f"""{VALID}, lines AS (
     CAST(count(CASE WHEN event_type = 'purchase' THEN 1 END) AS DOUBLE) AS completes,
     CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS DOUBLE) AS views,
     CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) AS DOUBLE) AS clicks,
-    CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS cost
+    CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(18,2))
+      * CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 4 ELSE 1 END END) AS DOUBLE) AS cost
   FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-30'
   GROUP BY ALL
 ), facts AS (SELECT * FROM trade UNION ALL SELECT * FROM event_facts)"""
