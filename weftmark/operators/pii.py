@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftmark.functions.stats import char_entropy
-from weftmark.session import materialize
 
 # Category -> severity, pattern, column-name keywords.
 RULES = {
@@ -130,18 +129,19 @@ def _any_keyword(category: str, column: Column) -> Column:
 def pii_report(matches: DataFrame, samples: int = 5) -> DataFrame:
     """Per table, column and category: matches, the first distinct samples, confidence and severity.
 
-    Equal matches are merged before the shuffle and written once, so that the texts are searched only once for
-    counts and samples. Only the smallest ``samples`` values of a category travel to its last task.
+    Equal matches are merged before the shuffle, and counts and samples read that one exchange, so the texts are searched
+    once and no match is written anywhere. Only the smallest ``samples`` values of a category travel to its last task.
     """
     key = ["table_name", "column_name", "category"]
-    distinct = materialize(matches.groupBy(*key, "match").agg(F.count("*").alias("n")), "pii-matches")
+    distinct = matches.groupBy(*key, "match").agg(F.count("*").alias("n"))
     totals = distinct.groupBy(*key).agg(F.sum("n").alias("matches"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("match"))
     first = (
         distinct.withColumn("_rank", rank)
         .where(F.col("_rank") <= samples)
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("match")).alias("sample_values"))
+        # with the count, so that this side needs the same exchange as the totals
+        .agg(F.array_sort(F.collect_list(F.struct("match", "n")))["match"].alias("sample_values"))
     )
     severity, named = F.lit(None).cast("string"), F.lit(False)
     for category, (level, _, _) in RULES.items():

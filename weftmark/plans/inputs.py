@@ -98,6 +98,34 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact data made from the customers' keys, for kinds of personal data that the texts lack.
+
+    Every other card number repeats one digit, as test numbers do.
+    """
+    key = F.col("c_custkey")
+    text = key.cast("string")
+
+    def digits(value: Column, n: int) -> Column:
+        return F.lpad((value % 10**n).cast("string"), n, "0")
+
+    hashed = F.concat(F.md5(text), F.md5(F.concat(text, F.lit("x"))))
+    return read(spark, sf_dir, "customer").select(
+        key.alias("contact_id"),
+        F.concat_ws("-", digits(key, 3), digits(key, 2), digits(key, 4)).alias("tax_id"),
+        F.concat_ws("-", F.concat(F.lit("19"), digits(key, 2)), digits(key % 12 + 1, 2), digits(key % 28 + 1, 2)).alias("birth_date"),
+        F.concat(F.lit("P"), digits(key, 7)).alias("passport_no"),
+        F.concat(F.lit("D"), digits(key, 5)).alias("license"),
+        F.concat(F.lit("ABC"), digits(key, 9)).alias("insurance"),
+        F.concat(text, F.lit(" Main Street, "), digits(key, 5)).alias("address"),
+        F.concat(F.lit("sk-"), F.md5(text)).alias("api_token"),
+        F.concat(F.lit("h$2b$10$"), F.substring(hashed, 1, 53)).alias("password_hash"),
+        F.when(key % 2 == 0, "1111-1111-1111-1111")
+        .otherwise(F.concat(F.lit("4000-1234-"), digits(key, 4), F.lit("-5678")))
+        .alias("card_number"),
+    )
+
+
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_id"),

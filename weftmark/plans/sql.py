@@ -72,6 +72,24 @@ GOLD = f"""{VALID}, {SILVER_CUSTOMERS}, {SILVER_PRODUCTS}, weekly_sales AS (
 )"""
 
 
+def _digits(value: str, n: int) -> str:
+    return f"lpad(CAST(({value}) % {10**n} AS VARCHAR), {n}, '0')"
+
+
+_KEY = "c_custkey"
+CONTACTS = f"""contacts AS (
+  SELECT c_custkey AS contact_id, {_digits(_KEY, 3)} || '-' || {_digits(_KEY, 2)} || '-' || {_digits(_KEY, 4)} AS tax_id,
+    '19' || {_digits(_KEY, 2)} || '-' || {_digits("c_custkey % 12 + 1", 2)} || '-' || {_digits("c_custkey % 28 + 1", 2)}
+      AS birth_date,
+    'P' || {_digits(_KEY, 7)} AS passport_no, 'D' || {_digits(_KEY, 5)} AS license, 'ABC' || {_digits(_KEY, 9)} AS insurance,
+    c_custkey || ' Main Street, ' || {_digits(_KEY, 5)} AS address, 'sk-' || md5(CAST(c_custkey AS VARCHAR)) AS api_token,
+    'h$2b$10$' || substr(md5(CAST(c_custkey AS VARCHAR)) || md5(c_custkey || 'x'), 1, 53) AS password_hash,
+    CASE WHEN c_custkey % 2 = 0 THEN '1111-1111-1111-1111' ELSE '4000-1234-' || {_digits(_KEY, 4)} || '-5678' END
+      AS card_number
+  FROM customer
+)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + "\n"
 

@@ -15,26 +15,40 @@ from weftmark.session import workspace
 
 # Letters beyond ASCII count as word characters, as they do in the Spark patterns; here they become "_".
 _LETTERS = r"[\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02C1}\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
-_COLUMNS = {
-    ("documents", "text"): "SELECT doc_id AS key, text AS t FROM documents",
-    ("documents", "source"): "SELECT doc_id AS key, source AS t FROM documents",
-    ("conversations", "text"): "SELECT conv_id AS key, text AS t FROM conversations",
-    ("customers", "email"): "SELECT customer_id AS key, email AS t FROM raw_customers",
-    ("pages", "url"): "SELECT page_id AS key, url AS t FROM pages",
+# every text column of every table: table of the report -> (table in SQL, text columns)
+_TABLES = {
+    "region": ("region", ("r_name",)),
+    "nation": ("nation", ("n_name",)),
+    "customer": ("customer", ("c_name", "c_mktsegment")),
+    "supplier": ("supplier", ("s_name",)),
+    "part": ("part", ("p_name", "p_brand", "p_type")),
+    "orders": ("orders", ("o_orderstatus", "o_orderpriority")),
+    "lineitem": ("lineitem", ("l_returnflag", "l_linestatus")),
+    "events": ("events", ("event_type", "props")),
+    "documents": ("documents", ("text", "lang", "source")),
+    "benchmark": ("benchmark", ("text",)),
+    "pages": ("pages", ("url", "html")),
+    "conversations": ("conversations", ("role", "text")),
+    "customers": ("raw_customers", ("name", "email", "country")),
+    "contacts": (
+        "contacts",
+        ("tax_id", "birth_date", "passport_no", "license", "insurance", "address", "api_token", "password_hash", "card_number"),
+    ),
 }
+_COLUMNS = {(t, c): f"SELECT {c} AS t FROM {name}" for t, (name, columns) in _TABLES.items() for c in columns}
 _ENTROPY_SQL = """list_sum(list_transform(list_distinct(string_split({s}, '')),
   lambda c: -((length({s}) - length(replace({s}, c, ''))) / CAST(length({s}) AS DOUBLE))
     * log2((length({s}) - length(replace({s}, c, ''))) / CAST(length({s}) AS DOUBLE))))"""
 
 
 def _matches_sql(columns, categories) -> str:
-    """Rows (table_name, column_name, category, key, match) before the entropy and length rules."""
+    """Rows (table_name, column_name, category, match) before the entropy and length rules."""
     parts = []
     for table, column in columns:
         for category in categories:
             pattern = pii.RULES[category][1].replace("'", "''")
             parts.append(
-                f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{category}' AS category, key, "
+                f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{category}' AS category, "
                 f"unnest(regexp_extract_all(regexp_replace(t, '{_LETTERS}', '_', 'g'), '{pattern}')) AS match "
                 f"FROM ({_COLUMNS[table, column]})"
             )
@@ -44,7 +58,7 @@ def _matches_sql(columns, categories) -> str:
 def _kept_sql(columns, categories) -> str:
     plain = "regexp_replace(match, '[^a-zA-Z0-9]', '', 'g')"
     entropy = _ENTROPY_SQL.format(s=plain)
-    return f"""{sql.RAW_CUSTOMERS}, raw_matches AS ({_matches_sql(columns, categories)}), kept AS (
+    return f"""{sql.RAW_CUSTOMERS}, {sql.CONTACTS}, raw_matches AS ({_matches_sql(columns, categories)}), kept AS (
       SELECT * FROM raw_matches WHERE NOT (category IN ('credit_card', 'api_key', 'password_hash')
         AND COALESCE({entropy}, 0) < 0.1) AND NOT (category = 'zip_code' AND length(match) < 5))"""
 
@@ -66,13 +80,9 @@ def _report_sql(columns, categories=pii.CATEGORIES) -> str:
       FROM kept GROUP BY table_name, column_name, category"""
 
 
-def _sources(spark, sf_dir):
-    return {
-        "documents": inputs.read(spark, sf_dir, "documents").select("doc_id", "text", "source"),
-        "conversations": inputs.read(spark, sf_dir, "conversations").select("conv_id", "text"),
-        "customers": inputs.raw_customers(spark, sf_dir).select("customer_id", "email"),
-        "pages": inputs.read(spark, sf_dir, "pages").select("page_id", "url"),
-    }
+def _sources(spark, sf_dir, names=tuple(_TABLES)):
+    made = {"customers": inputs.raw_customers, "contacts": inputs.contacts}
+    return {n: made[n](spark, sf_dir) if n in made else inputs.read(spark, sf_dir, n) for n in names}
 
 
 @query("pii_scan", _report_sql(list(_COLUMNS)))
@@ -81,26 +91,25 @@ def pii_scan(spark, sf_dir):
     return comparable(pii.pii_report(found))
 
 
-@query("pii_column_hints", _report_sql([("documents", "source"), ("conversations", "text")]))
-def pii_column_hints(spark, sf_dir):
-    tables = _sources(spark, sf_dir)
-    hinted = {"documents": ["source", "no_such_column"], "conversations": ["text"]}
-    found = union_all([pii.pii_matches(tables[t], t, hints=h) for t, h in hinted.items()])
-    return comparable(pii.pii_report(found))
+_HINTED = {
+    "documents": ["source", "no_such_column"], "conversations": ["text"], "contacts": ["card_number", "api_token", "birth_date"],
+}
+_HINTED_COLUMNS = [(t, c) for t, hints in _HINTED.items() for c in hints if (t, c) in _COLUMNS]
 
 
-_ONE_BY_ONE = [("documents", "text"), ("conversations", "text"), ("customers", "email"), ("pages", "url")]
+@query("pii_column_hints", _report_sql(_HINTED_COLUMNS))
+def pii_column_hints(spark, sf_dir):
+    tables = _sources(spark, sf_dir, _HINTED)
+    found = union_all([pii.pii_matches(tables[t], t, hints=h) for t, h in _HINTED.items()])
+    return comparable(pii.pii_report(found))
 
 
 def _category_query(category: str) -> None:
     def build(spark, sf_dir):
-        tables = _sources(spark, sf_dir)
-        found = [
-            pii.pii_matches(tables[t], t, hints=[c], categories=[category]) for t, c in _ONE_BY_ONE
-        ]
+        found = [pii.pii_matches(df, t, categories=[category]) for t, df in _sources(spark, sf_dir).items()]
         return union_all(found).groupBy("table_name", "column_name", "match").agg(F.count("*").alias("matches"))
 
-    text = sql.with_(_kept_sql(_ONE_BY_ONE, [category]))
+    text = sql.with_(_kept_sql(list(_COLUMNS), [category]))
     query(
         f"pii_{category}",
         text + "SELECT table_name, column_name, match, count(*) AS matches FROM kept GROUP BY ALL",
@@ -126,17 +135,23 @@ _CHECKED = ["credit_card", "api_key", "password_hash", "zip_code"]
 
 @query(
     "pii_entropy_filter",
-    sql.with_(_kept_sql([("documents", "text")], _CHECKED))
+    sql.with_(_kept_sql(list(_COLUMNS), _CHECKED))
     + """SELECT category, (SELECT count(*) FROM raw_matches r WHERE r.category = c.category) AS found,
       (SELECT count(*) FROM kept k WHERE k.category = c.category) AS kept
       FROM (SELECT DISTINCT category FROM raw_matches) c""",
 )
 def pii_entropy_filter(spark, sf_dir):
-    documents = _sources(spark, sf_dir)["documents"]
+    """How many matches the entropy and length rules leave, over all texts."""
     tagged = F.array(
         *[F.struct(F.lit(c).alias("category"), pii.found(F.col("text"), c).alias("found")) for c in _CHECKED]
     )
-    rows = documents.select(F.inline(tagged)).select("category", F.explode("found").alias("match"))
+    texts = union_all(
+        [
+            df.select(F.explode(F.array(*[F.col(f"`{c}`") for c in pii.text_columns(df)])).alias("text"))
+            for df in _sources(spark, sf_dir).values()
+        ]
+    )
+    rows = texts.select(F.inline(tagged)).select("category", F.explode("found").alias("match"))
     keep = pii.keep_match(F.col("category"), F.col("match"))
     return rows.groupBy("category").agg(F.count("*").alias("found"), F.count_if(keep).alias("kept"))
 
