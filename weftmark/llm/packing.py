@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmark.llm.batches import documents, map_arrow, slices, slots, text_key
-from weftmark.llm.tokenizing import crc_of, encoder
+from weftmark.llm.tokenizing import TEXT_BYTES, crc_of, encoder
 from weftmark.session import materialize
 
 CAPACITY = 1024
@@ -104,7 +104,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, counts = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             rows, at = [], 0
             for i, n in enumerate(counts.tolist()):

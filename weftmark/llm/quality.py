@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from weftmark.llm.batches import byte_texts, documents, map_arrow, own_columns, set_aside, slices
 
 PASSAGE_WORDS = 100
+# bytes of text encoded at a time; each takes up to a hundred bytes of numbers
+TEXT_BYTES = 1 << 20
 SAMPLE_DOCS = 4000
 SAMPLE_PASSAGES = 64
 HIDDEN = 16
@@ -165,7 +167,7 @@ def held_out() -> Column:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=TEXT_BYTES):
         x, counts = encode_passages(byte_texts(batch))
         out, at = [], 0
         for n in counts.tolist():
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
 
 def _score(model: AttentionModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             score = model.scores(*encode_passages(byte_texts(batch)))
             kept = [batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*batch.schema.names, "_score"])

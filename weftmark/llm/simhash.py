@@ -36,6 +36,8 @@ MAX_BITS = 4
 GROUPS = 3
 SEGMENTS = 32
 CELL_ROWS = 8192
+# bytes of text hashed at a time
+TEXT_BYTES = 2 << 20
 # pairs compared at once
 BLOCK_PAIRS = 1 << 18
 
@@ -71,7 +73,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=TEXT_BYTES):
         lists = [shingle_hashes(t) for t in byte_texts(batch)]
         counts = np.array([len(x) for x in lists], np.int64)
         hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))

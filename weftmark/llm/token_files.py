@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftmark.llm.batches import documents, map_arrow, slices
-from weftmark.llm.tokenizing import crc_of, encoder
+from weftmark.llm.tokenizing import TEXT_BYTES, crc_of, encoder
 
 # ids in a block, a multiple of 8 so that blocks begin at whole bytes; ids after which a segment ends with its document
 BLOCK_TOKENS = 1024
@@ -89,7 +89,7 @@ def _encode_partition(path: str):
         coder, shard = encoder(path), TaskContext.get().partitionId()
         width = id_width(coder.vocabulary)
         docs, lengths, parts, held, number, first = [], [], [], 0, 0, 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, counts = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             at, rows = 0, []
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
