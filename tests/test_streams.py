@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_runlog import SCHEMA, event
 from weftmark.streaming import drift, rollup
 
+LATE = []
 MONDAY = dt.date(2024, 1, 1)
 
 
@@ -17,7 +18,9 @@ def days(n):
 
 def run_rollup(spark, base):
     source = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
-    rollup.start_rollup(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    started = rollup.start_rollup(source, f"{base}/out", f"{base}/checkpoint", late="2 days")
+    started.awaitTermination()
+    LATE.append(rollup.late_events(started))
     return {(str(r.day), r.agent): r.runs for r in rollup.read_rollup(spark, f"{base}/out").collect()}
 
 
@@ -34,6 +37,7 @@ def test_rollup_is_updated_and_very_late_events_are_dropped(spark, tmp_path):
     arrive(event(6, at=days(20)))
     got = arrive(event(7, at=0), event(8, at=days(20)))
     assert got[("2024-01-01", "a")] == 2 and got[("2024-01-21", "a")] == 2
+    assert LATE[-4:] == [0, 0, 0, 1]
 
 
 def test_rollup_equals_batch(spark, tmp_path):
@@ -59,7 +63,9 @@ def test_drift_goes_on_after_a_restart_and_rejects_late_periods(spark, tmp_path)
 
     arrive(rows[:3])
     arrive([rows[1], *rows[3:]])  # the second period comes again, too late
-    got = spark.read.parquet(f"{base}/out").orderBy("week_start_date").collect()
+    out = spark.read.parquet(f"{base}/out")
+    assert [r.week_start_date for r in out.where("rejected").collect()] == [rows[1][2]]
+    got = out.where("NOT rejected").orderBy("week_start_date").collect()
     high = low = 0.0
     assert len(got) == len(z)
     for row, v in zip(got, z):

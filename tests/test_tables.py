@@ -287,8 +287,15 @@ def test_working_folder_follows_the_session(spark):
     from weftmark.session import CHECKPOINT_CONF, workspace
 
     assert workspace(spark, "x").startswith(spark.conf.get(CHECKPOINT_CONF))
-    bare = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(applicationId="app-1")
-    )
-    first, second = workspace(bare, "x"), workspace(bare, "x")
+
+    def bare(master, **conf):
+        values = {"spark.sql.warehouse.dir": "file:/tmp/wh", "spark.master": master, **conf}
+        get = lambda key, *default: values.get(key, *default)
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(applicationId="app-1"))
+
+    first, second = workspace(bare("local[2]"), "x"), workspace(bare("local[2]"), "x")
+    assert first.startswith("file:/tmp/wh/_work/")
+    assert workspace(bare("yarn", **{"spark.sql.warehouse.dir": "hdfs://n/wh"}), "x").startswith("hdfs://n/wh/_work/")
+    with pytest.raises(ValueError, match="share"):
+        workspace(bare("yarn"), "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

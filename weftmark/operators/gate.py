@@ -53,7 +53,7 @@ def pick_role(schema: StructType, role: str, keywords: Keywords = ROLE_KEYWORDS)
 
 
 def role_profile(catalog: DataFrame, keywords: Keywords = ROLE_KEYWORDS) -> DataFrame:
-    """Best column per (table, role) of a column catalog (table_name, column_name, data_type, position).
+    """Best column per (table, role) of a column catalog, with the rows of its table.
 
     Keywords are a fixed list, so their rank is a column expression; no join is needed.
     """
@@ -67,11 +67,11 @@ def role_profile(catalog: DataFrame, keywords: Keywords = ROLE_KEYWORDS) -> Data
             best = F.when(is_date, F.coalesce(best, F.lit(len(hits))))
         return F.struct(F.lit(role).alias("role"), best.alias("rank"))
 
-    ranked = catalog.select("table_name", "column_name", "position", F.inline(F.array(*map(rank, keywords))))
+    ranked = catalog.select("table_name", "column_name", "position", "row_count", F.inline(F.array(*map(rank, keywords))))
     return (
         ranked.where("rank IS NOT NULL")
         .groupBy("table_name", "role")
-        .agg(F.min_by("column_name", F.struct("rank", "position")).alias("column_name"))
+        .agg(F.min_by("column_name", F.struct("rank", "position")).alias("column_name"), F.max("row_count").alias("row_count"))
     )
 
 

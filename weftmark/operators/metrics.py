@@ -100,9 +100,17 @@ class MetricRegistry:
     def get(self, name: str) -> Metric | None:
         return self.metrics.get(name)
 
-    def register(self, name: str, sql: str, description: str = "", kind: str = "simple") -> None:
-        """Add a metric given as SQL; tables are written in braces, as in ``FROM {silver_orders}``."""
-        self.metrics[name] = Metric(name, description, kind, source="", sql=sql)
+    def register(
+        self, name: str, sql: str = "", description: str = "", kind: str = "simple", dimensions: Sequence[str] = (),
+        source: str = "", measure: str = "",
+    ) -> None:
+        """Add a metric: SQL with tables in braces, as in ``FROM {silver_orders}``, or a measure over a source table.
+
+        Only a metric with a measure can be grouped by its dimensions.
+        """
+        if not sql and not (source and measure):
+            raise ValueError(f"metric {name} needs SQL, or a source and a measure")
+        self.metrics[name] = Metric(name, description, kind, source=source, measure=measure, dimensions=tuple(dimensions), sql=sql)
 
     def from_yaml(self, text: str) -> int:
         """Register the entries of a ``metrics:`` list; returns how many, 0 for text without one."""
@@ -118,7 +126,10 @@ class MetricRegistry:
 
     def from_entries(self, entries: Sequence[Mapping[str, str]]) -> int:
         for entry in entries:
-            self.register(entry["name"], entry["sql"], entry.get("description", ""), entry.get("type", "simple"))
+            self.register(
+                entry["name"], entry.get("sql", ""), entry.get("description", ""), entry.get("type", "simple"),
+                entry.get("dimensions", ()), entry.get("source_table", ""), entry.get("measure", ""),
+            )
         return len(entries)
 
     def resolve(self, name: str, dimensions: Sequence[str] = ()) -> DataFrame:
@@ -126,13 +137,15 @@ class MetricRegistry:
         metric = self.metrics.get(name)
         if metric is None:
             raise KeyError(f"unknown metric: {name}")
-        if metric.sql:
-            used = {t: df for t, df in self.tables.items() if "{" + t + "}" in metric.sql}
-            session = next(iter(self.tables.values())).sparkSession
-            return session.sql(metric.sql, **used)
         unknown = [d for d in dimensions if d not in metric.dimensions]
         if unknown:
             raise ValueError(f"metric {name} has no dimension {unknown}")
+        if dimensions and not (metric.measure or metric.columns):
+            raise ValueError(f"metric {name} is SQL without a measure and cannot be grouped")
+        if metric.sql and not dimensions:
+            used = {t: df for t, df in self.tables.items() if "{" + t + "}" in metric.sql}
+            session = next(iter(self.tables.values())).sparkSession
+            return session.sql(metric.sql, **used)
         source = self.tables[metric.source]
         if metric.columns:
             return source.selectExpr(*metric.columns)

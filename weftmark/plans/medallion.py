@@ -40,7 +40,24 @@ def metric_tables(layers: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def write_layers(layers: Mapping[str, DataFrame], database: str) -> None:
-    """Save every layer as a table. Silver is saved before gold, so that gold reads saved tables."""
-    for name, df in layers.items():
-        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+def run_medallion(
+    raw: Mapping[str, DataFrame], database: str, categories: Iterable[str] = clean.RETAIL_CATEGORIES, prefix: str = ""
+) -> dict[str, DataFrame]:
+    """Save silver as tables, build gold from the saved tables and save it; gives the saved tables.
+
+    Raw data is read once for each silver table, however many gold tables there are.
+    """
+    def saved(name: str, df: DataFrame) -> DataFrame:
+        table = f"{database}.{prefix}{name}"
+        df.write.mode("overwrite").saveAsTable(table)
+        return df.sparkSession.table(table)
+
+    layers = medallion(raw, categories)
+    silver = {n: saved(n, df) for n, df in layers.items() if n.startswith("silver_")}
+    orders, customers, products = (silver[f"silver_{n}"] for n in ("orders", "customers", "products"))
+    gold = {
+        "gold_weekly_sales": marts.gold_weekly_sales(orders),
+        "gold_customer_metrics": marts.gold_customer_metrics(customers, orders),
+        "gold_category_performance": marts.gold_category_performance(products, orders),
+    }
+    return {**silver, **{n: saved(n, df) for n, df in gold.items()}}

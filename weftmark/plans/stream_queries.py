@@ -21,10 +21,19 @@ from weftmark.streaming import drift, rollup
       count(*) FILTER (WHERE status = 'ok') AS ok FROM run_events GROUP BY 1, 2""",
 )
 def stream_run_rollup(spark, sf_dir):
-    schema = inputs.read(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events arrive in three parts; each run of the stream goes on from the state of the one before.
+
+    The last part holds an event of every day, so days of the earlier parts are brought up to date.
+    """
+    events = inputs.read(spark, sf_dir, "events")
     out = workspace(spark, "rollup")
-    rollup.start_rollup(inputs.as_run_events(source), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    day, again = F.to_date("ts"), F.col("event_id") % 7 == 0
+    first = ~again & (day < F.lit("2024-01-16").cast("date"))
+    for part in (first, ~again & ~first, again | day.isNull()):
+        events.where(part).write.mode("append").parquet(f"{out}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        started = rollup.start_rollup(inputs.as_run_events(source), f"{out}/rows", f"{out}/checkpoint", late="40 days")
+        started.awaitTermination()
     return comparable(rollup.read_rollup(spark, f"{out}/rows"), avg_duration_s=6)
 
 
@@ -45,4 +54,4 @@ def stream_cusum(spark, sf_dir):
         part.write.mode("append").parquet(f"{base}/in")
         series = spark.readStream.schema(drift.INPUT).parquet(f"{base}/in")
         drift.start_drift(series, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return comparable(spark.read.parquet(f"{base}/out"), 5)
+    return comparable(spark.read.parquet(f"{base}/out").where("NOT rejected").drop("rejected"), 5)

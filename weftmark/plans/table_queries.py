@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -76,10 +75,18 @@ def bronze_manifest(spark, sf_dir):
 
 @query(
     "schema_drift",
-    """SELECT 'orders' AS table_name, column_name, old_type, new_type, change FROM (VALUES
-      ('channel', 'string', NULL, 'removed'), ('quantity', 'int', 'bigint', 'retyped'),
-      ('unit_price', 'string', 'decimal(18,4)', 'retyped'), ('revenue', NULL, 'decimal(18,4)', 'added'))
-      AS t(column_name, old_type, new_type, change) WHERE (SELECT count(*) FROM lineitem) > 0""",
+    sql.with_(sql.VALID)
+    + """, was AS (SELECT count(*) AS n, count(channel) AS channel, count(quantity) AS quantity, count(unit_price) AS unit_price
+        FROM raw_orders), now AS (SELECT count(*) AS n, count(quantity) AS quantity, count(unit_price) AS unit_price,
+        count(revenue) AS revenue FROM valid)
+      SELECT 'orders' AS table_name, 'channel' AS column_name, 'string' AS old_type, was.n AS old_rows,
+        was.n - was.channel AS old_nulls, CAST(NULL AS VARCHAR) AS new_type, CAST(NULL AS BIGINT) AS new_rows,
+        CAST(NULL AS BIGINT) AS new_nulls, 'removed' AS change FROM was
+      UNION ALL SELECT 'orders', 'quantity', 'int', was.n, was.n - was.quantity, 'bigint', now.n, now.n - now.quantity,
+        'retyped' FROM was, now
+      UNION ALL SELECT 'orders', 'unit_price', 'string', was.n, was.n - was.unit_price, 'decimal(18,4)', now.n,
+        now.n - now.unit_price, 'retyped' FROM was, now
+      UNION ALL SELECT 'orders', 'revenue', NULL, NULL, NULL, 'decimal(18,4)', now.n, now.n - now.revenue, 'added' FROM now""",
 )
 def schema_drift(spark, sf_dir):
     old = inputs.raw_orders(spark, sf_dir)
@@ -115,13 +122,13 @@ TEST_KEYWORDS = {
 
 @query(
     "role_profile",
-    """SELECT * FROM (VALUES
+    f"""SELECT table_name, role, column_name, n AS row_count FROM (VALUES
       ('lineitem', 'date', 'l_shipdate'), ('lineitem', 'gdv', 'l_extendedprice'), ('lineitem', 'cost', 'l_tax'),
       ('orders', 'date', 'o_orderdate'), ('orders', 'gdv', 'o_totalprice'), ('orders', 'fundraiser', 'o_custkey'),
       ('events', 'date', 'ts'), ('events', 'gdv', 'value'), ('events', 'fundraiser', 'user_id'),
       ('customer', 'gdv', 'c_acctbal'), ('customer', 'fundraiser', 'c_custkey'), ('supplier', 'gdv', 's_acctbal'),
       ('documents', 'source', 'source')) AS t(table_name, role, column_name)
-      WHERE (SELECT count(*) FROM lineitem) > 0""",
+      JOIN ({_TABLE_COUNTS}) AS counted ON t.table_name = counted.t""",
 )
 def role_profile(spark, sf_dir):
     return gate.role_profile(catalog.catalog_columns(inputs.all_tables(spark, sf_dir)), TEST_KEYWORDS)
@@ -142,7 +149,7 @@ def adhoc_sql(spark, sf_dir):
     sql.with_(sql.GOLD) + "SELECT *, (SELECT count(*) FROM weekly_sales) AS noted_rows FROM weekly_sales",
 )
 def save_with_provenance(spark, sf_dir):
-    table = "weftmark_" + uuid.uuid4().hex[:12]
+    table = "weftmark_weekly_sales"
     silver = clean.silver_orders(inputs.raw_orders(spark, sf_dir))
     files.save_with_provenance(marts.gold_weekly_sales(silver), table, "weekly sales")
     note = files.read_provenance(spark, table)
@@ -293,6 +300,29 @@ def _layers(spark, sf_dir):
     return medallion.medallion(inputs.raw_retail(spark, sf_dir), inputs.PART_CATEGORIES)
 
 
+@query(
+    "medallion_run",
+    _GOLD
+    + """SELECT 'silver_orders' AS layer, count(*) AS row_count, CAST(NULL AS DOUBLE) AS revenue FROM silver_orders
+      UNION ALL SELECT 'silver_customers', count(*), NULL FROM silver_customers
+      UNION ALL SELECT 'silver_products', count(*), NULL FROM silver_products
+      UNION ALL SELECT 'gold_weekly_sales', count(*), CAST(sum(CAST(revenue AS DECIMAL(28,2))) AS DOUBLE) FROM weekly_sales
+      UNION ALL SELECT 'gold_customer_metrics', count(*), NULL FROM customer_metrics
+      UNION ALL SELECT 'gold_category_performance', count(*), CAST(sum(CAST(revenue AS DECIMAL(28,2))) AS DOUBLE)
+        FROM category_performance""",
+)
+def medallion_run(spark, sf_dir):
+    """Save silver, build gold from the saved tables, save it, and count what is stored."""
+    saved = medallion.run_medallion(inputs.raw_retail(spark, sf_dir), "default", inputs.PART_CATEGORIES, prefix="weftmark_")
+
+    def counted(layer):
+        df = saved[layer]
+        money = F.sum(F.col("revenue").cast("decimal(28,2)")).cast("double") if "revenue" in df.columns else F.lit(None).cast("double")
+        return df.agg(F.count("*").alias("row_count"), money.alias("revenue")).select(F.lit(layer).alias("layer"), "row_count", "revenue")
+
+    return profile.union_all([counted(layer) for layer in saved])
+
+
 for _mart, _cte in (
     ("gold_weekly_sales", "weekly_sales"),
     ("gold_customer_metrics", "customer_metrics"),
@@ -481,17 +511,30 @@ for _name, _text in _METRIC_SQL.items():
     )
 
 
+_METRIC_FILE = """
+metrics:
+  - name: mean_quantity
+    description: Mean quantity of valid lines
+    source_table: valid_orders
+    measure: avg(quantity)
+    dimensions: [channel, customer_id]
+"""
+
+
 @query(
     "metric_registry",
     _GOLD + """SELECT 'by channel' AS cut, channel AS label, CAST(round(sum(revenue), 2) AS DOUBLE) AS value
         FROM valid GROUP BY channel
       UNION ALL SELECT 'by country', country, CAST(round(sum(revenue), 2) AS DOUBLE)
         FROM valid JOIN silver_customers USING (customer_id) GROUP BY country
-      UNION ALL SELECT 'registered', 'orders', CAST(count(*) AS DOUBLE) FROM silver_orders""",
+      UNION ALL SELECT 'registered', 'orders', CAST(count(*) AS DOUBLE) FROM silver_orders
+      UNION ALL SELECT 'from file', channel, round(CAST(sum(quantity) AS DOUBLE) / count(quantity), 6) FROM valid
+        GROUP BY channel""",
 )
 def metric_registry(spark, sf_dir):
     registry = _registry(spark, sf_dir)
     registry.register("all_orders", "SELECT CAST(count(*) AS DOUBLE) AS value FROM {silver_orders}")
+    registry.from_yaml(_METRIC_FILE)
 
     def cut(dimension):
         by = registry.resolve("total_revenue", [dimension])
@@ -500,7 +543,10 @@ def metric_registry(spark, sf_dir):
         )
 
     own = registry.resolve("all_orders").select(F.lit("registered").alias("cut"), F.lit("orders").alias("label"), "value")
-    return profile.union_all([cut("channel"), cut("country"), own])
+    grouped = registry.resolve("mean_quantity", ["channel"]).select(
+        F.lit("from file").alias("cut"), F.col("channel").alias("label"), F.round("mean_quantity", 6).alias("value")
+    )
+    return profile.union_all([cut("channel"), cut("country"), own, grouped])
 
 
 # -- profiling --------------------------------------------------------------------------------------------------

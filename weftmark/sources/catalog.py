@@ -28,10 +28,14 @@ def bronze_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Columns added, removed or retyped between two manifests."""
+    """Columns added, removed or retyped between two manifests, with the rows and nulls that they had and have."""
     key = ["table_name", "column_name"]
-    before = old.select(*key, F.col("data_type").alias("old_type"))
-    after = new.select(*key, F.col("data_type").alias("new_type"))
+
+    def side(manifest: DataFrame, name: str) -> DataFrame:
+        renamed = {"data_type": f"{name}_type", "row_count": f"{name}_rows", "null_count": f"{name}_nulls"}
+        return manifest.select(*key, *[F.col(c).alias(n) for c, n in renamed.items()])
+
+    before, after = side(old, "old"), side(new, "new")
     change = (
         F.when(F.col("old_type").isNull(), "added")
         .when(F.col("new_type").isNull(), "removed")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftmark.config import DetectorParams
-from weftmark.session import workspace
 
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -78,18 +77,24 @@ def save_with_provenance(
 ) -> str:
     """Overwrite a table and record where it came from in its comment; an empty input is skipped.
 
-    The rows are computed and written once, to a new folder, and counted on the way. Only then does the table
-    name move to that folder, so readers never see a half-written table.
+    The rows are computed and written once, to a new folder below ``folder`` (the warehouse, if none is given), and
+    counted on the way. Only then does the table move to that folder, so readers never see a half-written table; a table
+    whose columns stay the same is there all the time. Folders of earlier versions are left to the readers they may have.
     """
     spark = df.sparkSession
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}" if folder else workspace(spark, table)
+    root = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_versions/{table}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     rows = seen.get["rows"]
     if rows == 0:
         return table
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.catalog.createTable(table, path=path, source="parquet", schema=df.schema)
+    if spark.catalog.tableExists(table) and spark.table(table).schema.simpleString() == df.schema.simpleString():
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.catalog.createTable(table, path=path, source="parquet", schema=df.schema)
     comment = {
         "description": description,
         "generated_by": generator,

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from weftmark.config import PERIOD, SERIES_KEY, DetectorParams
 
 INPUT = f"source_table string, metric string, {PERIOD} date, z_score double"
-OUTPUT = f"source_table string, metric string, {PERIOD} date, cusum_high double, cusum_low double"
+OUTPUT = f"source_table string, metric string, {PERIOD} date, cusum_high double, cusum_low double, rejected boolean"
 STATE = "high double, low double, last date"
 
 
@@ -20,7 +20,8 @@ def drift(series: DataFrame, params: DetectorParams = DetectorParams()) -> DataF
     """Fold one row per series and period into high and low sums.
 
     The recursion needs the state of the period before, which is what keyed state is for; a series adds one
-    row per period, so a key stays small. A period not newer than the last one folded in is rejected.
+    row per period, so a key stays small. A period not newer than the last one folded in changes no
+    sum; it comes out without sums and marked as rejected.
     """
     slack = params.cusum_slack
 
@@ -28,7 +29,11 @@ def drift(series: DataFrame, params: DetectorParams = DetectorParams()) -> DataF
         high, low, last = state.get if state.exists else (0.0, 0.0, None)
         rows = pd.concat(list(frames)).sort_values(PERIOD)
         if last is not None:
+            late = rows[rows[PERIOD] <= last]
             rows = rows[rows[PERIOD] > last]
+            if len(late):
+                none = {"cusum_high": float("nan"), "cusum_low": float("nan"), "rejected": True}
+                yield pd.DataFrame({"source_table": key[0], "metric": key[1], PERIOD: late[PERIOD], **none})
         highs, lows = [], []
         for z in rows["z_score"]:
             if pd.notna(z):
@@ -44,6 +49,7 @@ def drift(series: DataFrame, params: DetectorParams = DetectorParams()) -> DataF
                     PERIOD: rows[PERIOD],
                     "cusum_high": highs,
                     "cusum_low": lows,
+                    "rejected": False,
                 }
             )
 

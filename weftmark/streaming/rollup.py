@@ -30,10 +30,11 @@ def rollup_by_day(events: DataFrame, late: str | None = None) -> DataFrame:
     )
 
 
-def start_rollup(events: DataFrame, out: str, checkpoint: str, late: str = "2 days") -> StreamingQuery:
+def start_rollup(events: DataFrame, out: str, checkpoint: str, late: str) -> StreamingQuery:
     """Write the changed rows of every micro-batch to ``out/batch=N``.
 
-    A batch that is run again after a failure overwrites its own folder, so the output stays exact.
+    A batch that is run again after a failure overwrites its own folder, so the output stays exact. Events that come later
+    than ``late`` are not counted in the days; ``late_events`` says how many there were.
     """
 
     def write(changed: DataFrame, batch: int) -> None:
@@ -49,6 +50,11 @@ def start_rollup(events: DataFrame, out: str, checkpoint: str, late: str = "2 da
     )
 
 
+def late_events(query: StreamingQuery) -> int:
+    """Events that the last runs of a roll-up stream left out because they came too late."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def read_rollup(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of every (day, agent) row."""
     newest = F.row_number().over(Window.partitionBy("day", "agent").orderBy(F.col("batch").desc()))
