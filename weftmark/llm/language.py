@@ -25,6 +25,8 @@ from weftmark.llm.batches import documents, map_arrow, own_columns, slices
 
 PROFILE = 400
 ALPHABET = 128
+# languages that a task counts before it sends its counts on; about 17 MB each
+COUNTED_AT_ONCE = 6
 _PLACES = 1 << 12
 
 
@@ -107,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if codes:
                 counts.setdefault(lang, np.zeros(span, np.int64))
                 counts[lang] += np.bincount(np.concatenate(codes), minlength=span)
-        if len(counts) > 16:
+        if len(counts) > COUNTED_AT_ONCE:
             yield from _counted(counts)
             counts = {}
     yield from _counted(counts)
