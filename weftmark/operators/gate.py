@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from weftmark.config import DetectorParams
-from weftmark.operators.profile import profile_tables, union_all
+from weftmark.operators.profile import union_all
 
 # Role -> keywords, best first.
 ROLE_KEYWORDS = {
@@ -75,83 +75,100 @@ def role_profile(catalog: DataFrame, keywords: Keywords = ROLE_KEYWORDS) -> Data
     )
 
 
-def _issue(check: str, text: Column) -> list[Column]:
-    return [F.lit(check).alias("check"), F.col("table_name"), text.alias("issue"), F.lit(False).alias("fatal")]
-
-
-_ISSUE_SCHEMA = "check string, table_name string, issue string, fatal boolean"
-
-
-def _no_issues(tables: Mapping[str, DataFrame], extra: str = "") -> DataFrame:
-    session = next(iter(tables.values())).sparkSession
-    return session.createDataFrame([], _ISSUE_SCHEMA + extra)
+CHECKS = ("row_count", "null_fraction", "date_coverage", "metric_type")
+_ISSUE_SCHEMA = "check string, table_name string, issue string, fatal boolean, unparsable bigint"
+
+
+def _role_columns(schema: StructType, roles: tuple[str, ...], keywords: Keywords) -> dict[str, str]:
+    picked = {role: pick_role(schema, role, keywords) for role in roles}
+    return {role: column for role, column in picked.items() if column}
+
+
+def _table_issues(
+    df: DataFrame, table: str, params: DetectorParams, keywords: Keywords, checks: tuple[str, ...]
+) -> DataFrame | None:
+    """Issues of one table from one aggregate over it; None if no check looks at it."""
+    measures: dict[str, Column] = {"n": F.count("*")}
+    found: list[tuple[str, Column, Column, Column]] = []  # check, condition, text, unparsable values
+    none = F.lit(None).cast("bigint")
+    if "row_count" in checks:
+        text = F.format_string(f"Table %s has only %d rows (min: {params.min_total_rows})", F.lit(table), "n")
+        found.append(("row_count", F.col("n") < params.min_total_rows, text, none))
+    if "null_fraction" in checks:
+        for i, column in enumerate(sorted(set(_role_columns(df.schema, ("date", "gdv"), keywords).values()))):
+            measures[f"nulls_{i}"] = F.count_if(F.col(column).isNull())
+            share = F.col(f"nulls_{i}") / F.greatest(F.col("n"), F.lit(1))
+            text = F.format_string(
+                f"Table %s.%s is %d%% null (max: {params.max_null_fraction:.0%})".replace("%)", "%%)"),
+                F.lit(table), F.lit(column), F.floor(share * 100 + 0.5),
+            )
+            found.append(("null_fraction", share > params.max_null_fraction, text, none))
+    if "date_coverage" in checks:
+        for column in _role_columns(df.schema, ("date",), keywords).values():
+            measures["days"] = F.datediff(F.max(F.to_date(column)), F.min(F.to_date(column)))
+            weeks = F.col("days") / 7.0
+            text = F.format_string(
+                f"Table %s.%s spans only %d weeks (expected ~{params.lookback_weeks})",
+                F.lit(table), F.lit(column), F.floor(weeks + 0.5),
+            )
+            found.append(("date_coverage", weeks < params.lookback_weeks * 0.5, text, none))
+    if "metric_type" in checks:
+        for role, column in _role_columns(df.schema, ("gdv", "cost"), keywords).items():
+            kind = df.schema[column].dataType
+            if isinstance(kind, NumericType):
+                continue
+            value = F.col(column).cast("string")
+            measures[f"lost_{role}"] = F.count_if(value.isNotNull() & value.try_cast("double").isNull())
+            name = kind.simpleString().upper()
+            text = F.lit(f"Table {table}.{column} ({role}) has type {name} — expected numeric; will use TRY_TO_NUMBER")
+            found.append(("metric_type", F.lit(True), text, F.col(f"lost_{role}")))
+    if not found:
+        return None
+    rows = [
+        F.struct(
+            cond.alias("hit"), F.lit(check).alias("check"), F.lit(table).alias("table_name"), text.alias("issue"),
+            F.lit(False).alias("fatal"), lost.cast("bigint").alias("unparsable"),
+        )
+        for check, cond, text, lost in found
+    ]
+    measured = df.agg(*[m.alias(name) for name, m in measures.items()])
+    return measured.select(F.inline(F.array(*rows))).where("hit").drop("hit")
 
 
-def gate_row_counts(tables: Mapping[str, DataFrame | None], params: DetectorParams = DetectorParams()) -> DataFrame:
-    """Tables with too few rows. A table given as None could not be read: an issue, but no failure."""
+def _issues(
+    tables: Mapping[str, DataFrame | None], params: DetectorParams, keywords: Keywords, checks: tuple[str, ...]
+) -> DataFrame:
+    """Issues of all tables. A table given as None could not be read: an issue of its rows, but no failure."""
     readable = {name: df for name, df in tables.items() if df is not None}
     session = next(iter(readable.values())).sparkSession
-    counts = union_all(
-        [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in readable.items()]
-    )
-    small = counts.where(F.col("n") < params.min_total_rows).select(
-        *_issue(
-            "row_count",
-            F.format_string(f"Table %s has only %d rows (min: {params.min_total_rows})", "table_name", "n"),
-        )
-    )
-    missing = [name for name in tables if name not in readable]
-    if missing:
-        absent = session.createDataFrame([(name,) for name in missing], "table_name string")
-        gone = F.format_string("Table %s does not exist or is not accessible — skipping", "table_name")
-        small = small.unionByName(absent.select(*_issue("row_count", gone)))
-    return small
+    parts = [_table_issues(df, name, params, keywords, checks) for name, df in readable.items()]
+    absent = [
+        ("row_count", name, f"Table {name} does not exist or is not accessible — skipping", False, None)
+        for name in tables
+        if name not in readable and "row_count" in checks
+    ]
+    if absent or not any(p is not None for p in parts):
+        parts.append(session.createDataFrame(absent, _ISSUE_SCHEMA))
+    return union_all([p for p in parts if p is not None])
 
 
-def _role_columns(tables: Mapping[str, DataFrame], roles: tuple[str, ...], keywords: Keywords) -> dict[str, dict[str, str]]:
-    found = {t: {r: pick_role(df.schema, r, keywords) for r in roles} for t, df in tables.items()}
-    return {t: {r: c for r, c in by_role.items() if c} for t, by_role in found.items()}
+def gate_row_counts(tables: Mapping[str, DataFrame | None], params: DetectorParams = DetectorParams()) -> DataFrame:
+    """Tables with too few rows."""
+    return _issues(tables, params, ROLE_KEYWORDS, ("row_count",)).drop("unparsable")
 
 
 def gate_null_fraction(
     tables: Mapping[str, DataFrame], params: DetectorParams = DetectorParams(), keywords: Keywords = ROLE_KEYWORDS
 ) -> DataFrame:
-    """Date and money columns with too many nulls, all columns of a table in one pass."""
-    wanted = {t: sorted(set(r.values())) for t, r in _role_columns(tables, ("date", "gdv"), keywords).items()}
-    checked = {t: tables[t].select(*cols) for t, cols in wanted.items() if cols}
-    if not checked:
-        return _no_issues(tables)
-    profile = profile_tables(checked)
-    share = F.col("null_count") / F.greatest(F.col("row_count"), F.lit(1))
-    percent = F.floor(share * 100 + 0.5)
-    text = F.format_string(
-        f"Table %s.%s is %d%% null (max: {params.max_null_fraction:.0%})".replace("%)", "%%)"),
-        "table_name", "column_name", percent,
-    )
-    return profile.where(share > params.max_null_fraction).select(*_issue("null_fraction", text))
+    """Date and money columns with too many nulls."""
+    return _issues(tables, params, keywords, ("null_fraction",)).drop("unparsable")
 
 
 def gate_date_coverage(
     tables: Mapping[str, DataFrame], params: DetectorParams = DetectorParams(), keywords: Keywords = ROLE_KEYWORDS
 ) -> DataFrame:
     """Date columns that span less than half of the lookback period."""
-    dates = {t: r["date"] for t, r in _role_columns(tables, ("date",), keywords).items() if r}
-    if not dates:
-        return _no_issues(tables)
-    spans = union_all(
-        [
-            tables[t]
-            .agg(F.datediff(F.max(F.to_date(c)), F.min(F.to_date(c))).alias("days"))
-            .select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "days")
-            for t, c in dates.items()
-        ]
-    )
-    weeks = F.col("days") / 7.0
-    text = F.format_string(
-        f"Table %s.%s spans only %d weeks (expected ~{params.lookback_weeks})",
-        "table_name", "column_name", F.floor(weeks + 0.5),
-    )
-    return spans.where(weeks < params.lookback_weeks * 0.5).select(*_issue("date_coverage", text))
+    return _issues(tables, params, keywords, ("date_coverage",)).drop("unparsable")
 
 
 def gate_metric_types(tables: Mapping[str, DataFrame], keywords: Keywords = ROLE_KEYWORDS) -> DataFrame:
@@ -159,20 +176,7 @@ def gate_metric_types(tables: Mapping[str, DataFrame], keywords: Keywords = ROLE
 
     Each finding also carries how many values will be lost when the text is read as number.
     """
-    frames = []
-    for table, roles in _role_columns(tables, ("gdv", "cost"), keywords).items():
-        df = tables[table]
-        for role, column in roles.items():
-            kind = df.schema[column].dataType
-            if isinstance(kind, NumericType):
-                continue
-            name = kind.simpleString().upper()
-            text = F.lit(f"Table {table}.{column} ({role}) has type {name} — expected numeric; will use TRY_TO_NUMBER")
-            value = F.col(column).cast("string")
-            lost = F.count_if(value.isNotNull() & value.try_cast("double").isNull())
-            row = df.agg(lost.alias("unparsable")).withColumn("table_name", F.lit(table))
-            frames.append(row.select(*_issue("metric_type", text), "unparsable"))
-    return union_all(frames) if frames else _no_issues(tables, ", unparsable bigint")
+    return _issues(tables, DetectorParams(), keywords, ("metric_type",))
 
 
 def quality_gate(
@@ -180,17 +184,11 @@ def quality_gate(
     params: DetectorParams = DetectorParams(),
     keywords: Keywords = ROLE_KEYWORDS,
 ) -> DataFrame:
-    """All issues of the four checks; ``passed`` is false only where an issue is fatal, which none is."""
-    readable = {name: df for name, df in tables.items() if df is not None}
-    issues = union_all(
-        [
-            gate_row_counts(tables, params),
-            gate_null_fraction(readable, params, keywords),
-            gate_date_coverage(readable, params, keywords),
-            gate_metric_types(readable, keywords).drop("unparsable"),
-        ]
-    )
-    return issues.withColumn("passed", ~F.col("fatal"))
+    """All issues of the four checks, from one pass over each table.
+
+    ``passed`` is false only where an issue is fatal, which none is.
+    """
+    return _issues(tables, params, keywords, CHECKS).drop("unparsable").withColumn("passed", ~F.col("fatal"))
 
 
 def gate_passed(issues: DataFrame) -> DataFrame:

@@ -345,7 +345,10 @@ for _mart, _cte in (
         NULL, NULL FROM category_performance""",
 )
 def mart_totals(spark, sf_dir):
-    made = _layers(spark, sf_dir)
+    """Totals of the stored marts."""
+    made = medallion.run_medallion(
+        inputs.raw_retail(spark, sf_dir), "default", inputs.PART_CATEGORIES, prefix="weftmark_totals_"
+    )
     return marts.mart_totals(
         made["gold_weekly_sales"], made["gold_customer_metrics"], made["gold_category_performance"]
     )
