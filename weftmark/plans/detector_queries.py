@@ -541,4 +541,31 @@ def detector_run(spark, sf_dir):
     return facts.union_all(counts)
 
 
+@query(
+    "detector_from_tables",
+    sql.with_(sql.DETECT)
+    + f"""SELECT 'metric_facts' AS output, source_table, count(*) AS row_count, {snap_sql("sum(gdv)", 1)} AS gdv FROM facts
+        WHERE source_table <> 'SHIPMENTS' GROUP BY source_table
+      UNION ALL SELECT 'metric_summary', source_table, count(*),
+        {snap_sql("sum(CASE WHEN metric = 'GDV' THEN actual END)", 1)} FROM summary WHERE source_table <> 'SHIPMENTS'
+        GROUP BY source_table
+      UNION ALL SELECT 'quality_gate', 'GONE', 1, NULL
+      UNION ALL SELECT 'quality_gate', 'EVENTS', count(*), NULL FROM (SELECT count(*) AS n,
+        count(CASE WHEN event_type = 'purchase' THEN value END) AS seen FROM events) WHERE 1 - seen / n > 0.3 HAVING count(*) > 0""",
+)
+def detector_from_tables(spark, sf_dir):
+    outputs = detector.detect_from_tables(inputs.discoverable_tables(spark, sf_dir), until=inputs.ORDERS_UNTIL)
+
+    def counted(name, table, gdv):
+        rows = outputs[name].groupBy(F.col(table).alias("source_table")).agg(F.count("*").alias("row_count"), gdv.alias("gdv"))
+        return rows.select(F.lit(name).alias("output"), "source_table", "row_count", "gdv")
+
+    found = [
+        counted("metric_facts", "source_table", F.sum("gdv")),
+        counted("metric_summary", "source_table", F.sum(F.when(F.col("metric") == "GDV", F.col("actual")))),
+        counted("quality_gate", "table_name", F.max(F.lit(None).cast("double"))),
+    ]
+    return comparable(facts.union_all(found), 1)
+
+
 assert set(_VALUE_DIGITS) == {m.lower() for m in METRICS}

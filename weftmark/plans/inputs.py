@@ -197,10 +197,13 @@ def event_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Spending in the last week is four times what it was, so that the sources have something to warn of.
     """
+    return weekly_facts(_event_weeks(spark, sf_dir), "EVENTS", replace(EVENT_ROLES, date="week"), until=ORDERS_UNTIL)
+
+
+def _event_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     days_left = F.datediff(F.lit(EVENTS_LAST), F.to_date("ts"))
     rows = event_rows(spark, sf_dir).withColumn("week", F.date_add(F.lit(ORDERS_LAST).cast("date"), -7 * days_left))
-    rows = rows.withColumn("spend", F.col("spend") * F.when(days_left == 0, 4).otherwise(1))
-    return weekly_facts(rows, "EVENTS", replace(EVENT_ROLES, date="week"), until=ORDERS_UNTIL)
+    return rows.withColumn("spend", F.col("spend") * F.when(days_left == 0, 4).otherwise(1))
 
 
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +218,17 @@ def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_facts_union([trade, event_week_facts(spark, sf_dir), undated])
 
 
+def discoverable_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame | None]:
+    """Order lines and events under column names that tell their roles, a table without dates, and a missing one."""
+    lines = fact_lines(spark, sf_dir).select(
+        "order_date", F.col("customer_id").alias("fundraiser_id"), "country", F.col("channel").alias("device_name"),
+        F.col("segment").alias("record_source"), F.col("revenue").alias("gdv"), F.col("order_id").alias("donation_id"), "cost",
+    )
+    renamed = {"user_id": "fundraiser_id", "event_type": "record_source", "signup": "nac2"}
+    events = _event_weeks(spark, sf_dir).withColumnsRenamed(renamed).drop("ts")
+    return {"ORDERS": lines, "EVENTS": events, "PARTS": read(spark, sf_dir, "part"), "GONE": None}
+
+
 def channel_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly money and line count of valid orders, with two planted anomalies."""
     return seed_periods(weekly_series(weekly_channel_facts(raw_orders(spark, sf_dir))), "GDV", SEEDED_WEEKS)
