@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from edges import edge_docs, edge_rows, empty_docs, multiset, prose
 from hypothesis import given, settings
@@ -189,10 +190,11 @@ def test_repeats_across_slices_and_blocks(spark, monkeypatch):
     assert got == multiset(plain_repeats(docs, 9))
 
 
-def test_small_blocks_lose_nothing(monkeypatch):
+@pytest.mark.parametrize("kinds", [1, 2, 7])
+def test_small_blocks_lose_nothing(monkeypatch, kinds):
     import pyarrow as pa
 
-    docs = [(i, prose(i % 7, 80)) for i in range(30)]
+    docs = [(i, prose(i % kinds, 20 + 9 * (i % 5))) for i in range(30)]
     batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "row_key": list(range(30)), "text": [t for _, t in docs]})
     monkeypatch.setattr(substrings, "BLOCK_WINDOWS", 4)
     rows = pa.Table.from_batches(b for i in range(30) for b in substrings._own_factors(9, 4)([batch.slice(i, 1)])).sort_by("minimizer")

@@ -12,7 +12,7 @@ factored there, and the spans of neighbouring factors overlap and are merged.
 
 First, each task factors its own documents against themselves, a bounded slice at a time. What repeats there is settled
 on the spot, and only the first place of every window is sent on. So a passage that a third of all documents share
-reaches its block once per slice, not once per document.
+reaches its block once per slice, not once per document, and the block keeps one place of each of its windows.
 
 Words are runs of other characters than blank, tab, line feed, vertical tab, form feed and carriage return. Window hashes
 have 64 bits and are compared only under equal minimizer hashes of another 64. A null or empty text has no words. Repeated
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,7 +181,8 @@ def _block_factors(window: int):
 
     names = ["doc_id", "row_key", "start", "end"]
 
-    def settle(table: pa.Table):
+    def settle(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+        """New spans of the block, and the block less all but the first place of each window, marked as settled."""
         data = np.frombuffer(b"".join(table.column("windows").to_pylist()), "<u8").astype(np.uint64)
         settled = np.frombuffer(b"".join(table.column("settled").to_pylist()), np.uint8).astype(bool)
         start = table.column("start").to_numpy()
@@ -194,19 +196,28 @@ def _block_factors(window: int):
         starts = start[row] + np.arange(len(data)) - begin[row]
         breaks = breaks[real]
         breaks[1:] |= np.diff(real) > 1
-        row, starts = row[real], starts[real]
-        _, repeated, begins = factors(data[real], breaks)
+        refers, repeated, begins = factors(data[real], breaks)
         news = repeated & ~settled[real]
         if len(news):
             begins[1:] |= news[1:] != news[:-1]
-        of, lo, hi = _spans(row, starts, news, begins, window)
+        of, lo, hi = _spans(row[real], starts[real], news, begins, window)
         of = pa.array(of)
         columns = [table.column(c).combine_chunks().take(of) for c in names[:2]]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(lo), pa.array(hi)], names=names)
+        spans = pa.RecordBatch.from_arrays([*columns, pa.array(lo), pa.array(hi)], names=names)
+
+        kept = np.zeros(len(data), bool)
+        kept[real[refers == np.arange(len(refers))]] = True
+        settled[real] |= repeated
+        some = np.flatnonzero(np.add.reduceat(kept, begin) > 0) if len(begin) else begin
+        left, flags = np.where(kept, data, _NONE).astype("<u8").tobytes(), settled.astype(np.uint8).tobytes()
+        cut = [(int(begin[i]), int(begin[i] + sizes[i])) for i in some]
+        rest = table.take(pa.array(some)).select(["minimizer", *names])
+        rest = rest.append_column("windows", pa.array([left[8 * x : 8 * y] for x, y in cut], pa.binary()))
+        return spans, rest.append_column("settled", pa.array([flags[x:y] for x, y in cut], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        size = 0
+        size, limit = 0, BLOCK_WINDOWS
         for batch in batches:
             table = pa.Table.from_batches([batch])
             passed = table.filter(table.column("windows").is_null()).select(names)
@@ -214,25 +225,31 @@ def _block_factors(window: int):
             table = table.filter(table.column("windows").is_valid())
             if not table.num_rows:
                 continue
-            held.append(table)
-            size += table.column("windows").nbytes // 8
-            if size >= BLOCK_WINDOWS:
-                # rows of the last minimizer wait for the rest of theirs
+            held.append(table.select(["minimizer", *names, "windows", "settled"]))
+            size += _windows(table)
+            if size >= limit:
+                # rows of the last minimizer wait for the rest of theirs; a large group keeps its distinct windows
                 table = pa.concat_tables(held)
                 minimizer = table.column("minimizer").to_numpy()
                 last = int(np.searchsorted(minimizer, minimizer[-1]))
                 if last:
-                    yield settle(table.slice(0, last))
-                    held = [table.slice(last)]
-                    size = held[0].column("windows").nbytes // 8 if last < table.num_rows else 0
+                    yield settle(table.slice(0, last))[0]
+                    table = table.slice(last)
                 else:
-                    held = [table]
+                    spans, table = settle(table)
+                    yield spans
+                held, size = [table], _windows(table)
+                limit = max(BLOCK_WINDOWS, 2 * size)
         if held:
-            yield settle(pa.concat_tables(held))
+            yield settle(pa.concat_tables(held))[0]
 
     return run
 
 
+def _windows(table: pa.Table) -> int:
+    return int(pc.sum(pc.binary_length(table.column("windows"))).as_py() or 0) // 8
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """doc_id, row_key, start and end (words, end exclusive) of factors; they may overlap."""
     rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
