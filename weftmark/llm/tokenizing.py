@@ -14,9 +14,9 @@ from weftmark.llm.batches import ragged
 
 END_ID = 2
 # bytes of text encoded at a time
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 # pieces that a worker remembers; more are encoded anew in every batch
-MEMO_PIECES = 300_000
+MEMO_PIECES = 250_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
