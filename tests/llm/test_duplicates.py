@@ -206,6 +206,56 @@ def test_small_blocks_lose_nothing(monkeypatch, kinds):
     assert {d: len(covered.get(d, ())) for d in want} == want
 
 
+def test_a_large_minimizer_is_held_in_part(monkeypatch):
+    """Rows of one minimizer with different windows go on before the last of them has come."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "BLOCK_WINDOWS", 64)
+    read, batches = [0], []
+    for i in range(100):
+        at = np.arange(20 * i + 1, 20 * i + 21, dtype="<u8")
+        batches.append(pa.RecordBatch.from_pydict(
+            {
+                "minimizer": [7] * 2, "doc_id": [2 * i, 2 * i + 1], "row_key": [0, 0], "start": [0, 0], "end": [10, 10],
+                "windows": [at[:10].tobytes(), at[10:].tobytes()], "settled": [bytes(10)] * 2,
+            },
+            schema=substrings._ROWS,
+        ))
+
+    def feed():
+        for batch in batches:
+            read[0] += 20
+            yield batch
+
+    done = 0
+    seen = set()
+    for out in substrings._block_factors(9, pass_on=True)(feed()):
+        assert read[0] - done <= 64 + 20
+        done += out.num_rows
+        seen.update((r["doc_id"], r["start"], r["windows"]) for r in out.to_pylist())
+    assert len(seen) == 2000 and all(w is not None for _, _, w in seen)
+
+
+def test_a_passage_with_many_borders(spark, monkeypatch):
+    # nearly all windows share the minimizer of one passage, and some of them repeat
+    monkeypatch.setattr(substrings, "BLOCK_WINDOWS", 16)
+    passage = prose(1, 10)
+    docs = [(i, f"{prose(100 + i % 150, 8)} {passage} {prose(900 + i % 70, 8)} {i}") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(60)
+    passed = []
+    written = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, name: passed.append(written(df, name)) or passed[-1])
+    rows_each = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows_each)
+    spark.conf.set(rows_each, "5")
+    try:
+        got = multiset(tuple(r) for r in substrings.repeat_digests(frame, window=12, gram=4).collect())
+    finally:
+        spark.conf.set(rows_each, usual)
+    assert got == multiset(plain_repeats(docs, 12))
+    assert passed[0].where("windows IS NOT NULL").count() > 100
+
+
 def test_op8_equals_counting_windows(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = multiset(tuple(r) for r in QUERIES["op8_substrings"](spark, sf_dir).collect())

@@ -14,6 +14,10 @@ First, each task factors its own documents against themselves, a bounded slice a
 on the spot, and only the first place of every window is sent on. So a passage that a third of all documents share
 reaches its block once per slice, not once per document, and the block keeps one place of each of its windows.
 
+The windows over the borders of such a passage all differ and share its minimizer. A task that meets more than half of
+``BLOCK_WINDOWS`` different windows of one minimizer passes the windows of that minimizer on, each as a row of its own,
+and these are dealt anew by window: equal ones still meet, and no task holds more than a bounded part of them.
+
 Words are runs of other characters than blank, tab, line feed, vertical tab, form feed and carriage return. Window hashes
 have 64 bits and are compared only under equal minimizer hashes of another 64. A null or empty text has no words. Repeated
 rows are copies of each other. A null doc_id is kept as null. Extra columns are not read. An empty input gives an empty
@@ -40,6 +44,8 @@ GRAM_WORDS = 12
 MEMO_WORDS = 500_000
 # windows that a block holds at a time
 BLOCK_WINDOWS = 1 << 20
+# rows of passed windows that go out at a time
+PASSED_ROWS = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NONE = np.uint64(0)
@@ -176,24 +182,57 @@ def _own_factors(window: int, gram: int):
     return run
 
 
-def _block_factors(window: int):
-    """Spans of segments that repeat in other segments of their block; settled spans pass through."""
+def _block_factors(window: int, pass_on: bool = False):
+    """Spans of segments that repeat in other segments of their block; settled spans pass through.
+
+    With ``pass_on`` the output has the columns of the input, and the windows of a minimizer with too many different ones
+    are among its rows, one window in each, under a new minimizer made of the old one and the window.
+    """
 
     names = ["doc_id", "row_key", "start", "end"]
 
-    def settle(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
-        """New spans of the block, and the block less all but the first place of each window, marked as settled."""
+    def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Windows and settled marks of all segments, joined, the segment and place of each, and where segments begin."""
         data = np.frombuffer(b"".join(table.column("windows").to_pylist()), "<u8").astype(np.uint64)
         settled = np.frombuffer(b"".join(table.column("settled").to_pylist()), np.uint8).astype(bool)
         start = table.column("start").to_numpy()
         sizes = table.column("end").to_numpy() - start
         row = np.repeat(np.arange(len(sizes)), sizes)
         begin = np.cumsum(sizes) - sizes
+        return data, settled, row, start[row] + np.arange(len(data)) - begin[row], begin, sizes
+
+    def spans_out(spans: pa.RecordBatch) -> pa.RecordBatch:
+        if not pass_on:
+            return spans
+        none = pa.nulls(spans.num_rows, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), *spans.columns, none, none], schema=_ROWS)
+
+    def single_windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, settled, row, starts, _, _ = unpack(table)
+        real = np.flatnonzero(data != _NONE)
+        data, of, starts = data[real], pa.array(row[real]), starts[real]
+        old = table.column("minimizer").to_numpy().view(np.uint64)[row[real]]
+
+        def cells(values: np.ndarray) -> pa.Array:
+            ends = np.arange(len(values) + 1, dtype=np.int32) * values.itemsize
+            return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
+        out = pa.table(
+            [
+                pa.array(mix_bits(old ^ mix_bits(data)).view(np.int64)), *(table.column(c).combine_chunks().take(of) for c in names[:2]),
+                pa.array(starts), pa.array(starts + 1), cells(data.astype("<u8")), cells(settled[real].astype(np.uint8)),
+            ],
+            schema=_ROWS,
+        )
+        yield from out.to_batches(max_chunksize=PASSED_ROWS)
+
+    def settle(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+        """New spans of the block, and the block less all but the first place of each window, marked as settled."""
+        data, settled, row, starts, begin, sizes = unpack(table)
         breaks = np.zeros(len(data), bool)
         breaks[begin] = True
         real = np.flatnonzero(data != _NONE)
         # blank windows part the segments around them
-        starts = start[row] + np.arange(len(data)) - begin[row]
         breaks = breaks[real]
         breaks[1:] |= np.diff(real) > 1
         refers, repeated, begins = factors(data[real], breaks)
@@ -218,11 +257,16 @@ def _block_factors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size, limit = 0, BLOCK_WINDOWS
+        large = None  # the minimizer whose windows are passed on
         for batch in batches:
             table = pa.Table.from_batches([batch])
             passed = table.filter(table.column("windows").is_null()).select(names)
-            yield from passed.to_batches()
+            yield from map(spans_out, passed.to_batches())
             table = table.filter(table.column("windows").is_valid())
+            if large is not None:
+                same = pc.equal(table.column("minimizer"), large)
+                yield from single_windows(table.filter(same))
+                table = table.filter(pc.invert(same))
             if not table.num_rows:
                 continue
             held.append(table.select(["minimizer", *names, "windows", "settled"]))
@@ -233,15 +277,19 @@ def _block_factors(window: int):
                 minimizer = table.column("minimizer").to_numpy()
                 last = int(np.searchsorted(minimizer, minimizer[-1]))
                 if last:
-                    yield settle(table.slice(0, last))[0]
+                    yield spans_out(settle(table.slice(0, last))[0])
                     table = table.slice(last)
                 else:
                     spans, table = settle(table)
-                    yield spans
+                    yield spans_out(spans)
+                    if pass_on and _windows(table) > BLOCK_WINDOWS // 2:
+                        large = int(minimizer[-1])
+                        yield from single_windows(table)
+                        table = table.slice(0, 0)
                 held, size = [table], _windows(table)
                 limit = max(BLOCK_WINDOWS, 2 * size)
         if held:
-            yield settle(pa.concat_tables(held))[0]
+            yield spans_out(settle(pa.concat_tables(held))[0])
 
     return run
 
@@ -255,7 +303,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRA
     rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
     own = map_arrow(rows, _own_factors(window, gram), _ROWS_DDL)
     blocks = own.repartition("minimizer").sortWithinPartitions("minimizer")
-    return map_arrow(blocks, _block_factors(window), "doc_id bigint, row_key bigint, start bigint, end bigint")
+    found = materialize(map_arrow(blocks, _block_factors(window, pass_on=True), _ROWS_DDL), "spans")
+    # windows of minimizers with too many of them meet again, dealt by window
+    large = found.where("windows IS NOT NULL").repartition("minimizer").sortWithinPartitions("minimizer")
+    spans = map_arrow(large, _block_factors(window), "doc_id bigint, row_key bigint, start bigint, end bigint")
+    return found.where("windows IS NULL").select(*spans.columns).unionByName(spans)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +339,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    spans = materialize(duplicate_spans(docs, window, gram), "spans")
+    spans = duplicate_spans(docs, window, gram)
     grouped = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(
         F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key"), "spans"
     )
