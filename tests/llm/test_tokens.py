@@ -38,6 +38,16 @@ def test_pieces_give_the_ids_of_whole_texts(texts, memo):
         assert counts.tolist() == list(map(len, want))
 
 
+@pytest.mark.parametrize("texts", [["a \0b"], ["\0a b"], ["\0"], ["a \0b", "b", "\0b c", "a b"], ["a\0b \0", "x\n\0y"]])
+def test_nul_is_no_mark_of_a_first_piece(plain, texts):
+    coder = PieceEncoder(tokenizer_file())
+    for _ in range(2):
+        ids, counts = coder.encode(texts)
+        want = [plain(t).tolist() for t in texts]
+        assert ids.tolist() == [x for w in want for x in w]
+        assert counts.tolist() == list(map(len, want))
+
+
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=70))
 @settings(deadline=None)
 def test_packing_bits_is_undone(width, values):

@@ -39,7 +39,8 @@ class PieceEncoder:
 
     A byte-level BPE of this family first splits a text into runs of letters, digits or signs, each with one leading
     blank at most. So a text can be cut before a single blank or line feed between two visible characters without
-    changing its ids. Texts with other white space or with a special token's string are encoded in one call.
+    changing its ids. Texts with other white space, with a special token's string or with U+0000, which marks
+    first pieces here, are encoded in one call.
     """
 
     def __init__(self, path: str, memo: int = MEMO_PIECES):
@@ -61,7 +62,7 @@ class PieceEncoder:
     def _odd(self, text: str) -> bool:
         return (
             not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or "\n " in text
-            or " \n" in text or _OTHER_SPACE.search(text) is not None or any(s in text for s in self.special)
+            or " \n" in text or "\0" in text or _OTHER_SPACE.search(text) is not None or any(s in text for s in self.special)
         )
 
     def _learn(self) -> None:
