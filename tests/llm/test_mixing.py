@@ -123,6 +123,43 @@ def test_documents_of_several_sources(spark):
         assert abs(by_pattern.get(p, 0) - routed) <= 5
 
 
+def test_any_number_of_sources(spark):
+    n = 100_100
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat('a ', 10 + int(id % 7)) AS text", "concat('s', id) AS source")
+    _, mix = mixing.plan_mix(docs)
+    got = {r["routes"][0]["source"]: (r["routes"][0]["words"], r["source_size"], r["target"]) for r in mix.collect()}
+    targets = mixing.source_targets({f"s{i}": 10 + i % 7 for i in range(n)})
+    assert len(got) == n
+    for i in range(n):
+        target = targets[f"s{i}"]
+        assert got[f"s{i}"] == (int(target), 10 + i % 7, float(target))
+
+
+def test_parts_are_routed_as_the_whole(spark):
+    sets = [["a"], ["a", "b"], ["b"], ["c", "d"], ["d"], ["d", "e"], ["f"], ["g"], None]
+    rows = [(i, prose(i, 5 + i * i % 97), sets[i * i % 31 % len(sets)]) for i in range(500)]
+    members, sizes, source_sizes = {}, {}, {}
+    for _, text, sources in rows:
+        key = "[" + ",".join(f'"{s}"' for s in sources) + "]" if sources else "[null]"
+        members[key] = sources or [None]
+        sizes[key] = sizes.get(key, 0) + words(text)
+        for s in members[key]:
+            source_sizes[s] = source_sizes.get(s, 0) + words(text)
+    quotas = {s: int(t) for s, t in mixing.source_targets(source_sizes).items()}
+    whole = mixing.route_words(sizes, members, quotas)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, sources array<string>")
+    _, mix = mixing.plan_mix(frame, "sources")
+    got = {r["_pattern"]: {x["source"]: x["words"] for x in r["routes"]} for r in mix.collect()}
+
+    def result(flow):
+        taken = [(p, sum(f for (x, _), f in flow.items() if x == p)) for p in sizes]
+        return sum(flow.values()), sum(max(0, n - sizes[p]) for p, n in taken)
+
+    parts = {(p, s): n for p, routes in got.items() for s, n in routes.items()}
+    assert set(got) == set(sizes) and result(parts) == result(whole)
+    assert all(sum(n for (_, x), n in parts.items() if x == s) <= quotas[s] for s in quotas)
+
+
 def test_every_cell_can_hold_the_cut(spark, monkeypatch):
     # many small cells
     monkeypatch.setattr(mixing, "ROWS_EACH", 7)

@@ -5,8 +5,9 @@ flow routes the words of each pattern to the quotas of its sources, where every
 words costs more than the one before. The flow says how many words of each pattern the mix takes; documents are then
 taken in a seeded order, whole, up to that number, and one document more or fewer per pattern where that comes nearer.
 
-The driver holds one number per pattern and per source, never documents. Patterns are a matter of how sources overlap,
-not of how many documents there are; more than ``MAX_PATTERNS`` are refused.
+Sources and patterns may be many. The driver holds one number for each distinct size of a source, to find the level of
+the quotas. A source whose documents belong to no other gets its quota without a flow; the rest is routed by connected
+part, each part in one task, whose time grows with the square of the patterns in the part.
 
 A null text has size 0 and a null source is a source of its own, last in order. Documents of size 0 add no words.
 Repeated rows are taken or left alike. An empty input gives an empty table. Extra columns are not read, or kept
@@ -15,22 +16,24 @@ unchanged by ``take``.
 
 from __future__ import annotations
 
-import json
-from collections import deque
+import math
+from collections import Counter, deque
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from weftmark.functions.ordering import sequence_numbers
 from weftmark.llm.batches import own_columns, set_aside, slots, text_key
-from weftmark.session import materialize
+from weftmark.llm.components import components
+from weftmark.session import materialize, ship_package
 
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
 REPEATS = 2
 SEED = 9
-MAX_PATTERNS = 100_000
 # documents of a pattern whose sizes are summed in order in one window
 ROWS_EACH = 100_000
 FIX_ROUNDS = 3
@@ -40,21 +43,31 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def share_level(counts: dict[tuple[int, int], int], budget: Fraction = BUDGET, stop: int = REPEATS) -> Fraction | None:
+    """Words for each unit of weight when no source gets over ``stop`` times its size; None if all sources stop there.
+
+    ``counts`` has the number of sources of each (size, weight).
+    """
+    left = budget * sum(size * n for (size, _), n in counts.items())
+    rest = sum(weight * n for (_, weight), n in counts.items())
+    unit = math.lcm(*(weight for _, weight in counts))
+    for (size, weight), n in sorted(counts.items(), key=lambda c: c[0][0] * (unit // c[0][1])):
+        if stop * size * rest >= left * weight:
+            return left / rest
+        left -= stop * size * n
+        rest -= weight * n
+    return None
+
+
 def source_targets(
     sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, budget: Fraction = BUDGET, stop: int = REPEATS
 ) -> dict[str | None, Fraction]:
     """Share ``budget`` times all words by weight; no source gets over ``stop`` times its size, the rest is shared again."""
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, targets = budget * sum(sizes.values()), {}
-    while len(targets) < len(names):
-        rest = [s for s in names if s not in targets]
-        each = left / sum(weight[s] for s in rest)
-        above = [s for s in rest if each * weight[s] > stop * sizes[s]]
-        for s in above or rest:
-            targets[s] = Fraction(stop * sizes[s]) if above else each * weight[s]
-            left -= targets[s]
-    return targets
+    level = share_level(Counter((sizes[s], weight[s]) for s in names), budget, stop)
+    most = {s: Fraction(stop * sizes[s]) for s in names}
+    return {s: most[s] if level is None else min(most[s], level * weight[s]) for s in names}
 
 
 def route_words(
@@ -123,13 +136,94 @@ def _keyed(docs: DataFrame, by: str, seed: int) -> DataFrame:
     ).withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "_row_key"))
 
 
+def _with_targets(sources: DataFrame, repeats: int) -> DataFrame:
+    """Add target and quota (whole words) to sources with their sizes, as ``source_targets`` does."""
+    numbered = sequence_numbers(sources.withColumn("_all", F.lit(0)), "_all", "source", "size", "_place")
+    place = F.coalesce(F.col("_place"), F.lit(sources.count())) - 1
+    weight = F.get(F.array(*map(F.lit, WEIGHTS)), F.pmod(place, F.lit(len(WEIGHTS))).cast("int"))
+    weighed = materialize(numbered.withColumn("weight", weight).drop("_all", "_place"), "sources")
+    counts = {(r["size"], r["weight"]): r["count"] for r in weighed.groupBy("size", "weight").count().collect()}
+    level = share_level(counts, stop=repeats)
+    most = repeats * F.col("size")
+    target, quota = most.cast("double"), most
+    if level is not None:
+        for w in sorted(set(WEIGHTS)):
+            shared = (F.col("weight") == w) & (most >= math.ceil(level * w))
+            target = F.when(shared, F.lit(float(level * w))).otherwise(target)
+            quota = F.when(shared, F.lit(int(level * w)).cast("bigint")).otherwise(quota)
+    return weighed.select("source", "size", "patterns", target.alias("target"), quota.alias("quota"))
+
+
+_ROUTED = (
+    "_pattern string, words bigint, taken bigint, routes array<struct<source:string,words:bigint>>, "
+    "source_size bigint, target double"
+)
+
+
+def _route_part(repeats: int):
+    """The flow of one connected part, from rows of (pattern, source)."""
+    schema = pa.schema([
+        ("_pattern", pa.string()), ("words", pa.int64()), ("taken", pa.int64()),
+        ("routes", pa.list_(pa.struct([("source", pa.string()), ("words", pa.int64())]))),
+        ("source_size", pa.int64()), ("target", pa.float64()),
+    ])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["_pattern"], r["source"] is None, r["source"] or ""))
+        words: dict[str, int] = {}
+        members: dict[str, list] = {}
+        quotas: dict[str | None, int] = {}
+        alone: dict[str, dict] = {}
+        for r in rows:
+            words[r["_pattern"]] = r["words"]
+            members.setdefault(r["_pattern"], []).append(r["source"])
+            quotas[r["source"]] = r["quota"]
+            if r["width"] == 1:
+                alone[r["_pattern"]] = r
+        flow = route_words(words, members, quotas, repeats)
+        out = []
+        for p, sources in members.items():
+            routes = [{"source": s, "words": flow.get((p, s), 0)} for s in sources]
+            own = alone.get(p, {})
+            out.append({
+                "_pattern": p, "words": words[p], "taken": sum(r["words"] for r in routes), "routes": routes,
+                "source_size": own.get("size"), "target": own.get("target"),
+            })
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
+def _route_patterns(found: DataFrame, repeats: int) -> DataFrame:
+    """Words taken of each pattern and their sources, from the words of each pattern."""
+    found = materialize(found.withColumn("_members", F.from_json("_pattern", "array<string>")), "patterns")
+    links = found.select("_pattern", "words", F.size("_members").alias("width"), F.explode("_members").alias("source"))
+    sources = materialize(links.groupBy("source").agg(F.sum("words").alias("size"), F.count("*").alias("patterns")), "sources")
+    targets = _with_targets(sources, repeats).withColumnRenamed("source", "_source")
+    asked = materialize(links.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "routes")
+    # a pattern of one source that has no other pattern
+    sole = (F.col("width") == 1) & (F.col("patterns") == 1)
+    routed = asked.where(sole).select(
+        "_pattern", "words", F.col("quota").alias("taken"),
+        F.array(F.struct("source", F.col("quota").alias("words"))).alias("routes"), F.col("size").alias("source_size"), "target",
+    )
+    shared = asked.where(~sole)
+    if shared.isEmpty():
+        return routed
+    # equal hashes would only put two parts into one
+    node = F.xxhash64(F.lit(1), "source")
+    roots = components(shared.select(node.alias("a"), F.xxhash64(F.lit(2), "_pattern").alias("b")))
+    parts = shared.withColumn("node", node).join(roots, "node").drop("node")
+    ship_package(found.sparkSession)
+    return routed.unionByName(parts.groupBy("root").applyInArrow(_route_part(repeats), _ROUTED))
+
+
 def plan_mix(docs: DataFrame, by: str = "source", seed: int = SEED, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
     """Sizes of all documents, and one row for each pattern that says which of its documents are taken how often.
 
     The decision of a pattern: every document ``base`` times, those up to (``cut_cell``, ``cut_place``) in seeded order
     once more, and the few named in ``fixes`` once more or less. ``routes`` has the words that each source gets.
     """
-    spark = docs.sparkSession
     keyed = _keyed(own_columns(docs, "doc_id", "text", by), by, seed)
     sizes = materialize(
         keyed.select("doc_id", "_row_key", "_pattern", "_place", word_count().alias("size")), "sizes"
@@ -138,30 +232,13 @@ def plan_mix(docs: DataFrame, by: str = "source", seed: int = SEED, repeats: int
     sizes = sizes.withColumn("_cell", F.pmod("_place", F.lit(number)))
     cells = materialize(sizes.groupBy("_pattern", "_cell").agg(F.sum("size").alias("words")), "cells")
 
-    found = cells.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    words = {r["_pattern"]: r["words"] for r in found}
-    of = {p: json.loads(p) for p in words}
-    source_words: dict[str | None, int] = {}
-    for p, sources in of.items():
-        for s in sources:
-            source_words[s] = source_words.get(s, 0) + words[p]
-    targets = source_targets(source_words, stop=repeats)
-    flow = route_words(words, of, {s: int(t) for s, t in targets.items()}, repeats)
-    rows = []
-    for p in sorted(words):
-        routes = [(s, flow.get((p, s), 0)) for s in of[p]]
-        taken = sum(w for _, w in routes)
-        base = taken // words[p] if words[p] else 0
-        rows.append((
-            p, base, taken - base * words[p], routes,
-            source_words[of[p][0]] if len(of[p]) == 1 else None, float(targets[of[p][0]]) if len(of[p]) == 1 else None,
-        ))
-    patterns = spark.createDataFrame(
-        rows,
-        "_pattern string, base bigint, rest bigint, routes array<struct<source string, words bigint>>, "
-        "source_size bigint, target double",
+    routed = _route_patterns(cells.groupBy("_pattern").agg(F.sum("words").alias("words")), repeats)
+    base = F.when(F.col("words") > 0, F.expr("taken div words")).otherwise(F.lit(0).cast("bigint"))
+    patterns = materialize(
+        routed.withColumn("base", base).select(
+            "_pattern", "base", (F.col("taken") - F.col("base") * F.col("words")).alias("rest"), "routes", "source_size", "target"
+        ),
+        "patterns",
     )
 
     # the cell of each pattern in which the rest ends, and the place in it
