@@ -34,6 +34,23 @@ def test_equals_brute_force(spark, monkeypatch, unit):
         assert ranked == brute(points, points[q], 7, skip=q)
 
 
+@pytest.mark.parametrize("unit", [8192, 60])
+def test_registered_search_asks_from_every_fiftieth_id(spark, monkeypatch, tmp_path, unit):
+    """Also where ids start higher, and with queries in many blocks."""
+    from weftmark.plans.text_queries import vector_top_k_fiftieth
+
+    monkeypatch.setattr(vectors, "UNIT_DOCUMENTS", unit)
+    monkeypatch.setattr(vectors, "UNIT_QUERIES", unit // 30)
+    points, docs = corpus(spark)
+    rows = docs.where("vector IS NOT NULL").selectExpr("id + 1000 AS vec_id", "vector AS embedding", "int(category) AS label")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = vector_top_k_fiftieth(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == set(range(1000, 1400, 50))
+    for q in range(0, 400, 50):
+        ranked = [r.id - 1000 for r in sorted((r for r in got if r.query_id == q + 1000), key=lambda r: r["rank"])]
+        assert ranked == brute(points, points[q], 5, skip=q)
+
+
 def test_ties_go_to_the_smaller_id(spark):
     docs = spark.createDataFrame([(i, [1.0, 1.0], "a") for i in range(50)], SCHEMA).repartition(9)
     query = spark.createDataFrame([(0, [0.0, 0.0])], "id bigint, vector array<float>")

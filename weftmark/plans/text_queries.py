@@ -203,6 +203,48 @@ def vector_top_k_category(spark, sf_dir):
     return comparable(form("cut first", 20, False).unionByName(form("filter first", 5, True)), 5)
 
 
+# every row whose id is divisible by 50 asks, at any size and wherever ids start
+_FIFTIETH_PAIRS = """pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS id, CAST(d.label AS VARCHAR) AS category,
+    sqrt(list_sum(list_transform(list_zip(d.embedding, q.embedding),
+      lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS distance
+  FROM embeddings d JOIN embeddings q ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+)"""
+
+
+def _fiftieths(spark, sf_dir):
+    docs = inputs.vector_documents(spark, sf_dir)
+    return docs, docs.where(F.col("id") % 50 == 0)
+
+
+@query(
+    "vector_top_k_fiftieth",
+    sql.with_(_FIFTIETH_PAIRS)
+    + f"SELECT query_id, rank, id, {snap_sql('distance', 5)} AS distance FROM ({_ranked('pairs')}) WHERE rank <= 5",
+)
+def vector_top_k_fiftieth(spark, sf_dir):
+    docs, asked = _fiftieths(spark, sf_dir)
+    return comparable(vectors.vector_top_k(docs, asked, 5, skip_self=True), 5)
+
+
+@query(
+    "vector_top_k_category_fiftieth",
+    sql.with_(_FIFTIETH_PAIRS)
+    + f"""SELECT 'cut first' AS form, query_id, rank, id, {snap_sql("distance", 5)} AS distance
+        FROM ({_ranked("pairs")}) WHERE rank <= 20 AND category = '3'
+      UNION ALL SELECT 'filter first', query_id, rank, id, {snap_sql("distance", 5)}
+        FROM ({_ranked("(SELECT * FROM pairs WHERE category = '3')")}) WHERE rank <= 5""",
+)
+def vector_top_k_category_fiftieth(spark, sf_dir):
+    docs, asked = _fiftieths(spark, sf_dir)
+
+    def form(name, k, prefilter):
+        found = vectors.vector_top_k_category(docs, asked, "3", k, prefilter=prefilter, skip_self=True)
+        return found.select(F.lit(name).alias("form"), "query_id", "rank", "id", "distance")
+
+    return comparable(form("cut first", 20, False).unionByName(form("filter first", 5, True)), 5)
+
+
 @query(
     "vector_append",
     """SELECT CAST(label AS VARCHAR) AS category, count(*) AS documents, min(vec_id) AS first_id, max(vec_id) AS last_id
