@@ -243,3 +243,14 @@ def test_top_grams_are_the_most_frequent(text):
     counts = {code(g): n for g, n in plain_grams(text).items()}
     want = sorted(counts, key=lambda c: (-counts[c], c))[:50]
     assert language.top_grams(text, 50).tolist() == want
+
+
+def test_a_repeated_document_is_sampled_once(spark, monkeypatch):
+    from weftmark.llm import quality
+
+    bags = []
+    monkeypatch.setattr(quality, "train", lambda x, counts, labels: bags.append(len(labels)))
+    rows = [(i, f"text {i}") for i in range(40)] + [(i, f"other {j}") for i in range(40) for j in range(20)]
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(40)], "doc_id bigint, quality double")
+    quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert bags == [labels.where(~quality.held_out()).count()]

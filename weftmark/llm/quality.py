@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from weftmark.llm.batches import byte_texts, documents, map_arrow, own_columns, set_aside, slices
+from weftmark.llm.batches import byte_texts, documents, map_arrow, own_columns, set_aside, slices, text_key
 
 PASSAGE_WORDS = 100
 # bytes of text encoded at a time; each takes up to a hundred bytes of numbers
@@ -191,6 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     )
     # the sample is bounded, so it may go to every task
     rows = documents(docs).join(F.broadcast(sample), "doc_id")
+    # one row of each sampled document, whatever its repeats
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text_key().alias("key"), "text")).alias("least"))
+    rows = rows.select("doc_id", "label", "least.text")
     got = map_arrow(rows.select("doc_id", "label", "text"), _encode, "doc_id bigint, label double, x binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
     if not got:
