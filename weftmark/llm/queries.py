@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftmark.llm import sql
 from weftmark.session import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +106,10 @@ def op6_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.voronoi import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_centroids", sql.CENTROIDS)
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
