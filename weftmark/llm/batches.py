@@ -13,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from weftmark.session import ship_package
 
+# bytes of an Arrow batch between Spark and a worker, about; one row at least
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 # bytes of text that a task holds as words or numbers at a time; a longer text is a slice of its own
 SLICE_BYTES = 4 << 20
 
@@ -76,6 +79,12 @@ def slots(df: DataFrame, rows_each: int) -> int:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function that may import this package."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with a function that may import this package, in batches of bounded size.
+
+    The bound is a setting of the session, made here unless the session has one.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
