@@ -113,3 +113,10 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.centroids import cluster
 
     return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.merkle import audit_altered
+
+    return audit_altered(table(spark, sf_dir, "documents"))
