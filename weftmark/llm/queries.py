@@ -120,3 +120,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.merkle import audit_altered
 
     return audit_altered(table(spark, sf_dir, "documents"))
+
+
+@query("op12_minhash", sql.MINHASH)
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftmark.llm.minhash import keep_first
+
+    return keep_first(table(spark, sf_dir, "documents"))
