@@ -31,7 +31,8 @@ def test_query_equals_sql(name, spark, sf_dir, con):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # an approximate search has a tested recall in place of SQL
+    assert set(QUERIES) - set(ORACLES) == {"vector_candidates_lsh"}
 
 
 def test_entry_has_rows_and_stable_schema(spark):
@@ -46,6 +47,6 @@ def test_entry_without_the_training_data_folders():
         "import sys\n"
         "sys.modules['corpus_pipeline'] = sys.modules['weftmark.llm'] = None\n"
         "import __spark_entry__ as e\n"
-        "assert set(e.queries()) == set(e.oracle_sql()) and 'pipeline' not in e.queries()\n"
+        "assert set(e.queries()) - set(e.oracle_sql()) == {'vector_candidates_lsh'} and 'pipeline' not in e.queries()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(spark_entry.__file__).parent)

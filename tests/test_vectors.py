@@ -23,9 +23,9 @@ def brute(points, query, k, skip=None, keep=None):
 
 @pytest.mark.parametrize("unit", [8192, 60])
 def test_equals_brute_force(spark, monkeypatch, unit):
-    """Also in many blocks of both sides."""
+    """Also in many parts."""
     monkeypatch.setattr(vectors, "UNIT_DOCUMENTS", unit)
-    monkeypatch.setattr(vectors, "UNIT_QUERIES", unit // 10)
+    monkeypatch.setattr(vectors, "SMALL_UNIT", unit)
     points, docs = corpus(spark)
     got = vectors.vector_top_k(docs, docs.where("id < 20"), 7, skip_self=True).collect()
     assert len(got) == 140
@@ -36,15 +36,15 @@ def test_equals_brute_force(spark, monkeypatch, unit):
 
 @pytest.mark.parametrize("unit", [8192, 60])
 def test_registered_search_asks_from_every_fiftieth_id(spark, monkeypatch, tmp_path, unit):
-    """Also where ids start higher, and with queries in many blocks."""
-    from weftmark.plans.text_queries import vector_top_k_fiftieth
+    """Also where ids start higher, and with documents in many parts."""
+    from weftmark.plans.text_queries import vector_top_k
 
     monkeypatch.setattr(vectors, "UNIT_DOCUMENTS", unit)
-    monkeypatch.setattr(vectors, "UNIT_QUERIES", unit // 30)
+    monkeypatch.setattr(vectors, "SMALL_UNIT", unit)
     points, docs = corpus(spark)
     rows = docs.where("vector IS NOT NULL").selectExpr("id + 1000 AS vec_id", "vector AS embedding", "int(category) AS label")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = vector_top_k_fiftieth(spark, str(tmp_path)).collect()
+    got = vector_top_k(spark, str(tmp_path)).collect()
     assert {r.query_id for r in got} == set(range(1000, 1400, 50))
     for q in range(0, 400, 50):
         ranked = [r.id - 1000 for r in sorted((r for r in got if r.query_id == q + 1000), key=lambda r: r["rank"])]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,81 +11,137 @@ from pyspark.sql import functions as F
 
 from weftmark.session import ship_package
 
-# documents and queries that meet in one unit of work, on average
-UNIT_DOCUMENTS = 8192
-UNIT_QUERIES = 512
+# documents that a task holds at a time, on average, and least documents of a unit where there are few
+UNIT_DOCUMENTS = 65_536
+SMALL_UNIT = 1024
+# distances that a task holds at a time
+BLOCK_DISTANCES = 1 << 22
 
+UNIT = "length int, unit long, asks boolean, id long, vector array<double>, category string"
 RESULT = "query_id long, id long, distance double, category string"
 
 
-def _nearest(k: int, skip_self: bool):
-    """The k nearest documents of a unit for each of its queries."""
-
-    def search(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        found = {"query_id": [np.empty(0, np.int64)], "at": [np.empty(0, np.int64)], "distance": [np.empty(0)]}
-        if asked.num_rows and docs.num_rows:
-            ids, queries = asked.column("id").to_numpy(), _matrix(asked)
-            own, points = docs.column("id").to_numpy(), _matrix(docs)
-            for q, query in zip(ids, queries):
-                gap = points - query
+class _Documents:
+    """The documents of a unit."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches)
+        self.ids, self.category = rows.column("id").to_numpy(), rows.column("category")
+        self.points = _matrix(rows)
+        self.squares = np.einsum("ij,ij->i", self.points, self.points)
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, place of the document and distance of the k nearest of every query, ties to the smaller id."""
+        of, places, distances = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        step = max(1, BLOCK_DISTANCES // len(self.ids))
+        for lo in range(0, len(ids), step):
+            block = queries[lo : lo + step]
+            rough = self.squares - 2 * (block @ self.points.T)
+            rough[np.isnan(rough)] = np.inf
+            # more than what rounding may change
+            slack = 1e-9 * (np.abs(self.squares).max() + np.einsum("ij,ij->i", block, block))
+            for i, q in enumerate(ids[lo : lo + step]):
+                near = rough[i]
+                own = self.ids == q if skip_self else np.zeros(0, bool)
+                spare = k + int(own.sum())
+                at = np.arange(len(near))
+                if len(near) > spare:
+                    at = np.flatnonzero(~(near > np.partition(near, spare - 1)[spare - 1] + slack[i]))
+                if skip_self:
+                    at = at[~own[at]]
+                gap = self.points[at] - block[i]
                 distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                at = np.flatnonzero(own != q) if skip_self else np.arange(len(own))
-                if len(at) > k:
-                    at = at[distance[at] <= np.partition(distance[at], k - 1)[k - 1]]
-                at = at[np.lexsort((own[at], distance[at]))[:k]]
-                found["query_id"].append(np.full(len(at), q))
-                found["at"].append(at)
-                found["distance"].append(distance[at])
-        at = np.concatenate(found["at"])
-        return pa.table({
-            "query_id": np.concatenate(found["query_id"]),
-            "id": docs.column("id").take(pa.array(at)),
-            "distance": np.concatenate(found["distance"]),
-            "category": docs.column("category").take(pa.array(at)),
-        })
+                best = np.lexsort((self.ids[at], distance))[:k]
+                of.append(np.full(len(best), lo + i))
+                places.append(at[best])
+                distances.append(distance[best])
+        return np.concatenate(of), np.concatenate(places), np.concatenate(distances)
+
+
+def _nearest(k: int, skip_self: bool):
+    """The k nearest documents of a unit for each of its queries; a unit's documents come before its queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, docs = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "unit", "asks")])
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(axis=0)])).tolist()
+            for lo, hi in zip(begins, [*begins[1:], batch.num_rows]):
+                rows, unit = batch.slice(lo, hi - lo), (int(key[0, lo]), int(key[1, lo]))
+                if unit != now:
+                    now, held, docs = unit, [], None
+                if not key[2, lo]:
+                    held.append(rows)
+                elif held:
+                    docs = docs or _Documents(held)
+                    ids = rows.column("id").to_numpy()
+                    of, at, distance = docs.nearest(ids, _matrix(rows), k, skip_self)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[of]), pa.array(docs.ids[at]), pa.array(distance), docs.category.take(pa.array(at)).combine_chunks()],
+                        names=["query_id", "id", "distance", "category"],
+                    )
 
     return search
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(table.num_rows, -1)
+def _matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = rows.column("vector")
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
 
 
-def _usable(rows: DataFrame, *extra: str) -> DataFrame:
-    """Rows with an id and a vector without null elements."""
+def usable(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows with an id and a vector without null elements, and the vector's length."""
     vector = F.col("vector").cast("array<double>")
     rows = rows.select(F.col("id").cast("long").alias("id"), vector.alias("vector"), *extra)
-    return rows.where("id IS NOT NULL AND size(vector) > 0").where(~F.exists("vector", lambda x: x.isNull()))
+    rows = rows.where("id IS NOT NULL AND size(vector) > 0").where(~F.exists("vector", lambda x: x.isNull()))
+    return rows.withColumn("length", F.size("vector"))
 
 
-def _search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+def with_category(docs: DataFrame) -> DataFrame:
     category = F.col("category").cast("string") if "category" in docs.columns else F.lit(None).cast("string")
-    corpus = _usable(docs.withColumn("category", category), "category").withColumn("length", F.size("vector"))
-    asked = _usable(queries).distinct().withColumn("length", F.size("vector"))
-    parts, blocks = corpus.count() // UNIT_DOCUMENTS + 1, asked.count() // UNIT_QUERIES + 1
-
-    def dealt(rows: DataFrame, own: str, number: int, other: str, others: int) -> DataFrame:
-        """Rows in their own block by hash, once for each block of the other side."""
-        block = F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias(own)
-        return rows.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
-    key = ("length", "part", "block")
-    left = dealt(asked, "block", blocks, "part", parts).groupBy(*key)
-    right = dealt(corpus, "part", parts, "block", blocks).groupBy(*key)
+    return usable(docs.withColumn("category", category), "category")
+
+
+def nearest_in_units(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """query_id, id, distance, category: the k nearest documents of each query in each of its units.
+
+    Both sides have ``length``, ``unit``, ``id`` and ``vector``. A task holds the documents of one unit, while any number of
+    queries passes by.
+    """
     ship_package(docs.sparkSession)
-    near = left.cogroup(right).applyInArrow(_nearest(k, skip_self), RESULT)
+    columns = [f.split()[0] for f in UNIT.split(", ")]
+    left = docs.withColumn("asks", F.lit(False)).select(*columns)
+    right = queries.withColumn("asks", F.lit(True)).withColumn("category", F.lit(None).cast("string")).select(*columns)
+    rows = left.unionByName(right).repartition("length", "unit").sortWithinPartitions("length", "unit", "asks")
+    return rows.mapInArrow(_nearest(k, skip_self), RESULT)
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest over all units, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    corpus, asked = with_category(docs), usable(queries).distinct()
+    size, tasks = corpus.count(), docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(size // UNIT_DOCUMENTS + 1, min(tasks, size // SMALL_UNIT + 1))
+    # a document lies in one part, a query passes by all
+    corpus = corpus.withColumn("unit", F.pmod(F.xxhash64("id"), F.lit(parts).cast("long")))
+    asked = asked.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return ranked(nearest_in_units(corpus, asked, k, skip_self), k)
+
+
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, *, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest documents of each query by Euclidean distance.
 
-    ``docs`` and ``queries`` have ``id`` and ``vector``; a query id stands for one vector. Exact: blocks of queries meet
-    blocks of documents, each pair of blocks sends on k rows per query, and these are ranked. Both sides are dealt by
-    hash, at any size. Ties go to the smaller id. Vectors that are null, empty or hold a null take no part; a document
-    whose vector has another length than the query's is no neighbour of it.
+    ``docs`` and ``queries`` have ``id`` and ``vector``; a query id stands for one vector. Exact: documents are dealt once, to parts
+    of about ``UNIT_DOCUMENTS``; all queries pass by every part, which sends on k rows for each, and these are ranked. Ties go
+    to the smaller id. Vectors that are null, empty or hold a null take no part; a document whose vector has another length
+    than the query's is no neighbour of it.
     """
     return _search(docs, queries, k, skip_self).select("query_id", "rank", "id", "distance")
 
