@@ -299,3 +299,25 @@ def test_working_folder_follows_the_session(spark):
     with pytest.raises(ValueError, match="share"):
         workspace(bare("yarn"), "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_duplicates_are_compared_as_whole_rows(spark, monkeypatch):
+    """Rows with nulls in other places and equal texts across columns differ; hashes that meet by chance do not matter."""
+    rows = [(1, None, "a"), (None, 1, "a"), (1, None, "a"), (2, 3, None), (2, 3, None), (2, 3, None), (4, 4, "b"), (None, None, None)]
+    df = spark.createDataFrame(rows, "x int, y int, `z.z` string")
+    tables = {"t": df, "u": df.dropDuplicates(), "v": df.where("false"), "w": df.union(df)}
+    want = {"t": 3, "w": 11}
+    assert {r.table_name: r.value for r in profile.duplicate_rows(tables).collect()} == want
+    monkeypatch.setattr(profile, "_row_hashes", lambda df: [F.lit(7).cast("bigint"), F.lit(8).cast("bigint")])
+    assert {r.table_name: r.value for r in profile.duplicate_rows(tables).collect()} == want
+
+
+def test_few_rows_are_moved_as_a_whole(spark):
+    """Of many different rows only those with a repeated hash pass the map, and a few by chance."""
+    df = spark.range(20_000).selectExpr("id % 19990 AS a", "concat('row ', id % 19990) AS b")
+    hashed = df.select(*[h.alias(n) for h, n in zip(profile._row_hashes(df), ("h1", "h2"))])
+    repeated = hashed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    own = df.select("*", *[h.alias(n) for h, n in zip(profile._row_hashes(df), ("h1", "h2"))])
+    assert 20 <= profile._marked_in_map(own, repeated).count() <= 40
+    assert tuple(profile.repeated_rows(df, repeated).first()) in {(20 + i, 10 + i) for i in range(21)}
+    assert profile.duplicate_rows({"t": df}).first().value == 10

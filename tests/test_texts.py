@@ -98,8 +98,38 @@ def test_accented_words_next_to_digits(spark, seed):
     assert got == want
 
 
+FRAGMENTS = [
+    "12", "12345", "4111", "4111-1111 4111 1111", "078-05-1120", "1.2.3.4", "2020-01-02", "+1", "(030)", "AB123456", "X9876", "XYZ12345678",
+    "12 Elm Ave", "7  Main\tStreet", "Way", "a@b.fr", "é@ç.fr", "@", "http://a b c", "https://x.y/z", "sk-abcdefghij0123456789XY",
+    "x$2b$12$" + "abcDEF./12" * 5 + "xyz", "word", "two words here", "#", "# 5 #", "é", "٣٤٥٦٧", "日本", "_", "-", ".", "(", ")", " ", "  ", "\n", "\t",
+    "\u00a0", "\u2003", "\x1c", "\r\n", "\x85", "\U0001f600", "a", "9", "A1",
+]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_rule_loses_or_gains_a_match_by_looking_only_at_its_kind(spark, seed):
+    """Every rule on the whole text against the rule on what is left for it."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(FRAGMENTS) + rng.choice(["", " ", ""]) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = [F.regexp_extract_all("t", F.lit("(?U)" + pii.RULES[c][1]), F.lit(0)) for c in pii.CATEGORIES]
+    parts = [pii.found(F.col("t"), c) for c in pii.CATEGORIES]
+    wrong = [F.when(~a.eqNullSafe(b), c) for a, b, c in zip(whole, parts, pii.CATEGORIES)]
+    rows = df.select("t", F.array_compact(F.array(*wrong)).alias("wrong"), F.size(F.flatten(F.array(*whole))).alias("n"))
+    assert rows.where("size(wrong) > 0").limit(3).collect() == []
+    assert rows.agg(F.sum("n")).first()[0] > 1500
+
+
+def test_long_text_is_searched_to_its_end(spark):
+    text = "plain words and no more " * 100_000 + "mail to last@line.org or +44 20 7946 0958"
+    df = spark.createDataFrame([(text,)], "v string")
+    assert {(r.category, r.match) for r in pii.pii_matches(df, "t").collect()} == {
+        ("email", "last@line.org"), ("phone", "44 20 7946 0958")
+    }
+
+
 def test_entropy(spark):
-    words = ["", "aaaa", "ab", "abcd", "héllo wörld", "日本語日本", None]
+    words = ["", "aaaa", "ab", "abcd", "héllo wörld", "日本語日本", "😀😀a😁", "ab" * 50_000, None]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, s string")
     got = {r.i: r.e for r in df.select("i", char_entropy(F.col("s")).alias("e")).collect()}
     for i, w in enumerate(words):

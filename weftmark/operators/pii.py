@@ -52,13 +52,21 @@ RULES = {
 CATEGORIES = tuple(RULES)
 # Text that every match of a category holds; looking for it first spares most rows the pattern.
 REQUIRED_TEXT = {
-    "email": ("@",),
-    "ssn": ("-",),
-    "date_of_birth": ("-",),
     "url": ("http",),
     "api_key": ("sk-", "AKIA", "ghp_", "AIza"),
     "password_hash": ("$2",),
 }
+# Categories all of whose matches lie within words with digits and single signs or spaces between such words.
+DIGIT_KINDS = (
+    "phone", "credit_card", "ssn", "ip_address", "date_of_birth", "passport", "driver_license", "bank_account", "health_insurance",
+    "zip_code",
+)
+STREET_WORDS = ("Street", "Ave", "Road", "Drive", "Lane", "Blvd", "Court", "Way")
+# Words are parted by white space. A run of words without a digit, and one of words without an at sign.
+_NO_DIGIT = r"(?U)(?<!\S)[^\s\d]++(?!\S)(?:\s++[^\s\d]++(?!\S))*+"
+_NO_AT = r"(?U)(?<!\S)[^\s@]++(?!\S)(?:\s++[^\s@]++(?!\S))*+"
+# Stands for such a run: no match holds it, and \b sees the same beside it as beside the run with its white space.
+_LEFT_OUT = "#"
 ENTROPY_CHECKED = ("credit_card", "api_key", "password_hash")
 MIN_ENTROPY = 0.1
 MIN_ZIP_LENGTH = 5
@@ -71,16 +79,43 @@ def text_columns(df: DataFrame, hints: Sequence[str] | None = None) -> list[str]
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
 
 
-def found(text: Column, category: str) -> Column:
+def _search(text: Column, category: str) -> Column:
     """All matches of a category in a text. ``(?U)`` gives \\w, \\d, \\s and \\b their Unicode meaning."""
-    matches = F.regexp_extract_all(text, F.lit("(?U)" + RULES[category][1]), F.lit(0))
-    needed = REQUIRED_TEXT.get(category)
-    if needed is None:
-        return matches
-    possible = reduce(lambda a, b: a | b, [text.contains(n) for n in needed])
+    return F.regexp_extract_all(text, F.lit("(?U)" + RULES[category][1]), F.lit(0))
+
+
+def _where(possible: Column, matches: Column) -> Column:
     return F.when(possible, matches).otherwise(F.array().cast("array<string>"))
 
 
+def _holds(text: Column, words: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def digit_words(text: Column) -> Column:
+    """The words with digits and the white space around them; what lies between is left out."""
+    return F.regexp_replace(text, _NO_DIGIT, _LEFT_OUT)
+
+
+def at_words(text: Column) -> Column:
+    return F.when(text.contains("@"), F.regexp_replace(text, _NO_AT, _LEFT_OUT)).otherwise("")
+
+
+def found_in(text: Column, category: str, digits: Column, ats: Column) -> Column:
+    """All matches of a category, looked for where they can be: in the words with digits, those with an at sign, or the text."""
+    if category in DIGIT_KINDS:
+        return _search(digits, category)
+    if category == "email":
+        return _search(ats, category)
+    needed = STREET_WORDS if category == "street_address" else REQUIRED_TEXT[category]
+    return _where(_holds(text, needed), _search(text, category))
+
+
+def found(text: Column, category: str) -> Column:
+    """All matches of one category in a text."""
+    return found_in(text, category, digit_words(text), at_words(text))
+
+
 def keep_match(category: Column, match: Column) -> Column:
     """Low-entropy keys, cards and hashes and short zip codes are no findings."""
     plain = F.regexp_replace(match, "[^a-zA-Z0-9]", "")
@@ -100,7 +135,8 @@ def pii_matches(
     """One row per match: table, column, category, match, and the given key columns.
 
     Rows are unfolded three times: into their text columns, each text into its matches per category, and those
-    into single matches. A text is searched 15 times in one task but never copied per category.
+    into single matches. One pass over a text keeps the words with digits, and another, where it has an at sign, the words with
+    one; each rule then looks only at its kind.
     """
     columns = text_columns(df, hints)
     if not columns:
@@ -110,9 +146,11 @@ def pii_matches(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("_text")) for c in columns]
     )
     text = F.col("_text")
-    hits = F.array(*[F.struct(F.lit(c).alias("category"), found(text, c).alias("_found")) for c in categories])
+    digits, ats = F.col("_digits"), F.col("_ats")
+    hits = F.array(*[F.struct(F.lit(c).alias("category"), found_in(text, c, digits, ats).alias("_found")) for c in categories])
     rows = (
         df.select(*keys, F.inline(texts))
+        .select("*", digit_words(text).alias("_digits"), at_words(text).alias("_ats"))
         .select(*keys, "column_name", F.inline(hits))
         .select(*keys, F.lit(table).alias("table_name"), "column_name", "category", F.explode("_found").alias("match"))
     )

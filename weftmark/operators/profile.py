@@ -13,6 +13,7 @@ from weftmark.functions.ordering import top_by
 from weftmark.functions.quantiles import exact_quantiles, value_counts
 from weftmark.operators.clean import orders_clean
 from weftmark.operators.marts import week_of
+from weftmark.session import materialize
 
 NO_DESCRIPTION = "—"  # fixed value
 
@@ -80,19 +81,66 @@ def null_findings(tables: Mapping[str, DataFrame], high_share: float = 0.1) -> D
     )
 
 
-def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows minus distinct rows per table, where that is not zero."""
+# bits of the map of repeated hashes for each of them, and bits of the map at most
+MAP_BITS_EACH = 16
+MAP_BITS_MOST = 1 << 28
 
-    def one(df: DataFrame, table: str) -> DataFrame:
-        extra = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
-        return extra.agg(F.sum(F.col("count") - 1).alias("value")).select(
-            F.lit(table).alias("table_name"),
-            F.lit("duplicate_rows").alias("check"),
-            "value",
-            F.lit("medium").alias("severity"),
-        )
 
-    return union_all([one(df, name) for name, df in tables.items()]).where("value > 0")
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """128 bits of a row, nulls by their place."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(*columns, nulls), F.xxhash64(nulls, *reversed(columns))]
+
+
+def _marked_in_map(df: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows whose hash ``h1`` may be one of ``hashes``: a map with one bit for each hash modulo its size is sent to all tasks.
+
+    The map grows with the number of hashes up to a fixed size; then more rows pass, and none is lost.
+    """
+    bits = 1 << max(15, min(MAP_BITS_MOST.bit_length() - 1, (hashes.count() * MAP_BITS_EACH).bit_length()))
+    place = F.pmod("h1", F.lit(bits).cast("bigint"))
+    pages = hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("page"))
+    pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    # bits / 8 bytes in all
+    rows = df.withColumn("place", place).withColumn("page", F.bitmap_bucket_number("place"))
+    rows = rows.join(F.broadcast(pages), "page")
+    at = F.bitmap_bit_position("place")
+    octet = F.conv(F.hex(F.expr("substring(marks, int(bitmap_bit_position(place) div 8) + 1, 1)")), 16, 10).cast("int")
+    # the bit of the octet
+    here = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)
+    return rows.where(octet.bitwiseAND(here) > 0).drop("place", "page", "marks")
+
+
+def repeated_rows(df: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(rows, distinct) among the rows that have one of the repeated ``hashes`` (h1, h2); rows are compared as a whole."""
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    own = df.toDF(*columns).select("*", *[h.alias(n) for h, n in zip(_row_hashes(df.toDF(*columns)), ("h1", "h2"))])
+    groups = _marked_in_map(own, hashes).groupBy(*columns).agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct"))
+
+
+def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows minus distinct rows per table, where that is not zero.
+
+    Hashes of all rows are counted first. Only rows whose hash repeats are then moved and compared as a whole, so hashes that
+    meet by chance do not matter.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    hashed = [
+        df.select(F.lit(name).alias("table_name"), *[h.alias(n) for h, n in zip(_row_hashes(df), ("h1", "h2"))])
+        for name, df in tables.items()
+    ]
+    counts = union_all(hashed).groupBy("table_name", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(counts.select("table_name", "h1", "h2"), "repeated")
+    none = spark.createDataFrame([], "table_name string, value bigint")
+    found = [none]
+    for (name,) in repeated.select("table_name").distinct().collect():  # a name for each table at most
+        here = repeated_rows(tables[name], repeated.where(F.col("table_name") == name).select("h1", "h2"))
+        found.append(here.select(F.lit(name).alias("table_name"), (F.col("rows") - F.col("distinct")).alias("value")))
+    return union_all(found).where("value > 0").select(
+        "table_name", F.lit("duplicate_rows").alias("check"), "value", F.lit("medium").alias("severity")
+    )
 
 
 def iqr_outliers(orders: DataFrame, multiplier: float = 1.5) -> DataFrame:
