@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftmark.config import DetectorParams
 from weftmark.functions import quantiles
+from weftmark.functions.bitmaps import rows_in_map
 from weftmark.functions.quantiles import exact_quantiles, value_counts
 from weftmark.operators import clean, facts, gate, marts, metrics, profile
 from weftmark.plans import medallion
@@ -318,6 +319,6 @@ def test_few_rows_are_moved_as_a_whole(spark):
     hashed = df.select(*[h.alias(n) for h, n in zip(profile._row_hashes(df), ("h1", "h2"))])
     repeated = hashed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     own = df.select("*", *[h.alias(n) for h, n in zip(profile._row_hashes(df), ("h1", "h2"))])
-    assert 20 <= profile._marked_in_map(own, repeated).count() <= 40
+    assert 20 <= rows_in_map(own, F.col("h1"), repeated, "h1").count() <= 40
     assert tuple(profile.repeated_rows(df, repeated).first()) in {(20 + i, 10 + i) for i in range(21)}
     assert profile.duplicate_rows({"t": df}).first().value == 10

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmark.functions.bitmaps import rows_in_map
 from weftmark.functions.numbers import half_up, price, ratio
 from weftmark.functions.ordering import top_by
 from weftmark.functions.quantiles import exact_quantiles, value_counts
@@ -81,11 +82,6 @@ def null_findings(tables: Mapping[str, DataFrame], high_share: float = 0.1) -> D
     )
 
 
-# bits of the map of repeated hashes for each of them, and bits of the map at most
-MAP_BITS_EACH = 16
-MAP_BITS_MOST = 1 << 28
-
-
 def _row_hashes(df: DataFrame) -> list[Column]:
     """128 bits of a row, nulls by their place."""
     columns = [F.col(f"`{c}`") for c in df.columns]
@@ -93,30 +89,11 @@ def _row_hashes(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns, nulls), F.xxhash64(nulls, *reversed(columns))]
 
 
-def _marked_in_map(df: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows whose hash ``h1`` may be one of ``hashes``: a map with one bit for each hash modulo its size is sent to all tasks.
-
-    The map grows with the number of hashes up to a fixed size; then more rows pass, and none is lost.
-    """
-    bits = 1 << max(15, min(MAP_BITS_MOST.bit_length() - 1, (hashes.count() * MAP_BITS_EACH).bit_length()))
-    place = F.pmod("h1", F.lit(bits).cast("bigint"))
-    pages = hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("page"))
-    pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
-    # bits / 8 bytes in all
-    rows = df.withColumn("place", place).withColumn("page", F.bitmap_bucket_number("place"))
-    rows = rows.join(F.broadcast(pages), "page")
-    at = F.bitmap_bit_position("place")
-    octet = F.conv(F.hex(F.expr("substring(marks, int(bitmap_bit_position(place) div 8) + 1, 1)")), 16, 10).cast("int")
-    # the bit of the octet
-    here = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)
-    return rows.where(octet.bitwiseAND(here) > 0).drop("place", "page", "marks")
-
-
 def repeated_rows(df: DataFrame, hashes: DataFrame) -> DataFrame:
     """(rows, distinct) among the rows that have one of the repeated ``hashes`` (h1, h2); rows are compared as a whole."""
     columns = [f"c{i}" for i in range(len(df.columns))]
     own = df.toDF(*columns).select("*", *[h.alias(n) for h, n in zip(_row_hashes(df.toDF(*columns)), ("h1", "h2"))])
-    groups = _marked_in_map(own, hashes).groupBy(*columns).agg(F.count("*").alias("n"))
+    groups = rows_in_map(own, F.col("h1"), hashes, "h1").groupBy(*columns).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct"))
 
 
