@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.functions.bitmaps import rows_in_map
 from weftmark.llm.batches import byte_texts, documents, map_arrow, slices, text_key
 from weftmark.llm.components import components
 from weftmark.llm.simhash import shingle_hashes
@@ -296,6 +297,9 @@ def confirmed_links(docs: DataFrame, distinct: DataFrame, groups: DataFrame) ->
     blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     asked = members.select("id", F.col("source.doc_id").alias("of_doc"), F.col("source.row_key").alias("of_key"))
     rows = documents(docs).withColumn("row_key", text_key())
+    # of the texts, few more than those of the groups are moved
+    row = F.xxhash64("doc_id", "row_key")
+    rows = rows_in_map(rows, row, members.select(F.xxhash64("source.doc_id", "source.row_key").alias("row")), "row")
     same = rows.doc_id.eqNullSafe(F.col("of_doc")) & (rows.row_key == F.col("of_key"))
     sets = map_arrow(rows.join(asked, same).select("id", "text"), _set_rows, "id bigint, shingles binary")
     units = _block_pairs(members.join(blocks, "group").select("id", "group", "blocks"), "group").join(sets, "id")
