@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -254,3 +255,97 @@ def test_a_repeated_document_is_sampled_once(spark, monkeypatch):
     labels = spark.createDataFrame([(i, float(i % 2)) for i in range(40)], "doc_id bigint, quality double")
     quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
     assert bags == [labels.where(~quality.held_out()).count()]
+
+
+def plain_passages(text):
+    """Shares of the passages of a text, byte by byte and word by word."""
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    cuts = [spans[i][0] for i in range(quality.PASSAGE_WORDS, len(spans), quality.PASSAGE_WORDS)]
+    data = text + b"\n"
+    out = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(data)]):
+        kinds = [int(quality._CLASS[c]) for c in data[lo:hi]]
+        shares = [kinds.count(k) / max(len(kinds), 1) for k in range(quality._CLASSES)]
+        words = [text[a:b] for a, b in spans if lo <= a < hi]
+        n = max(len(words), 1)
+        lengths = [len(w) for w in words]
+        mean = sum(lengths) / n
+        spread = max(sum(x * x for x in lengths) / n - mean**2, 0) ** 0.5
+        last, head = ([int(quality._CLASS[w[i]]) for w in words] for i in (-1, 0))
+        seen, fresh = set(), 0
+        for (a, b), w in zip([s for s in spans if lo <= s[0] < hi], words):
+            shape = min(len(w), 63), w[0], w[-1], data[(a + b) // 2]
+            fresh += shape not in seen
+            seen.add(shape)
+        rest = [
+            mean / 10, spread / 10, sum(x >= 6 for x in last) / n, sum(x == 2 for x in head) / n, sum(x >= 6 for x in head) / n,
+            sum(x >= 6 and m == 1 for x, m in zip(last, lengths)) / n, sum(m <= 3 for m in lengths) / n, fresh / n,
+            math.log1p(len(words)) / 5,
+        ]
+        out.append([x**0.5 for x in shares + rest])
+    return np.array(out)
+
+
+def plain_score(model, rows):
+    """Gated attention, passage by passage."""
+    p = model.p
+    codes, pulls = [], []
+    for row in rows:
+        z = [max(-6.0, min(6.0, (x - m) / s)) for x, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(a * b for a, b in zip(z, w)) + b0) for w, b0 in zip(p["w"].T, p["b"])]
+        gates = [
+            math.tanh(sum(a * b for a, b in zip(h, v))) / (1 + math.exp(-sum(a * b for a, b in zip(h, u)))) for v, u in zip(p["v"].T, p["u"].T)
+        ]
+        codes.append(h)
+        pulls.append(sum(a * b for a, b in zip(gates, p["a"])))
+    weights = [math.exp(e - max(pulls)) for e in pulls]
+    bag = [sum(w * h[k] for w, h in zip(weights, codes)) / sum(weights) for k in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(bag, p["c"])) + p["d"][0])))
+
+
+def test_op3_scores_equal_a_plain_forward_pass(spark, sf_dir, monkeypatch):
+    """Every document of the smallest tables, by the model that the query fits."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: model)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    for row in docs.collect():
+        rows = plain_passages((row["text"] or "").encode())
+        assert got[row["doc_id"]] == pytest.approx(plain_score(model, rows), abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [40, 700, 5000])
+def test_chunks_are_whole_passages(limit):
+    texts = [prose(1, 20_000).encode(), b"x" * 9000, b"a " * 4000, b"  " + prose(2, 350).encode() + b" \n ", b"\xc3\xa9 " * 1500, b" " * 5000]
+    for text in texts:
+        parts = list(quality.chunks(text, limit))
+        coded = np.concatenate([quality.encode_passages([p])[0] for p in parts])
+        assert np.allclose(coded, quality.encode_passages([text])[0])
+        assert b" ".join(b" ".join(p.split()) for p in parts if p.split()) == b" ".join(text.split())
+
+
+def test_fit_uses_all_passages_and_bounds_them_by_whole_documents(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda x, counts, labels: sizes.append(counts.tolist()))
+    words = {i: 100 * (1 + i % 7) for i in range(40)}
+    docs = spark.createDataFrame([(i, prose(i, n)) for i, n in words.items()], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(40)], "doc_id bigint, quality double")
+    quality.fit(docs, labels)
+    fitted = [r["doc_id"] for r in labels.where(~quality.held_out()).orderBy("doc_id").collect()]
+    assert sizes[0] == [words[i] // 100 for i in fitted]
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 30)
+    quality.fit(docs, labels)
+    assert 24 <= sum(sizes[1]) <= 30 and len(sizes[1]) < len(sizes[0])
+
+
+def test_text_of_20_mb(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    long = prose(3, 4000)
+    text = " ".join([long] * (20_000_000 // len(long)))
+    rows = spark.createDataFrame([(-1, text), (-2, long), (-3, None)], "doc_id bigint, text string")
+    everything = docs.select("doc_id", "text").unionByName(rows)
+    got = {r["doc_id"]: r["score"] for r in quality.score(everything, labels).where("doc_id < 0").collect()}
+    # many copies of a text have nearly its passages
+    assert got[-1] == pytest.approx(got[-2], abs=0.05)
+    kept = {r["doc_id"] for r in quality.keep_good(everything, labels).where("doc_id < 0").select("doc_id").collect()}
+    assert kept == {d for d, s in got.items() if s >= quality.CUT}

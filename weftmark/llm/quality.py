@@ -4,8 +4,10 @@ A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage is enc
 character classes and word shapes; gated attention weighs the passages of a document, and the weighted mean of their
 codes gives the score. Only documents have labels: the weights of the passages are learned from them.
 
-The model is fitted on a bounded sample, ``SAMPLE_DOCS`` labelled documents with the smallest hashes of their numbers, of
-which at most ``SAMPLE_PASSAGES`` passages each, evenly spread, are used. Scoring reads whole texts.
+The model is fitted on a bounded sample of labelled rows: documents in the order of the hashes of their numbers, ``SAMPLE_DOCS`` of
+them at most, each with all its passages, as far as all passages together are ``SAMPLE_PASSAGES`` at most (a document that would
+exceed this is passed over). Scoring reads whole texts. A text longer than ``TEXT_BYTES`` is encoded alone, in chunks that end with a
+passage, so a task holds the numbers of one chunk and 200 bytes for each passage of the text.
 
 A null or empty text is one passage of zeros and gets the score that this has. Several labels of one document are
 averaged, labels that are null are left out. If no labels of both kinds exist, every score is the share of label 1 (one half
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftmark.llm.batches import byte_texts, documents, map_arrow, own_columns, set_aside, slices, text_key
+from weftmark.session import materialize
 
 PASSAGE_WORDS = 100
 # bytes of text encoded at a time; each takes up to a hundred bytes of numbers
 TEXT_BYTES = 1 << 20
 SAMPLE_DOCS = 4000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 100_000
 HIDDEN = 16
 ATTENTION = 8
 EPOCHS = 300
@@ -97,6 +100,36 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(np.abs(features)), passages
 
 
+def chunks(text: bytes, limit: int = TEXT_BYTES) -> Iterator[bytes]:
+    """Parts of a text, each of whole passages but for the last; longer than ``limit`` only where a passage is."""
+    at, size = 0, limit
+    while len(text) - at > size:
+        part = np.frombuffer(text, np.uint8, size, at)
+        space = _CLASS[part] == 0
+        begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        # the first word after the last whole passage
+        place = (len(begins) - 1) // PASSAGE_WORDS * PASSAGE_WORDS
+        if place > 0:
+            # the last byte is white space, which encoding adds to every text
+            yield text[at : at + begins[place] - 1]
+            at, size = at + int(begins[place]), limit
+        else:
+            size *= 2
+    yield text[at:]
+
+
+def encode_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_passages``, long texts in chunks."""
+    if all(len(t) <= TEXT_BYTES for t in texts):
+        return encode_passages(texts)
+    codes, counts = [], []
+    for text in texts:
+        parts = [encode_passages([part])[0].astype("<f4") for part in chunks(text)]
+        codes += parts
+        counts.append(sum(map(len, parts)))
+    return np.concatenate(codes), np.array(counts)
+
+
 class AttentionModel:
     """Gated attention over passage codes; parameters are a few thousand numbers."""
 
@@ -168,14 +201,12 @@ def held_out() -> Column:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=TEXT_BYTES):
-        x, counts = encode_passages(byte_texts(batch))
-        out, at = [], 0
-        for n in counts.tolist():
-            pick = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(int))
-            out.append(x[at : at + n][pick].astype("<f4").tobytes())
-            at += n
+        x, counts = encode_texts(byte_texts(batch))
+        ends = np.cumsum(counts)
+        out = [x[end - n : end].astype("<f4").tobytes() for end, n in zip(ends, counts)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "x"]
+            [batch.column("doc_id"), batch.column("label"), pa.array(counts), pa.array(out, pa.binary())],
+            names=["doc_id", "label", "n", "x"],
         )
 
 
@@ -194,8 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     # one row of each sampled document, whatever its repeats
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text_key().alias("key"), "text")).alias("least"))
     rows = rows.select("doc_id", "label", "least.text")
-    got = map_arrow(rows.select("doc_id", "label", "text"), _encode, "doc_id bigint, label double, x binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
+    rows = map_arrow(rows.select("doc_id", "label", "text"), _encode, "doc_id bigint, label double, n bigint, x binary")
+    rows = materialize(rows, "sample-passages")
+    # which documents fit is decided by their sizes; only these come to the driver
+    chosen, passages = [], 0
+    for row in sorted(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").collect()):
+        if passages + row["n"] <= SAMPLE_PASSAGES:
+            passages += row["n"]
+            chosen.append(row["doc_id"])
+    got = sorted(rows.where(F.col("doc_id").isin(chosen)).select("doc_id", "label", "x").collect(), key=lambda r: r["doc_id"])
     if not got:
         return train(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
     bags = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in got]
@@ -206,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
 def _score(model: AttentionModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=TEXT_BYTES):
-            score = model.scores(*encode_passages(byte_texts(batch)))
+            score = model.scores(*encode_texts(byte_texts(batch)))
             kept = [batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*batch.schema.names, "_score"])
 
