@@ -322,3 +322,15 @@ def test_few_rows_are_moved_as_a_whole(spark):
     assert 20 <= rows_in_map(own, F.col("h1"), repeated, "h1").count() <= 40
     assert tuple(profile.repeated_rows(df, repeated).first()) in {(20 + i, 10 + i) for i in range(21)}
     assert profile.duplicate_rows({"t": df}).first().value == 10
+
+
+def test_no_row_is_left_out_of_the_facts(spark, sf_dir):
+    """Every valid line counts once by its order and once by its shipment, every event once, and all sources end together."""
+    lines, events = inputs.fact_lines(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet")
+    got = inputs.all_facts(spark, sf_dir).groupBy("source_table").agg(
+        F.sum("completes").alias("n"), F.max("week_start_date").alias("last"), F.sum("views").alias("views")
+    )
+    got = {r.source_table: r for r in got.collect()}
+    assert got["ORDERS"].n == got["SHIPMENTS"].n == lines.count()
+    assert got["EVENTS"].views == events.where("event_type = 'view'").count()
+    assert got["SHIPMENTS"].last == got["EVENTS"].last == got["ORDERS"].last

@@ -58,16 +58,18 @@ def detect_from_tables(
     params: DetectorParams = DetectorParams(),
     keywords: gate.Keywords = gate.ROLE_KEYWORDS,
     until: str | None = None,
+    lookback_weeks: int | None = None,
 ) -> dict[str, DataFrame]:
     """From source tables to all outputs: gate, roles by column names, facts of every table with a date, detection.
 
-    A table given as None could not be read and is left out. Only the gate's issues come back if one of them is fatal.
+    ``until`` (exclusive) and ``lookback_weeks`` bound the rows of every table. A table given as None could not be read and is
+    left out. Only the gate's issues come back if one of them is fatal.
     """
     issues = gate.quality_gate(tables, params, keywords)
     if not gate.gate_passed(issues).first()["passed"]:
         return {"quality_gate": issues}
     parts = [
-        facts.weekly_facts(df, name, facts.Roles.discover(df, keywords), until=until)
+        facts.weekly_facts(df, name, facts.Roles.discover(df, keywords), until=until, lookback_weeks=lookback_weeks)
         for name, df in tables.items()
         if df is not None
     ]

@@ -20,13 +20,12 @@ _FACT_COLUMNS = _ID + ", " + ", ".join(f"{snap_sql(c, d)} AS {c}" for c, d in _V
 
 @query(
     "weekly_facts",
-    sql.with_(sql.FACTS_ALL.replace("FROM lines)", "FROM lines WHERE order_date >= DATE '2001-08-06' - INTERVAL 26 WEEKS AND order_date < DATE '2001-08-06')", 1))
-    + f"""SELECT {_FACT_COLUMNS} FROM facts WHERE source_table = 'ORDERS'
-      AND week_start_date >= date_trunc('week', DATE '2001-08-06' - INTERVAL 26 WEEKS)
-      AND week_start_date < DATE '2001-08-06'""",
+    # the axis ends with a week, so the window is whole weeks
+    sql.with_(sql.FACTS_ALL)
+    + f"""SELECT {_FACT_COLUMNS} FROM facts, weeks_axis WHERE source_table = 'ORDERS' AND week_start_date >= last_week - 25 * 7""",
 )
 def weekly_facts(spark, sf_dir):
-    bounded = inputs.order_facts(spark, sf_dir, until=inputs.ORDERS_UNTIL, lookback_weeks=26)
+    bounded = inputs.order_facts(spark, sf_dir, until=inputs.axis_end(spark, sf_dir), lookback_weeks=26)
     return comparable(bounded, **_VALUE_DIGITS)
 
 
@@ -554,7 +553,7 @@ def detector_run(spark, sf_dir):
         count(CASE WHEN event_type = 'purchase' THEN value END) AS seen FROM events) WHERE 1 - seen / n > 0.3 HAVING count(*) > 0""",
 )
 def detector_from_tables(spark, sf_dir):
-    outputs = detector.detect_from_tables(inputs.discoverable_tables(spark, sf_dir), until=inputs.ORDERS_UNTIL)
+    outputs = detector.detect_from_tables(inputs.discoverable_tables(spark, sf_dir), until=inputs.axis_end(spark, sf_dir))
 
     def counted(name, table, gdv):
         rows = outputs[name].groupBy(F.col(table).alias("source_table")).agg(F.count("*").alias("row_count"), gdv.alias("gdv"))

@@ -25,10 +25,6 @@ TABLES = (
 )
 PART_CATEGORIES = ("STANDARD", "PROMO", "LARGE", "ECONOMY")
 SEEDED_WEEKS = {"2001-03-05": 4.0, "2001-01-15": 0.4}
-ORDERS_UNTIL = "2001-08-06"
-ORDERS_LAST = "2001-07-30"
-EVENTS_UNTIL = "2024-01-31"
-EVENTS_LAST = "2024-01-30"
 FIXED_COST = 4_000_000.0
 
 ORDER_ROLES = Roles(
@@ -192,28 +188,50 @@ def event_facts(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
     return weekly_facts(event_rows(spark, sf_dir), "EVENTS", EVENT_ROLES, period="day", **bounds)
 
 
+def _last_day(spark: SparkSession, sf_dir: str, table: str, column: str) -> Column:
+    """The last day of a date column, as a scalar subquery."""
+    return read(spark, sf_dir, table).agg(F.max(F.to_date(column)).alias("day")).scalar()
+
+
+def _last_week(spark: SparkSession, sf_dir: str) -> Column:
+    """The Monday of the last order, the common end of all sources."""
+    return F.trunc(_last_day(spark, sf_dir, "orders", "o_orderdate"), "week")
+
+
+def axis_end(spark: SparkSession, sf_dir: str) -> str | None:
+    """The first day after the last week, from the data."""
+    day = read(spark, sf_dir, "orders").agg(F.date_add(F.trunc(F.max(F.to_date("o_orderdate")), "week"), 7)).first()[0]
+    return None if day is None else day.isoformat()
+
+
 def event_week_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events on the weeks of the orders: each day of their month stands for one of the last weeks.
+    """Events on the weeks of the orders: the last day with events stands for the last week, each day before it for a week before.
 
     Spending in the last week is four times what it was, so that the sources have something to warn of.
     """
-    return weekly_facts(_event_weeks(spark, sf_dir), "EVENTS", replace(EVENT_ROLES, date="week"), until=ORDERS_UNTIL)
+    return weekly_facts(_event_weeks(spark, sf_dir), "EVENTS", replace(EVENT_ROLES, date="week"))
 
 
 def _event_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days_left = F.datediff(F.lit(EVENTS_LAST), F.to_date("ts"))
-    rows = event_rows(spark, sf_dir).withColumn("week", F.date_add(F.lit(ORDERS_LAST).cast("date"), -7 * days_left))
+    days_left = F.datediff(_last_day(spark, sf_dir, "events", "ts"), F.to_date("ts"))
+    week = F.date_sub(_last_week(spark, sf_dir), 7 * days_left)
+    rows = event_rows(spark, sf_dir).withColumn("week", week)
     return rows.withColumn("spend", F.col("spend") * F.when(days_left == 0, 4).otherwise(1))
 
 
+def _shipment_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines whose shipments are dated so many whole weeks earlier that the last one falls in the last week."""
+    last = F.trunc(_last_day(spark, sf_dir, "lineitem", "l_shipdate"), "week")
+    behind = F.datediff(last, _last_week(spark, sf_dir))
+    return fact_lines(spark, sf_dir).withColumn("ship_date", F.date_sub("ship_date", behind))
+
+
 def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines by order week and by ship week, and events, on one axis of weeks with one end.
+    """Order lines by order week and by ship week, and events, on one axis of weeks with one end; no row is left out.
 
     A table without dates drops out.
     """
-    trade = weekly_facts_by_dates(
-        fact_lines(spark, sf_dir), {"ORDERS": "order_date", "SHIPMENTS": "ship_date"}, ORDER_ROLES, until=ORDERS_UNTIL
-    )
+    trade = weekly_facts_by_dates(_shipment_weeks(spark, sf_dir), {"ORDERS": "order_date", "SHIPMENTS": "ship_date"}, ORDER_ROLES)
     undated = weekly_facts(read(spark, sf_dir, "part"), "PARTS", Roles.discover(read(spark, sf_dir, "part")))
     return weekly_facts_union([trade, event_week_facts(spark, sf_dir), undated])
 

@@ -100,7 +100,11 @@ def union_columns(rows: list[str]) -> str:
 
 # -- detector ---------------------------------------------------------------------------------------------
 
-FACTS_ALL = f"""{VALID}, lines AS (
+FACTS_ALL = f"""{VALID}, weeks_axis AS (
+  SELECT CAST(date_trunc('week', (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS DATE) AS last_week,
+    CAST(date_trunc('week', (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)) AS DATE) AS last_ship_week,
+    (SELECT max(CAST(ts AS DATE)) FROM events) AS last_event_day
+), lines AS (
   SELECT v.*, CAST(revenue * tax AS DECIMAL(18,6)) AS cost_value, n_name AS country, c_mktsegment AS segment
   FROM valid v JOIN customer ON v.customer_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ), trade AS (
@@ -109,12 +113,13 @@ FACTS_ALL = f"""{VALID}, lines AS (
     CAST(sum(revenue) AS DOUBLE) AS gdv, CAST(NULL AS DOUBLE) AS nac2, CAST(count(order_id) AS DOUBLE) AS completes,
     CAST(NULL AS DOUBLE) AS views, CAST(NULL AS DOUBLE) AS clicks, CAST(sum(cost_value) AS DOUBLE) AS cost
   FROM (SELECT 'ORDERS' AS source_table, order_date AS day, * FROM lines
-        UNION ALL SELECT 'SHIPMENTS' AS source_table, ship_date AS day, * FROM lines) t
-  WHERE day IS NOT NULL AND day < DATE '2001-08-06'
+        UNION ALL SELECT 'SHIPMENTS' AS source_table,
+          ship_date - CAST((SELECT last_ship_week - last_week FROM weeks_axis) AS INTEGER) AS day, * FROM lines) t
+  WHERE day IS NOT NULL
   GROUP BY ALL
 ), event_facts AS (
   SELECT 'EVENTS' AS source_table,
-    DATE '2001-07-30' - CAST(7 * (DATE '2024-01-30' - CAST(ts AS DATE)) AS INTEGER) AS week_start_date, CAST(NULL AS VARCHAR) AS country,
+    last_week - CAST(7 * (last_event_day - CAST(ts AS DATE)) AS INTEGER) AS week_start_date, CAST(NULL AS VARCHAR) AS country,
     CAST(NULL AS VARCHAR) AS device, event_type AS traffic_source,
     CAST(count(DISTINCT user_id) AS DOUBLE) AS fundraisers,
     CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS gdv,
@@ -123,9 +128,9 @@ FACTS_ALL = f"""{VALID}, lines AS (
     CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS DOUBLE) AS views,
     CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) AS DOUBLE) AS clicks,
     CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(18,2))
-      * CASE WHEN CAST(ts AS DATE) = DATE '2024-01-30' THEN 4 ELSE 1 END END) AS DOUBLE) AS cost
-  FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-30'
-  GROUP BY ALL
+      * CASE WHEN CAST(ts AS DATE) = last_event_day THEN 4 ELSE 1 END END) AS DOUBLE) AS cost
+  FROM events, weeks_axis WHERE ts IS NOT NULL
+  GROUP BY source_table, week_start_date, event_type
 ), facts AS (SELECT * FROM trade UNION ALL SELECT * FROM event_facts)"""
 
 _METRICS = ("FUNDRAISERS", "GDV", "NAC2", "COMPLETES", "VIEWS", "CLICKS", "COST")

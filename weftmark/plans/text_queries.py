@@ -10,6 +10,7 @@ from weftmark.operators.profile import union_all
 from weftmark.plans import inputs, sql
 from weftmark.plans.registry import comparable, query, snap_sql
 from weftmark.session import workspace
+from weftmark.sources import event_store
 
 # -- personal data ------------------------------------------------------------------------------------------
 
@@ -341,8 +342,15 @@ _RUN, _CURSOR = 42, 20
       WHERE run_id = {_RUN} AND seq > {_CURSOR}""",
 )
 def events_after(spark, sf_dir):
-    numbered = runlog.with_sequence(inputs.run_events(spark, sf_dir))
-    return _ntz(runlog.events_after(numbered, _RUN, _CURSOR).select("event_id", "run_id", "ts", "agent", "seq"))
+    """The log is written in three batches in order of time; the cursor then reads the files of its run."""
+    path, events = workspace(spark, "run-log"), inputs.run_events(spark, sf_dir)
+    # a third of the days each, and what has no time at last
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    first, last = span.select("a").scalar(), span.select("b").scalar()
+    third = F.least(F.floor(3 * F.datediff("ts", first) / (F.datediff(last, first) + 1)), F.lit(2))
+    for part in range(3):
+        event_store.append_events(events.where(F.coalesce(third, F.lit(2)) == part), path)
+    return _ntz(event_store.events_after(spark, path, _RUN, _CURSOR).select("event_id", "run_id", "ts", "agent", "seq"))
 
 
 @query(
