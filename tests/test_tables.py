@@ -11,7 +11,7 @@ from weftmark.functions import quantiles
 from weftmark.functions.bitmaps import rows_in_map
 from weftmark.functions.quantiles import exact_quantiles, value_counts
 from weftmark.operators import clean, facts, gate, marts, metrics, profile
-from weftmark.plans import medallion
+from weftmark.plans import inputs, medallion
 from weftmark.sources import catalog, files
 
 ORDERS = "order_id bigint, customer_id bigint, product_id bigint, order_date string, quantity int, unit_price string, channel string"
