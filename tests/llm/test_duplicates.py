@@ -244,7 +244,13 @@ def test_a_passage_with_many_borders(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(60)
     passed = []
     written = substrings.materialize
-    monkeypatch.setattr(substrings, "materialize", lambda df, name: passed.append(written(df, name)) or passed[-1])
+    def noted(df, name):
+        kept = written(df, name)
+        if name == "spans":
+            passed.append(kept)
+        return kept
+
+    monkeypatch.setattr(substrings, "materialize", noted)
     rows_each = "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(rows_each)
     spark.conf.set(rows_each, "5")
@@ -256,6 +262,50 @@ def test_a_passage_with_many_borders(spark, monkeypatch):
     assert passed[0].where("windows IS NOT NULL").count() > 100
 
 
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=25), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_factors_are_the_longest(segments):
+    """Against a parse that tries every place of the reference."""
+    flat = np.array([x for s in segments for x in s], np.uint64)
+    cuts = np.cumsum([0, *(len(s) for s in segments)])
+    breaks = np.zeros(len(flat), bool)
+    breaks[cuts[:-1]] = True
+    counts = Counter(flat.tolist())
+    first, repeated, begins = substrings.factors(flat, breaks)
+    assert [flat.tolist().index(x) for x in flat.tolist()] == first.tolist()
+    assert repeated.tolist() == [counts[x] > 1 for x in flat.tolist()]
+
+    def end(i):
+        return int(cuts[np.searchsorted(cuts, i, side="right")])
+
+    def same(i, j):
+        n = 0
+        while i + n < end(i) and j + n < end(j) and flat[i + n] == flat[j + n] and repeated[i + n]:
+            n += 1
+        return n
+
+    want, i = set(cuts[:-1].tolist()), 0
+    while i < len(flat):
+        want.add(i)
+        if repeated[i]:
+            i += max(same(i, j) for j in range(len(flat)) if j != i)
+        else:
+            stop = i
+            while stop < end(i) and not repeated[stop]:
+                stop += 1
+            i = stop
+    assert set(np.flatnonzero(begins).tolist()) == want
+
+
+def test_only_windows_of_shared_minimizers_move(spark):
+    docs = [(i, prose(i, 300)) for i in range(40)] + [(100, prose(3, 120)), (101, prose(3, 300))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(9)
+    plan = substrings.duplicate_spans(frame)
+    assert plan.where("doc_id < 3 OR doc_id BETWEEN 4 AND 40").count() == 0
+    minimizers = substrings.map_arrow(frame, substrings._segment_minimizers(35, 12), "minimizer bigint").groupBy("minimizer").count()
+    assert 0 < minimizers.where("count > 1").count() < minimizers.count() / 5
+
+
 def test_op8_equals_counting_windows(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = multiset(tuple(r) for r in QUERIES["op8_substrings"](spark, sf_dir).collect())

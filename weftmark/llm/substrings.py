@@ -1,8 +1,9 @@
 """Substring duplicates by relative Lempel-Ziv parsing.
 
-A window is ``WINDOW_WORDS`` consecutive words. Every document is factored against indexed reference blocks: a factor is
-the longest run of windows that follows one place of the reference, and the words of its windows become a duplicate span,
-in the document and at the place it refers to.
+A window is ``WINDOW_WORDS`` consecutive words. Every document is factored against indexed reference blocks: from where the last
+factor ended, a factor follows that place of the reference, among all places of its first window, along which the text goes on
+longest; it stops at the end of either document. A factor of one window or more is a duplicate span: all words of its windows. The
+windows that lie over the border of two factors are windows of the parse themselves, so a repeat over a border is tested there.
 
 The corpus is too large to hold every document against every block, so the blocks are made by content. Windows are
 dealt by their minimizer, the smallest hash of the ``GRAM_WORDS``-word runs inside: equal windows have equal minimizers,
@@ -10,7 +11,10 @@ so all places that a window can refer to are in one block. Consecutive windows w
 segment. A factor thus ends where its segment ends; the windows over that boundary begin in the next segment and are
 factored there, and the spans of neighbouring factors overlap and are merged.
 
-First, each task factors its own documents against themselves, a bounded slice at a time. What repeats there is settled
+First, the minimizers of all segments are counted, without windows. Only segments whose minimizer another segment shares can repeat
+elsewhere, so only their windows are moved.
+
+Then each task factors its own documents against themselves, a bounded slice at a time. What repeats there is settled
 on the spot, and only the first place of every window is sent on. So a passage that a third of all documents share
 reaches its block once per slice, not once per document, and the block keeps one place of each of its windows.
 
@@ -18,6 +22,7 @@ The windows over the borders of such a passage all differ and share its minimize
 ``BLOCK_WINDOWS`` different windows of one minimizer passes the windows of that minimizer on, each as a row of its own,
 and these are dealt anew by window: equal ones still meet, and no task holds more than a bounded part of them.
 
+A text is read whole; one longer than a slice is a slice of its own, of about 60 bytes for each word and 16 for each repeated window.
 Words are runs of other characters than blank, tab, line feed, vertical tab, form feed and carriage return. Window hashes
 have 64 bits and are compared only under equal minimizer hashes of another 64. A null or empty text has no words. Repeated
 rows are copies of each other. A null doc_id is kept as null. Extra columns are not read. An empty input gives an empty
@@ -35,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.functions.bitmaps import rows_in_map
 from weftmark.llm.batches import byte_texts, documents, map_arrow, slices, text_key
 from weftmark.session import materialize
 
@@ -44,6 +50,8 @@ GRAM_WORDS = 12
 MEMO_WORDS = 500_000
 # windows that a block holds at a time
 BLOCK_WINDOWS = 1 << 20
+# bits of the map of shared minimizers for each of them
+MAP_BITS = 8
 # rows of passed windows that go out at a time
 PASSED_ROWS = 1 << 16
 
@@ -96,20 +104,65 @@ def run_minima(x: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(x[: len(x) - over], x[over:]) if over else x
 
 
+def longest_places(kinds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place, its neighbours in the order of what follows up to ``ends``; one of them has the longest common part.
+
+    The order comes by doubling: ranks of the next 1, 2, 4, ... windows.
+    """
+    n = len(kinds)
+    place = np.arange(n)
+    _, rank = np.unique(kinds, return_inverse=True)
+    length, most = 1, int((ends - place).max())
+    while length < most and rank.max() < n - 1:
+        after = place + length
+        following = np.where(after < ends, rank[np.minimum(after, n - 1)] + 1, 0)
+        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + following, return_inverse=True)
+        length *= 2
+    order = np.argsort(rank, kind="stable")
+    before, behind = np.full(n, -1), np.full(n, -1)
+    before[order[1:]], behind[order[:-1]] = order[:-1], order[1:]
+    return before, behind
+
+
+def parse(kinds: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Greedy factors: first window and place of each. Every kind occurs twice at least; ``ends`` bounds the factors."""
+    starts, places = [], []
+    before, behind = longest_places(kinds, ends)
+    at = 0
+    while at < len(kinds):
+        best, place = 0, at
+        for other in (before[at], behind[at]):
+            if other >= 0:
+                most = int(min(ends[at] - at, ends[other] - other))
+                differs = kinds[at : at + most] != kinds[other : other + most]
+                same = int(differs.argmax()) if differs.any() else most
+                if same > best:
+                    best, place = same, int(other)
+        starts.append(at)
+        places.append(place)
+        at += best
+    return starts, places
+
+
 def factors(windows: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factor the windows of a block against the block.
 
-    ``breaks`` marks the first window of each segment. Gives the place that each window refers to (its own if it is the
-    first of its kind), whether it has an equal, and the first window of each factor or of each run without one.
+    ``breaks`` marks the first window of each segment. Gives the first place of each window's kind, whether it has an equal, and
+    the first window of each factor or of each run without one.
     """
     _, first, of, counts = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
-    refers = first[of]
     repeated = counts[of] > 1
     begins = breaks.copy()
     if len(windows):
         begins[0] = True
-    begins[1:] |= (np.diff(refers) != 1) | (repeated[1:] != repeated[:-1])
-    return refers, repeated, begins
+    begins[1:] |= repeated[1:] != repeated[:-1]
+    at = np.flatnonzero(repeated)
+    if len(at):
+        # runs of windows with an equal, inside segments
+        edges = np.append(np.flatnonzero(begins[at]), len(at))
+        ends = np.repeat(edges[1:], np.diff(edges))
+        begins[at[parse(of[at], ends)[0]]] = True
+    return first[of], repeated, begins
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, marked: np.ndarray, begins: np.ndarray, window: int):
@@ -128,30 +181,45 @@ _ROWS = pa.schema([
 _ROWS_DDL = "minimizer bigint, doc_id bigint, row_key bigint, start bigint, end bigint, windows binary, settled binary"
 
 
+def _slice_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int, whole: bool = True):
+    """Of every slice: batch, and document, first word, hash (if ``whole``), minimizer and break of each window."""
+    known = _WordHashes()
+    for batch in slices(batches):
+        if len(known) > MEMO_WORDS:
+            known = _WordHashes()
+        lists = [t.split() for t in byte_texts(batch)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = np.fromiter((known[w] for ws in lists for w in ws), np.uint64, int(counts.sum()))
+        del lists
+        if len(words) < window:
+            continue
+        owner = np.repeat(np.arange(len(counts)), counts)
+        minima = run_minima(run_hashes(words, gram), window - gram + 1)
+        inside = np.flatnonzero(owner[: len(minima)] == owner[window - 1 :])
+        if not len(inside):
+            continue
+        doc, minima = owner[inside], minima[inside]
+        start = inside - (np.cumsum(counts) - counts)[doc]
+        breaks = np.ones(len(inside), bool)
+        breaks[1:] = (doc[1:] != doc[:-1]) | (minima[1:] != minima[:-1])
+        yield batch, doc, start, run_hashes(words, window)[inside] if whole else None, minima, breaks
+
+
+def _segment_minimizers(window: int, gram: int):
+    """The minimizer of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, _, minima, breaks in _slice_windows(batches, window, gram, whole=False):
+            yield pa.RecordBatch.from_arrays([pa.array(minima[breaks].view(np.int64))], names=["minimizer"])
+
+    return run
+
+
 def _own_factors(window: int, gram: int):
     """Spans that repeat within a slice, and segments of first places for the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
-        for batch in slices(batches):
-            if len(known) > MEMO_WORDS:
-                known = _WordHashes()
-            lists = [t.split() for t in byte_texts(batch)]
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            words = np.fromiter((known[w] for ws in lists for w in ws), np.uint64, int(counts.sum()))
-            del lists
-            if len(words) < window:
-                continue
-            owner = np.repeat(np.arange(len(counts)), counts)
-            hashes = run_hashes(words, window)
-            minima = run_minima(run_hashes(words, gram), window - gram + 1)
-            inside = np.flatnonzero(owner[: len(hashes)] == owner[window - 1 :])
-            if not len(inside):
-                continue
-            doc, hashes, minima = owner[inside], hashes[inside], minima[inside]
-            start = inside - (np.cumsum(counts) - counts)[doc]
-            breaks = np.ones(len(inside), bool)
-            breaks[1:] = (doc[1:] != doc[:-1]) | (minima[1:] != minima[:-1])
+        for batch, doc, start, hashes, minima, breaks in _slice_windows(batches, window, gram):
             refers, repeated, begins = factors(hashes, breaks)
             ids, keys = batch.column("doc_id"), batch.column("row_key")
             of, lo, hi = _spans(doc, start, repeated, begins, window)
@@ -301,7 +369,11 @@ def _windows(table: pa.Table) -> int:
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """doc_id, row_key, start and end (words, end exclusive) of factors; they may overlap."""
     rows = documents(docs).select("doc_id", text_key().alias("row_key"), "text")
+    minimizers = map_arrow(rows.select("text"), _segment_minimizers(window, gram), "minimizer bigint")
+    shared = minimizers.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer")
+    shared = materialize(shared, "shared-minimizers")
     own = map_arrow(rows, _own_factors(window, gram), _ROWS_DDL)
+    own = rows_in_map(own, F.col("minimizer"), shared, "minimizer", MAP_BITS, always=F.col("windows").isNull())
     blocks = own.repartition("minimizer").sortWithinPartitions("minimizer")
     found = materialize(map_arrow(blocks, _block_factors(window, pass_on=True), _ROWS_DDL), "spans")
     # windows of minimizers with too many of them meet again, dealt by window
