@@ -209,3 +209,28 @@ def test_traffic_light_takes_the_worst(spark):
     light = impact.traffic_light(summary, impact.financial_impact(summary, empty)).first()
     assert light.overall_status.endswith("CRITICAL") and light.critical_issues == 6 and light.total_anomalies == 7
     assert math.isfinite(light.annualized_financial_exposure)
+
+
+def test_pairs_of_many_series_in_many_blocks(spark, monkeypatch):
+    """The same pairs whatever the number of blocks."""
+    rng = np.random.default_rng(3)
+    weeks = [dt.date(2024, 1, 1) + dt.timedelta(weeks=i) for i in range(12)]
+    rows = [("S", m, w, float(rng.normal())) for m in [f"GDV{i}" for i in range(7)] + [f"M{i}" for i in range(23)] for w in weeks]
+    df = spark.createDataFrame(rows, "source_table string, metric string, week_start_date date, actual double")
+    found = []
+    for each in (64, 3, 1):
+        monkeypatch.setattr(explain, "BLOCK_SERIES", each)
+        got = explain.lagged_correlation(df)
+        found.append(sorted(tuple(r) for r in got.collect()))
+        assert len(found[-1]) == 7 * 23 * 3
+    assert found[0] == found[1] == found[2]
+
+
+def test_warning_lines_are_numbered_by_impact(spark):
+    schema = "predictor_metric string, target_metric string, lag_weeks int, projected_impact_value double, narrative string, recommended_action string"
+    rows = [(f"P{i % 7}", f"T{i}", i % 3, None if i == 5 else float((i * 37) % 50 - 25), f"n{i}", "a") for i in range(60)]
+    got = explain.warning_lines(spark.createDataFrame(rows, schema)).orderBy("line").collect()
+    order = sorted(rows, key=lambda r: (-abs(round(r[3] or 0.0, 6)), r[0], r[1], r[2]))
+    assert [(r.line, r.text) for r in got] == [(i, f"{r[4]} a") for i, r in enumerate(order, 1)]
+    none = explain.warning_lines(spark.createDataFrame([], schema)).collect()
+    assert [(r.line, r.text) for r in none] == [(1, explain.NO_WARNING)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from weftmark.config import DetectorParams
 from weftmark.functions import quantiles
 from weftmark.functions.bitmaps import rows_in_map
 from weftmark.functions.quantiles import exact_quantiles, value_counts
-from weftmark.operators import clean, facts, gate, marts, metrics, profile
+from weftmark.operators import clean, facts, facts_store, gate, marts, metrics, profile
 from weftmark.plans import inputs, medallion
 from weftmark.sources import catalog, files
 
@@ -334,3 +335,113 @@ def test_no_row_is_left_out_of_the_facts(spark, sf_dir):
     assert got["ORDERS"].n == got["SHIPMENTS"].n == lines.count()
     assert got["EVENTS"].views == events.where("event_type = 'view'").count()
     assert got["SHIPMENTS"].last == got["EVENTS"].last == got["ORDERS"].last
+
+
+def test_sets_of_dimensions_equal_single_queries(spark, raw):
+    registry = metrics.MetricRegistry(medallion.metric_tables(medallion.medallion(raw)))
+    registry.register(
+        "people", source="valid_orders", wide_source="valid_orders_by_country", dimensions=("channel", "country"),
+        parts=[("n", "distinct", "customer_id"), ("most", "max", "revenue")], formula="n * 1000 + most",
+    )
+    registry.register("plain", source="valid_orders", measure="count(DISTINCT customer_id) * 1000 + max(revenue)", dimensions=("channel",))
+    for name, alias in (("total_revenue", "total_revenue"), ("avg_order_value", "avg_order_value"), ("customer_lifetime_value_avg", "avg_lifetime_value")):
+        sets = registry.resolve_sets(name)
+        for label in {r.dimension_set for r in sets.collect()}:
+            dims = label.split(",") if label else []
+            one = {tuple(r) for r in registry.resolve(name, dims).select(*dims, alias).collect()}
+            assert {tuple(r) for r in sets.where(F.col("dimension_set") == label).select(*dims, alias).collect()} == one
+    got = registry.resolve_sets("people", [[], ["channel"]])
+    assert {tuple(r) for r in got.where("dimension_set = 'channel'").select("channel", "people").collect()} == {
+        tuple(r) for r in registry.resolve("plain", ["channel"]).collect()
+    }
+    assert got.where("dimension_set = ''").first().people == registry.resolve("plain").first().plain == registry.resolve("people").first().people
+
+
+def test_the_source_is_scanned_once_and_not_copied_for_each_set(spark, raw):
+    registry = metrics.MetricRegistry(medallion.metric_tables(medallion.medallion(raw)))
+    plan = registry.resolve_sets("total_revenue")._jdf.queryExecution().optimizedPlan().toString()
+    # the copies are made above an aggregate, not above the rows
+    assert plan.count("Expand") == 1 and "Aggregate" in plan[plan.index("Expand") :]
+
+
+def test_metrics_that_cannot_be_put_together(spark, raw):
+    registry = metrics.MetricRegistry(medallion.metric_tables(medallion.medallion(raw)))
+    with pytest.raises(ValueError, match="no parts"):
+        registry.resolve_sets("weekly_active_customers")
+    with pytest.raises(ValueError, match="no dimension"):
+        registry.resolve_sets("total_revenue", [["week"]])
+    with pytest.raises(ValueError, match="put together"):
+        registry.register("m", source="valid_orders", parts=[("x", "median", "revenue")], formula="x")
+
+
+def test_broken_metric_file_names_the_place(raw):
+    pytest.importorskip("yaml")
+    registry = metrics.MetricRegistry(raw)
+    with pytest.raises(ValueError, match="line 4"):
+        registry.from_yaml("metrics:\n  - name: a\n    sql: 'SELECT 1\n")
+    assert registry.from_yaml("other: 1") == 0
+
+
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "few"])
+def test_quantile_sketch_keeps_its_rank_error(spark, kind):
+    rng = np.random.default_rng(7)
+    values = {"uniform": rng.uniform(0, 100, 30_000), "skewed": rng.lognormal(0, 2, 30_000), "few": rng.integers(0, 4, 30_000)}[kind].round(4)
+    rows = spark.createDataFrame([(f"{v:.4f}",) for v in values] + [("N/A",), (None,)], "unit_price string").repartition(8)
+    row = profile.iqr_outliers_sketch(rows).first()
+    assert row.total == 30_000
+    for bound, rank in ((row.q1, 0.25), (row.q3, 0.75)):
+        assert (values < bound).mean() <= rank + profile.SKETCH_ERROR and (values <= bound).mean() >= rank - profile.SKETCH_ERROR
+    outside = ((values < row.lower_bound) | (values > row.upper_bound)).sum()
+    assert abs(int(outside) - row.outliers) <= 2 * profile.SKETCH_ERROR * 30_000
+    assert profile.iqr_outliers_sketch(rows.limit(0)).count() == 0
+
+
+FACT_ROWS = "day date, who bigint, country string, amount decimal(10,2), hits int"
+FACT_ROLES = facts.Roles(date="day", fundraiser="who", country="country", gdv="amount", complete="who", view="hits")
+
+
+def fact_rows(spark, seed, n=300):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        who = None if rng.random() < 0.1 else int(rng.choice([rng.integers(-5, 60), rng.integers(0, 2**40)]))
+        day = None if rng.random() < 0.05 else dt.date(2024, 1, 1) + dt.timedelta(days=int(rng.integers(0, 40)))
+        rows.append((day, who, [None, "a", "b"][rng.integers(3)], None if rng.random() < 0.1 else Decimal(int(rng.integers(-500, 9000))) / 100, int(rng.integers(5))))
+    return spark.createDataFrame(rows, FACT_ROWS)
+
+
+def same_facts(a, b):
+    return sorted(map(tuple, a.select(b.columns).collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
+def test_updated_facts_equal_all_at_once(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    parts = [fact_rows(spark, seed) for seed in range(3)]
+    for batch, part in enumerate(parts):
+        facts_store.update_facts(part, "T", FACT_ROLES, path, batch)
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert same_facts(facts_store.read_facts(spark, path), facts.weekly_facts(whole, "T", FACT_ROLES))
+    # a batch that is run again under its number, with other rows, replaces itself
+    facts_store.update_facts(parts[1].where("day < '2024-01-20'"), "T", FACT_ROLES, path, 1)
+    whole = parts[0].unionByName(parts[1].where("day < '2024-01-20'")).unionByName(parts[2])
+    assert same_facts(facts_store.read_facts(spark, path), facts.weekly_facts(whole, "T", FACT_ROLES))
+    facts_store.update_facts(parts[0].where("false"), "T", FACT_ROLES, path, 3)
+    assert same_facts(facts_store.read_facts(spark, path), facts.weekly_facts(whole, "T", FACT_ROLES))
+
+
+def test_a_batch_touches_only_its_weeks(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = fact_rows(spark, 1)
+    facts_store.update_facts(rows, "T", FACT_ROLES, path, 0)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "facts" / "facts").rglob("*.parquet")}
+    week = facts_store.update_facts(rows.where("day BETWEEN '2024-01-15' AND '2024-01-21'"), "T", FACT_ROLES, path, 1)
+    assert {r.week_start_date for r in week.collect()} == {dt.date(2024, 1, 15)}
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "facts" / "facts").rglob("*.parquet")}
+    changed = {p.parent.name for p in now.keys() ^ before.keys()}
+    assert changed == {"week_start_date=2024-01-15"} and all(now[p] == t for p, t in before.items() if p in now)
+    # a week that loses all its rows goes
+    facts_store.update_facts(rows.where("day < '2024-01-08'"), "T", FACT_ROLES, path, 0)
+    weeks = {r.week_start_date for r in facts_store.read_facts(spark, path).collect()}
+    assert weeks == {dt.date(2024, 1, 1), dt.date(2024, 1, 15)}
+    with pytest.raises(ValueError, match="whole numbers"):
+        facts_store.update_facts(rows.withColumn("who", F.col("country")), "T", FACT_ROLES, path, 2)

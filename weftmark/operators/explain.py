@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftmark.config import DIMENSIONS, MONEY_METRIC, PERIOD, SERIES_KEY, DetectorParams
 from weftmark.functions.numbers import fixed, half_up, ratio, thousands
-from weftmark.functions.ordering import top_by
+from weftmark.functions.ordering import sequence_numbers, top_by
 from weftmark.functions.stats import student_two_sided_p
 from weftmark.operators.facts import facts_long
 
@@ -18,8 +18,8 @@ YIELD = "yield (average gift size)"
 ALL_COUNTRIES, ALL_DEVICES, ALL_SOURCES = "Global", "All devices", "All sources"
 NO_WARNING = "No leading indicator warnings detected."
 
-# series are dealt to so many blocks for pairing
-SERIES_BLOCKS = 16
+# series of a block, about; blocks of targets meet blocks of predictors
+BLOCK_SERIES = 64
 
 
 def latest_period(summary: DataFrame) -> Column:
@@ -133,8 +133,10 @@ def lagged_correlation(summary: DataFrame, params: DetectorParams = DetectorPara
     """Correlation of every money series with every other series some periods earlier.
 
     The periods of all series form one axis; a period missing in a series counts as 0. Each series is one row with its
-    values as an array, cut and centred once for each lag, and a pair of series is one row with a dot product. Targets
-    meet blocks of predictors, dealt by hash.
+    values as an array, cut and centred once for each lag, and a pair of series is one row with a dot product. Both sides are
+    dealt by hash to blocks whose number follows the number of series; a pair of blocks is one unit of work, so there are as many
+    units as pairs of series ask for. What reads the pairs goes on in the same task: a filter, as for significant leads, comes before
+    any shuffle.
     """
     axis = summary.agg(F.array_sort(F.collect_set(PERIOD))).scalar()
     by_period = F.map_from_entries(F.collect_list(F.struct(F.col(PERIOD), F.col("total"))))
@@ -152,25 +154,34 @@ def lagged_correlation(summary: DataFrame, params: DetectorParams = DetectorPara
     ).withColumn("n", pairs_left)
     is_money = F.col("series").contains(MONEY_METRIC)
 
-    def centred(rows: DataFrame, name: str, first: Column, block: Column) -> DataFrame:
+    names = maps.groupBy().agg(
+        F.count_if(F.upper("metric").contains(MONEY_METRIC) | F.upper("source_table").contains(MONEY_METRIC)).alias("money"), F.count("*").alias("all")
+    ).first()
+    wide, high = (max(1, -(-(n or 0) // BLOCK_SERIES)) for n in (names["money"], names["all"]))
+
+    def centred(rows: DataFrame, name: str, first: Column, dealt: int, others: int) -> DataFrame:
         """The part of each series that pairs under a lag, less its mean, and the length of that vector."""
         zero = F.lit(0.0)
-        rows = rows.select("series", "lag_weeks", "n", F.slice("v", first, F.col("n")).alias("part"), block.alias("block"))
+        rows = rows.select("series", "lag_weeks", "n", F.slice("v", first, F.col("n")).alias("part"))
         mean = F.aggregate("part", zero, lambda total, x: total + x) / F.col("n")
         rows = rows.withColumn("mean", mean).withColumn("c", F.transform("part", lambda x: x - F.col("mean")))
         length = F.sqrt(F.aggregate("c", zero, lambda total, x: total + x * x))
-        return rows.select(F.col("series").alias(name), "lag_weeks", "n", "block", F.col("c").alias(f"c_{name}"), length.alias(f"l_{name}"))
-
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(SERIES_BLOCKS - 1)))
-    dealt = F.pmod(F.xxhash64("series"), F.lit(SERIES_BLOCKS)).cast("int")
-    targets = centred(dense.where(is_money), "target_metric", F.col("lag_weeks") + 1, blocks)
-    predictors = centred(dense.where(~is_money), "predictor_metric", F.lit(1), dealt)
+        rows = rows.withColumn("length", length).withColumn("own", F.pmod(F.xxhash64("series"), F.lit(dealt)).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        unit = ("own", "other") if name == "target_metric" else ("other", "own")
+        return rows.select(
+            F.col("series").alias(name), "lag_weeks", "n", F.col(unit[0]).alias("across"), F.col(unit[1]).alias("down"),
+            F.col("c").alias(f"c_{name}"), F.col("length").alias(f"l_{name}"),
+        )
+
+    targets = centred(dense.where(is_money), "target_metric", F.col("lag_weeks") + 1, wide, high)
+    predictors = centred(dense.where(~is_money), "predictor_metric", F.lit(1), high, wide)
     dot = F.aggregate(
         F.zip_with("c_predictor_metric", "c_target_metric", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x
     )
     # corr() itself divides by zero on constant input
     r = F.coalesce(F.try_divide(dot, F.col("l_predictor_metric") * F.col("l_target_metric")), F.lit(0.0))
-    return targets.drop("n").join(predictors, ["lag_weeks", "block"]).select(
+    return targets.drop("n").join(predictors, ["lag_weeks", "across", "down"]).select(
         "predictor_metric",
         "target_metric",
         "lag_weeks",
@@ -248,22 +259,12 @@ def early_warnings(summary: DataFrame, indicators: DataFrame) -> DataFrame:
 
 def warning_lines(warnings: DataFrame) -> DataFrame:
     """The warnings as text lines, largest projected impact first; one line says so if there are none."""
-    by = Window.orderBy(F.round(F.abs("projected_impact_value"), 6).desc(), "predictor_metric", "target_metric", "lag_weeks")
-    lines = warnings.select(F.row_number().over(by).alias("line"), F.concat_ws(" ", "narrative", "recommended_action").alias("text"))
+    order = F.struct("predictor_metric", "target_metric", "lag_weeks")
+    text = F.concat_ws(" ", "narrative", "recommended_action")
+    rows = warnings.select(
+        F.lit(0).alias("all"), F.coalesce(-F.round(F.abs("projected_impact_value"), 6), F.lit(0.0)).alias("by"), order.alias("tie"), text.alias("text")
+    )
+    # numbered in ranges, since warnings grow with the pairs of series
+    lines = sequence_numbers(rows, "all", "by", "tie", "line").select(F.col("line").cast("int").alias("line"), "text")
     none = warnings.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("line"), F.lit(NO_WARNING).alias("text"))
     return lines.unionByName(none)
-
-
-def yoy_comparison(summary: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
-    """The same series exactly 52 weeks earlier; a null or zero prior value is left out."""
-    before = summary.select(
-        *SERIES_KEY,
-        F.date_add(F.col(PERIOD), 7 * params.yoy_weeks).alias(PERIOD),
-        F.col("actual").alias("actual_yoy"),
-    ).where(F.col("actual_yoy") != 0)
-    change = (F.col("actual") - F.col("actual_yoy")) / F.col("actual_yoy") * 100
-    return (
-        summary.join(before, [*SERIES_KEY, PERIOD])
-        .select(*SERIES_KEY, PERIOD, "actual", "actual_yoy", change.alias("yoy_pct_diff"))
-        .where(F.col("yoy_pct_diff").isNotNull())
-    )

@@ -36,7 +36,7 @@ class Roles:
         return cls(**{role: pick_role(df.schema, role, keywords) for role in keywords})
 
 
-def _count_or_sum(df: DataFrame, column: str | None) -> Column:
+def count_or_sum(df: DataFrame, column: str | None) -> Column:
     if column is None:
         return F.lit(None).cast("double")
     if df.schema[column].dataType.typeName() in ("string", "date", "timestamp", "timestamp_ntz", "boolean"):
@@ -44,7 +44,7 @@ def _count_or_sum(df: DataFrame, column: str | None) -> Column:
     return F.sum(column)
 
 
-def _within(df: DataFrame, column: str, until: str | None, lookback_weeks: int | None) -> Column:
+def within(df: DataFrame, column: str, until: str | None, lookback_weeks: int | None) -> Column:
     """Whether a date column has a value inside [until - lookback, until).
 
     The bounds take the type of the column, so that on a stored date or timestamp they reach the scan.
@@ -73,8 +73,8 @@ def _aggregate(df: DataFrame, rows: DataFrame, moment: Column, source: Column, r
         "gdv": optional(roles.gdv, lambda c: safe_number_sum(df, c)),
         "nac2": optional(roles.nac2, F.count),
         "completes": optional(roles.complete, F.count),
-        "views": _count_or_sum(df, roles.view),
-        "clicks": _count_or_sum(df, roles.click),
+        "views": count_or_sum(df, roles.view),
+        "clicks": count_or_sum(df, roles.click),
         "cost": optional(roles.cost, lambda c: safe_number_sum(df, c)),
     }
     start_of = week_of(moment) if period == "week" else F.to_date(F.date_trunc(period, moment))
@@ -105,7 +105,7 @@ def weekly_facts(
     """
     if roles.date is None:
         return None
-    rows = df.where(_within(df, roles.date, until, lookback_weeks))
+    rows = df.where(within(df, roles.date, until, lookback_weeks))
     return _aggregate(df, rows, safe_timestamp(df, roles.date), F.lit(source), roles, period)
 
 
@@ -127,7 +127,7 @@ def weekly_facts_by_dates(
         *[
             F.struct(
                 F.lit(source).alias("_source"),
-                F.when(_within(df, column, until, lookback_weeks), safe_timestamp(df, column)).alias("_moment"),
+                F.when(within(df, column, until, lookback_weeks), safe_timestamp(df, column)).alias("_moment"),
             )
             for source, column in dates.items()
         ]

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from weftmark.config import DetectorParams
+from weftmark.functions.numbers import price
 from weftmark.operators import clean, gate, marts, metrics, profile
 from weftmark.plans import inputs, medallion, sql
 from weftmark.plans.registry import comparable, query, snap_sql
@@ -552,6 +553,41 @@ def metric_registry(spark, sf_dir):
     return profile.union_all([cut("channel"), cut("country"), own, grouped])
 
 
+def _set_sql(metric: str, value: str, country: bool) -> str:
+    """All sets of channel and, if wanted, country."""
+    sets = "(), (channel), (country), (channel, country)" if country else "(), (channel)"
+    name = "concat_ws(',', CASE WHEN grouping(channel) = 0 THEN 'channel' END"
+    name += ", CASE WHEN grouping(country) = 0 THEN 'country' END)" if country else ")"
+    return f"""SELECT '{metric}' AS metric, {name} AS dimension_set, channel, {"country" if country else "NULL AS country"}, {value} AS value
+      FROM homed GROUP BY GROUPING SETS ({sets})"""
+
+
+@query(
+    "metric_registry_sets",
+    _GOLD.rstrip() + """, homed AS (
+        SELECT v.*, country FROM valid v LEFT JOIN (SELECT customer_id, min(country) AS country FROM silver_customers GROUP BY 1) USING (customer_id))
+      """ + sql.union_columns([
+        _set_sql("total_revenue", "CAST(round(sum(revenue), 2) AS DOUBLE)", True),
+        _set_sql("avg_order_value", "floor(CAST(sum(revenue) AS DOUBLE) / count(revenue) * 100 + 0.5) / 100", False),
+        _set_sql("active_customers", "CAST(count(DISTINCT customer_id) AS DOUBLE)", True),
+    ]),
+)
+def metric_registry_sets(spark, sf_dir):
+    """All sets of dimensions of three metrics, one of which counts distinct customers."""
+    registry = _registry(spark, sf_dir)
+    registry.register(
+        "active_customers", source="valid_orders", wide_source="valid_orders_by_country", dimensions=("channel", "country"),
+        parts=[("customers", "distinct", "customer_id")], formula="customers",
+    )
+
+    def sets(name):
+        found = registry.resolve_sets(name)
+        country = F.col("country") if "country" in found.columns else F.lit(None).cast("string")
+        return found.select(F.lit(name).alias("metric"), "dimension_set", "channel", country.alias("country"), F.col(name).alias("value"))
+
+    return profile.union_all([sets(n) for n in ("total_revenue", "avg_order_value", "active_customers")])
+
+
 # -- profiling --------------------------------------------------------------------------------------------------
 
 
@@ -627,6 +663,28 @@ def _findings(df):
     return comparable(df, 2, size=5)
 
 
+@query(
+    "iqr_outliers_sketch",
+    sql.with_(sql.SILVER_ORDERS) + "SELECT count(unit_price) AS total, true AS ranks_within FROM silver_orders",
+)
+def iqr_outliers_sketch(spark, sf_dir):
+    """The sketch's quartiles and outlier count, held against their exact ranks in the data."""
+    orders, error = inputs.raw_orders(spark, sf_dir), profile.SKETCH_ERROR
+    prices = orders.select(price(F.col("unit_price")).cast("double").alias("p")).where("p IS NOT NULL")
+    rows = prices.withColumn("s", profile.iqr_outliers_sketch(orders).select(F.struct("*")).scalar())
+
+    def share(condition):
+        return F.count_if(condition) / F.count("*")
+
+    near = [
+        (share(F.col("p") < F.col(f"s.{c}")) <= rank + error) & (share(F.col("p") <= F.col(f"s.{c}")) >= rank - error)
+        for c, rank in (("q1", 0.25), ("q3", 0.75))
+    ]
+    outside = share((F.col("p") < F.col("s.lower_bound")) | (F.col("p") > F.col("s.upper_bound")))
+    counted = F.abs(outside - F.max("s.outliers") / F.count("*")) <= 2 * error
+    return rows.agg(F.max("s.total").alias("total"), (near[0] & near[1] & counted).alias("ranks_within"))
+
+
 @query("pct_change_anomalies", sql.with_(_PAIRS) + _finding_columns("pct"))
 def pct_change_anomalies(spark, sf_dir):
     return _findings(profile.pct_change_anomalies(inputs.raw_orders(spark, sf_dir)))
