@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from fractions import Fraction
 from itertools import product
@@ -172,3 +173,60 @@ def test_every_cell_can_hold_the_cut(spark, monkeypatch):
         taken[s] = taken.get(s, 0) + r["taken"]
     for r in got:
         assert abs(taken["ab"[r["doc_id"] % 2]] - r["target"]) <= 2
+
+
+def residual(patterns, members, quotas, routes, repeats=2):
+    """What a flow leaves open: (from, to, cost) of every way that a word more could take."""
+    arcs = []
+    for p, words_of_p in patterns.items():
+        taken = sum(routes.get((p, s), 0) for s in members[p])
+        for k in range(repeats):
+            used = min(max(taken - k * words_of_p, 0), words_of_p)
+            arcs += [("start", p, k)] * (used < words_of_p) + [(p, "start", -k)] * (used > 0)
+        for s in members[p]:
+            arcs += [(p, ("s", s), 0)] + [(("s", s), p, 0)] * (routes.get((p, s), 0) > 0)
+    for s, quota in quotas.items():
+        got = sum(f for (_, x), f in routes.items() if x == s)
+        assert got <= quota
+        arcs += [(("s", s), "goal", 0)] * (got < quota) + [("goal", ("s", s), 0)] * (got > 0)
+    return arcs
+
+
+def test_overlapping_sources_get_the_cheapest_of_the_largest_flows(spark, sf_dir):
+    """No word more can be routed, and no routed word can go a cheaper way: the two marks of such a flow."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    rows = QUERIES["mixing_overlaps"](spark, sf_dir).collect()
+    sets = {r["doc_id"]: sorted(f"{k}:{r[k]}" for k in ("source", "lang") if r[k] is not None) for r in docs}
+    sizes = {r["doc_id"]: words(r["text"]) for r in docs}
+    assert {r["doc_id"]: r["size"] for r in rows} == sizes and len(rows) == len(docs)
+    patterns, members, routes, taken = {}, {}, {}, {}
+    for r in rows:
+        p = r["pattern"]
+        assert p == json.dumps(sets[r["doc_id"]] or [None], separators=(",", ":"), ensure_ascii=False)
+        members[p] = sets[r["doc_id"]] or [None]
+        patterns[p] = patterns.get(p, 0) + r["size"]
+        taken[p] = taken.get(p, 0) + r["taken"]
+        routes.update({(p, x["source"]): x["words"] for x in r["routes"]})
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    source_sizes = {}
+    for p, sources in members.items():
+        for s in sources:
+            source_sizes[s] = source_sizes.get(s, 0) + patterns[p]
+    quotas = {s: int(t) for s, t in mixing.source_targets(source_sizes).items()}
+    assert len(members) > len(source_sizes) > 4
+    arcs = residual(patterns, members, quotas, routes)
+    nodes = {x for a, b, _ in arcs for x in (a, b)}
+    reached = {"start"}
+    for _ in nodes:
+        reached |= {b for a, b, _ in arcs if a in reached}
+    assert "goal" not in reached
+    cost = dict.fromkeys(nodes, 0)
+    for _ in range(len(nodes) + 1):
+        better = [(b, cost[a] + c) for a, b, c in arcs if cost[a] + c < cost[b]]
+        for b, c in better:
+            cost[b] = min(cost[b], c)
+    assert not better
+    # whole documents come near the words that the flow takes of each pattern
+    for p in patterns:
+        wanted = sum(routes.get((p, s), 0) for s in members[p])
+        assert abs(taken[p] - wanted) <= max(0.05 * patterns[p], 40)

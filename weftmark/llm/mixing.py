@@ -247,7 +247,8 @@ def plan_mix(docs: DataFrame, by: str = "source", seed: int = SEED, repeats: int
     ends_in = starts.join(patterns, "_pattern").where(
         (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("words"))
     ).select("_pattern", "_cell", "start", "rest")
-    order = Window.partitionBy("_pattern").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # by cell too, as the join before it: one cell of each pattern
+    order = Window.partitionBy("_pattern", "_cell").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
     cuts = (
         sizes.join(ends_in, ["_pattern", "_cell"])
@@ -306,6 +307,17 @@ def mix_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
+def mix_by_sources(docs: DataFrame, by: str = "sources", seed: int = SEED) -> DataFrame:
+    """doc_id, pattern, size, routes and taken of documents that may belong to several sources.
+
+    ``routes`` has the words that each source gets from all documents of the pattern.
+    """
+    sizes, mix = plan_mix(docs, by, seed)
+    return _decided(sizes, mix).select(
+        "doc_id", F.col("_pattern").alias("pattern"), "size", "routes", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
 def take(docs: DataFrame, by: str = "source", seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
     sizes, mix = plan_mix(docs, by, seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftmark.llm import sql
 from weftmark.session import workspace
@@ -66,6 +67,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_by_source(table(spark, sf_dir, "documents"))
 
 
+@query("mixing_overlaps")
+def mixing_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document belongs to its source and to its language, so the words of a pattern are routed to both by the flow."""
+    from weftmark.llm.mixing import mix_by_sources
+
+    docs = table(spark, sf_dir, "documents")
+    named = F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang")))
+    return mix_by_sources(docs.select("doc_id", "text", named.alias("sources")))
+
+
 @query("op8_substrings")
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftmark.llm.substrings import repeat_digests
