@@ -8,7 +8,7 @@ from weftmark.config import METRICS, PERIOD
 from weftmark.operators import detect, explain, facts, facts_store, impact
 from weftmark.plans import detector, inputs, sql
 from weftmark.plans.registry import comparable, query, snap_sql
-from weftmark.session import workspace
+from weftmark.session import materialize, workspace
 
 # digits of the comparison grid: counts and money coarse, ratios fine
 _VALUE_DIGITS = {"fundraisers": 2, "gdv": 2, "nac2": 2, "completes": 2, "views": 2, "clicks": 2, "cost": 3}
@@ -36,7 +36,7 @@ def weekly_facts(spark, sf_dir):
 )
 def weekly_facts_updated(spark, sf_dir):
     """Facts kept up to date over three batches: older weeks, newer weeks, and what came late for the last half year."""
-    path, lines = workspace(spark, "facts-store"), inputs.fact_lines(spark, sf_dir)
+    path, lines = workspace(spark, "facts-store"), materialize(inputs.fact_lines(spark, sf_dir), "fact-lines")
     recent = F.col("order_date") >= lines.agg(F.date_sub(F.max("order_date"), 182)).scalar()
     late = recent & (F.pmod(F.xxhash64("order_id", "product_id"), F.lit(10)) == 0)
     middle = lines.agg(F.date_add(F.min("order_date"), (F.datediff(F.max("order_date"), F.min("order_date")) / 2).cast("int"))).scalar()
