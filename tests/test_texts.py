@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftmark.functions.stats import char_entropy
+from weftmark.functions.stats import char_entropy, text_entropy
 from weftmark.operators import pii, runlog
 
 # Two hits and one noise value per category; the column name holds a keyword.
@@ -128,10 +128,11 @@ def test_long_text_is_searched_to_its_end(spark):
     }
 
 
-def test_entropy(spark):
+@pytest.mark.parametrize("form", [char_entropy, text_entropy])
+def test_entropy(spark, form):
     words = ["", "aaaa", "ab", "abcd", "héllo wörld", "日本語日本", "😀😀a😁", "ab" * 50_000, None]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, s string")
-    got = {r.i: r.e for r in df.select("i", char_entropy(F.col("s")).alias("e")).collect()}
+    got = {r.i: r.e for r in df.select("i", form(F.col("s")).alias("e")).collect()}
     for i, w in enumerate(words):
         if w is None:
             assert got[i] is None

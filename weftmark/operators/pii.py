@@ -67,6 +67,8 @@ _NO_DIGIT = r"(?U)(?<!\S)[^\s\d]++(?!\S)(?:\s++[^\s\d]++(?!\S))*+"
 _NO_AT = r"(?U)(?<!\S)[^\s@]++(?!\S)(?:\s++[^\s@]++(?!\S))*+"
 # Stands for such a run: no match holds it, and \b sees the same beside it as beside the run with its white space.
 _LEFT_OUT = "#"
+# What a text holds if any rule can match in it.
+_SOMETHING = r"(?U)[\d@]|http|sk-|AKIA|ghp_|AIza"
 ENTROPY_CHECKED = ("credit_card", "api_key", "password_hash")
 MIN_ENTROPY = 0.1
 MIN_ZIP_LENGTH = 5
@@ -124,39 +126,49 @@ def keep_match(category: Column, match: Column) -> Column:
     return ~(dull | short)
 
 
-def pii_matches(
-    df: DataFrame,
-    table: str,
-    *,
-    hints: Sequence[str] | None = None,
-    categories: Sequence[str] = CATEGORIES,
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """One row per match: table, column, category, match, and the given key columns.
-
-    Rows are unfolded three times: into their text columns, each text into its matches per category, and those
-    into single matches. One pass over a text keeps the words with digits, and another, where it has an at sign, the words with
-    one; each rule then looks only at its kind.
-    """
+def text_rows(df: DataFrame, table: str, *, hints: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per text: the given key columns, table, column and text."""
     columns = text_columns(df, hints)
     if not columns:
-        none = [F.lit("").alias(c) for c in ("column_name", "category", "match")]
+        none = [F.lit("").alias(c) for c in ("column_name", "_text")]
         return df.where("false").select(*keys, F.lit(table).alias("table_name"), *none)
     texts = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("_text")) for c in columns]
     )
-    text = F.col("_text")
+    return df.select(*keys, F.lit(table).alias("table_name"), F.inline(texts))
+
+
+def matches_in(texts: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """One row per match in ``text_rows`` of any number of tables: their other columns, category and match.
+
+    Each text is unfolded into its matches per category, and those into single matches. Texts without a digit, an at sign or the
+    beginning of a key or address drop out first. One pass over a text keeps the words with digits, and another, where it has an
+    at sign, the words with one; each rule then looks only at its kind.
+    """
+    text, own = F.col("_text"), [c for c in texts.columns if c != "_text"]
     digits, ats = F.col("_digits"), F.col("_ats")
     hits = F.array(*[F.struct(F.lit(c).alias("category"), found_in(text, c, digits, ats).alias("_found")) for c in categories])
     rows = (
-        df.select(*keys, F.inline(texts))
+        texts.where(text.rlike(_SOMETHING))
         .select("*", digit_words(text).alias("_digits"), at_words(text).alias("_ats"))
-        .select(*keys, "column_name", F.inline(hits))
-        .select(*keys, F.lit(table).alias("table_name"), "column_name", "category", F.explode("_found").alias("match"))
+        .select(*own, F.inline(hits))
+        .select(*own, "category", F.explode("_found").alias("match"))
     )
     return rows.where(keep_match(F.col("category"), F.col("match")))
 
 
+def pii_matches(
+    df: DataFrame,
+    table: str,
+    *,
+    hints: Sequence[str] | None = None,
+    categories: Sequence[str] = CATEGORIES,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """One row per match in one table: the given key columns, table_name, column_name, category, match."""
+    return matches_in(text_rows(df, table, hints=hints, keys=keys), categories)
+
+
 def _any_keyword(category: str, column: Column) -> Column:
     hit = F.lit(False)
     for word in RULES[category][2]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftmark.functions.stats import char_entropy
+from weftmark.functions.stats import text_entropy
 from weftmark.operators import candidates, pii, runlog, vectors
 from weftmark.operators.profile import union_all
 from weftmark.plans import inputs, sql
@@ -88,8 +88,8 @@ def _sources(spark, sf_dir, names=tuple(_TABLES)):
 
 @query("pii_scan", _report_sql(list(_COLUMNS)))
 def pii_scan(spark, sf_dir):
-    found = union_all([pii.pii_matches(df, name) for name, df in _sources(spark, sf_dir).items()])
-    return comparable(pii.pii_report(found))
+    texts = union_all([pii.text_rows(df, name) for name, df in _sources(spark, sf_dir).items()])
+    return comparable(pii.pii_report(pii.matches_in(texts)))
 
 
 _HINTED = {
@@ -101,14 +101,14 @@ _HINTED_COLUMNS = [(t, c) for t, hints in _HINTED.items() for c in hints if (t,
 @query("pii_column_hints", _report_sql(_HINTED_COLUMNS))
 def pii_column_hints(spark, sf_dir):
     tables = _sources(spark, sf_dir, _HINTED)
-    found = union_all([pii.pii_matches(tables[t], t, hints=h) for t, h in _HINTED.items()])
-    return comparable(pii.pii_report(found))
+    texts = union_all([pii.text_rows(tables[t], t, hints=h) for t, h in _HINTED.items()])
+    return comparable(pii.pii_report(pii.matches_in(texts)))
 
 
 def _category_query(category: str) -> None:
     def build(spark, sf_dir):
-        found = [pii.pii_matches(df, t, categories=[category]) for t, df in _sources(spark, sf_dir).items()]
-        return union_all(found).groupBy("table_name", "column_name", "match").agg(F.count("*").alias("matches"))
+        texts = union_all([pii.text_rows(df, t) for t, df in _sources(spark, sf_dir).items()])
+        return pii.matches_in(texts, [category]).groupBy("table_name", "column_name", "match").agg(F.count("*").alias("matches"))
 
     text = sql.with_(_kept_sql(list(_COLUMNS), [category]))
     query(
@@ -128,7 +128,7 @@ for _category in pii.CATEGORIES:
 )
 def entropy_of_documents(spark, sf_dir):
     documents = inputs.read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return comparable(documents.select("doc_id", char_entropy(F.col("text")).alias("entropy")), 6)
+    return comparable(documents.select("doc_id", text_entropy(F.col("text")).alias("entropy")), 6)
 
 
 _CHECKED = ["credit_card", "api_key", "password_hash", "zip_code"]
