@@ -234,14 +234,42 @@ def plain_grams(text):
     return counts
 
 
-@pytest.mark.parametrize("text", ["a", "ab ba ab", "Straße, ÄÖÜ 12 été", "мир и 你好", prose(3, 400)])
-def test_top_grams_are_the_most_frequent(text):
+def gram_code(g):
     a = language.ALPHABET
+    return (g[0], *(g[0] * a + g[1] + 2 * a * a for _ in g[1:2]), *((g[0] * a + g[1]) * a + g[2] + 4 * a * a for _ in g[2:3]))[len(g) - 1]
+
+
+def ranked(counts, size):
+    return sorted(counts, key=lambda g: (-counts[g], gram_code(g)))[:size]
+
+
+def test_op7_equals_plain_profiles(spark, sf_dir):
+    """Every document of the smallest table: profiles counted gram by gram, and distances rank by rank."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    totals: dict[str, dict] = {}
+    own = {r["doc_id"]: plain_grams(r["text"] or "") for r in docs}
+    for r in docs:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learned = totals.setdefault(r["lang"], {})
+            for g, n in own[r["doc_id"]].items():
+                learned[g] = learned.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(ranked(counts, language.PROFILE))} for lang, counts in totals.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op7_language"](spark, sf_dir).collect()}
+    for r in docs:
+        top = ranked(own[r["doc_id"]], language.PROFILE)
+        if not top:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        off = {
+            lang: sum(abs(profile[g] - i) if g in profile else language.PROFILE for i, g in enumerate(top)) for lang, profile in profiles.items()
+        }
+        best = min(sorted(off), key=off.get)
+        assert got[r["doc_id"]] == (best, pytest.approx(1 - off[best] / (language.PROFILE * len(top))))
 
-    def code(g):
-        return (g[0], *(g[0] * a + g[1] + 2 * a * a for _ in g[1:2]), *((g[0] * a + g[1]) * a + g[2] + 4 * a * a for _ in g[2:3]))[len(g) - 1]
 
-    counts = {code(g): n for g, n in plain_grams(text).items()}
+@pytest.mark.parametrize("text", ["a", "ab ba ab", "Straße, ÄÖÜ 12 été", "мир и 你好", prose(3, 400)])
+def test_top_grams_are_the_most_frequent(text):
+    counts = {gram_code(g): n for g, n in plain_grams(text).items()}
     want = sorted(counts, key=lambda c: (-counts[c], c))[:50]
     assert language.top_grams(text, 50).tolist() == want
 

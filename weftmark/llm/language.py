@@ -9,6 +9,7 @@ that are left. Profiles count the n-grams of all documents that are not held out
 code, ties of distance to the smaller language by code point.
 
 A text that is null or has no letter gets ``und`` and score 0. Without any document to learn from, every text gets ``und``.
+A text of any length is read whole and is a slice of its own where it is longer than one; it takes about 40 bytes for each letter.
 Rows with null lang are not learned from, but predicted. Repeated rows count each. Extra columns are not read.
 """
 

@@ -7,6 +7,7 @@ Its output, runs of pieces of one length that go to consecutive sequences, says
 lies; the numbering of pieces and the lookup are distributed. The result is that of best fit decreasing over all pieces
 at once, piece after piece.
 
+A text of any length is encoded whole and cut into pieces of ``capacity``; one longer than a slice is encoded alone.
 Null and empty texts have the end id alone and are packed as pieces of one id. Repeated rows are packed each. Extra
 columns of the input, whatever their names, are not read. An empty input gives an empty table.
 """

@@ -11,7 +11,7 @@ Only distinct fingerprints take part. A cell gives the links of a spanning fores
 cell of over ``CELL_ROWS`` rows is cut into blocks, and each pair of blocks is a unit of work of its own.
 
 Words are runs of other characters than blank, tab, line feed, vertical tab, form feed and carriage return; A-Z are
-lower-cased. A text without words (null, empty) has fingerprint zero and is linked like any other. Rows with a null doc_id
+lower-cased. A text of any length is read whole, a long one alone, with some 60 bytes for each word. A text without words (null, empty) has fingerprint zero and is linked like any other. Rows with a null doc_id
 take part, but never name a component unless all of its rows have none. Extra columns are not read. An empty input gives an
 empty table.
 """

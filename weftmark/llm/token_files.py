@@ -6,6 +6,7 @@ documents, each in ``width`` bits (the fewest that hold every id of the vocabula
 unpack single blocks with numpy. Segments and the documents in them are in ascending order of doc_id (null first);
 ``shard`` and ``segment`` number them. ``shards`` has the place of each shard's first id among all ids.
 
+A text of any length is encoded whole; one longer than a slice is encoded alone, and its ids are one segment, however many.
 Null and empty texts have the end id alone. Rows with the same doc_id are kept, ordered by text. Extra columns of the
 input, whatever their names, are not read. An empty input gives empty tables.
 """
