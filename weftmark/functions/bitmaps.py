@@ -12,14 +12,16 @@ _PAGE_BITS = 1 << 15
 
 
 def rows_in_map(
-    df: DataFrame, key: Column, hashes: DataFrame, value: str, bits_each: int = BITS_EACH, always: Column | None = None
+    df: DataFrame, key: Column, hashes: DataFrame, value: str, bits_each: int = BITS_EACH, always: Column | None = None,
+    count: int | None = None,
 ) -> DataFrame:
     """Rows whose 64-bit hash ``key`` may be in the column ``value`` of ``hashes``, and those where ``always`` holds.
 
-    Rows with a null key are left out otherwise. Every hash sets the bit of its remainder in a map that is sent to all tasks. The map grows with the number of hashes up
-    to a fixed size; beyond it more rows pass by chance, and none with a partner is lost. The columns of ``df`` stay as they are.
+    Other rows with a null key are left out. Every hash sets the bit of its remainder in a map that is sent to all tasks. The map grows
+    with the number of hashes (``count``, if known) up to a fixed size; beyond it more rows pass by chance, and none with a partner
+    is lost. The columns of ``df`` stay as they are.
     """
-    bits = max(_PAGE_BITS, min(BITS_MOST, 1 << (hashes.count() * bits_each).bit_length()))
+    bits = max(_PAGE_BITS, min(BITS_MOST, 1 << ((hashes.count() if count is None else count) * bits_each).bit_length()))
 
     def place(of: Column) -> Column:
         return F.pmod(of.cast("bigint"), F.lit(bits).cast("bigint"))

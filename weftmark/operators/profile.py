@@ -89,11 +89,11 @@ def _row_hashes(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns, nulls), F.xxhash64(nulls, *reversed(columns))]
 
 
-def repeated_rows(df: DataFrame, hashes: DataFrame) -> DataFrame:
+def repeated_rows(df: DataFrame, hashes: DataFrame, count: int | None = None) -> DataFrame:
     """(rows, distinct) among the rows that have one of the repeated ``hashes`` (h1, h2); rows are compared as a whole."""
     columns = [f"c{i}" for i in range(len(df.columns))]
     own = df.toDF(*columns).select("*", *[h.alias(n) for h, n in zip(_row_hashes(df.toDF(*columns)), ("h1", "h2"))])
-    groups = rows_in_map(own, F.col("h1"), hashes, "h1").groupBy(*columns).agg(F.count("*").alias("n"))
+    groups = rows_in_map(own, F.col("h1"), hashes, "h1", count=count).groupBy(*columns).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct"))
 
 
@@ -112,8 +112,8 @@ def duplicate_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     repeated = materialize(counts.select("table_name", "h1", "h2"), "repeated")
     none = spark.createDataFrame([], "table_name string, value bigint")
     found = [none]
-    for (name,) in repeated.select("table_name").distinct().collect():  # a name for each table at most
-        here = repeated_rows(tables[name], repeated.where(F.col("table_name") == name).select("h1", "h2"))
+    for name, count in repeated.groupBy("table_name").count().collect():  # a row for each table at most
+        here = repeated_rows(tables[name], repeated.where(F.col("table_name") == name).select("h1", "h2"), count)
         found.append(here.select(F.lit(name).alias("table_name"), (F.col("rows") - F.col("distinct")).alias("value")))
     return union_all(found).where("value > 0").select(
         "table_name", F.lit("duplicate_rows").alias("check"), "value", F.lit("medium").alias("severity")
