@@ -445,3 +445,16 @@ def test_a_batch_touches_only_its_weeks(spark, tmp_path):
     assert weeks == {dt.date(2024, 1, 1), dt.date(2024, 1, 15)}
     with pytest.raises(ValueError, match="whole numbers"):
         facts_store.update_facts(rows.withColumn("who", F.col("country")), "T", FACT_ROLES, path, 2)
+
+
+def test_fact_rows_are_dealt_by_fundraiser(spark, sf_dir, monkeypatch):
+    """Tasks follow the number of rows, each fundraiser stands in one of them, and no row is lost."""
+    monkeypatch.setattr(facts, "TASK_ROWS", 500)
+    rows = inputs.fact_lines(spark, sf_dir)
+    lines = inputs.read(spark, sf_dir, "lineitem").count()
+    assert rows.rdd.getNumPartitions() >= lines / 500 > 4
+    places = rows.select("customer_id", F.spark_partition_id().alias("task")).distinct()
+    assert places.count() == rows.select("customer_id").distinct().count()
+    monkeypatch.setattr(facts, "TASK_ROWS", 1 << 20)
+    assert rows.count() == inputs.fact_lines(spark, sf_dir).count()
+    assert inputs.event_rows(spark, sf_dir).count() == inputs.read(spark, sf_dir, "events").count()
