@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftmark.functions.stats import char_entropy, text_entropy
 from weftmark.operators import pii, runlog
+from weftmark.plans import inputs, text_queries
 
 # Two hits and one noise value per category; the column name holds a keyword.
 SAMPLES = {
@@ -151,3 +152,28 @@ def test_routing_order_default_and_phrases(spark):
     assert got[3].routes == list(runlog.ROUTING_HINTS)
     assert got[4].routes == ["quality", "analytics"]  # a tie keeps the label order
     assert got[5].routes == ["sql"]
+
+
+def test_short_texts_are_dealt_by_rows(spark, sf_dir, monkeypatch):
+    """Tasks over tables of short texts follow the number of rows, and no row is lost."""
+    monkeypatch.setattr(pii, "TASK_ROWS", 20)
+    dealt = text_queries._sources(spark, sf_dir, ("customer", "supplier", "part", "customers", "contacts"))
+    for name, df in dealt.items():
+        n = df.count()
+        assert df.rdd.getNumPartitions() >= min(n, 140) / 20, name
+    read = {name: inputs.read(spark, sf_dir, name).count() for name in ("customer", "supplier", "part")}
+    assert {name: df.count() for name, df in dealt.items()} == {
+        **read, "customers": inputs.raw_customers(spark, sf_dir).count(), "contacts": read["customer"],
+    }
+
+
+def test_raw_matches_are_those_before_the_rules(spark):
+    texts = ["A123", "a@b.c", "", None, "x", "1111-1111-1111-1111 and 12345", "sk-" + "a" * 20 + " 1234", "4000-1234-0001-5678", "é12345"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = pii.text_rows(df, "t")
+    raw = Counter((r.category, r.match) for r in pii.raw_matches_in(rows).collect())
+    want = Counter()
+    for row in df.select(*[pii.found(F.col("t"), c).alias(c) for c in pii.CATEGORIES]).collect():
+        want.update((c, m) for c in pii.CATEGORIES for m in row[c] or [])
+    assert raw == want and raw["credit_card", "1111-1111-1111-1111"] == 1 and raw["driver_license", "A123"] == 1
+    assert ("credit_card", "1111-1111-1111-1111") not in {(r.category, r.match) for r in pii.matches_in(rows).collect()}

@@ -72,6 +72,10 @@ _SOMETHING = r"(?U)[\d@]|http|sk-|AKIA|ghp_|AIza"
 ENTROPY_CHECKED = ("credit_card", "api_key", "password_hash")
 MIN_ENTROPY = 0.1
 MIN_ZIP_LENGTH = 5
+# The shortest match that any rule has, as a driver's license.
+MIN_MATCH = 4
+# Rows of short texts that a task searches, about.
+TASK_ROWS = 1 << 16
 
 
 def text_columns(df: DataFrame, hints: Sequence[str] | None = None) -> list[str]:
@@ -138,7 +142,21 @@ def text_rows(df: DataFrame, table: str, *, hints: Sequence[str] | None = None,
     return df.select(*keys, F.lit(table).alias("table_name"), F.inline(texts))
 
 
+def deal_short_texts(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows dealt by key to as many tasks as ``size``, their number, asks for.
+
+    Spark cuts files by compressed bytes. Of short texts such as names and numbers millions stand in one cut, and each may be a
+    match of its own that the task holds until it is counted.
+    """
+    return rows.repartition(max(1, -(-size // TASK_ROWS)), key)
+
+
 def matches_in(texts: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """``raw_matches_in`` without what the entropy and length rules drop."""
+    return raw_matches_in(texts, categories).where(keep_match(F.col("category"), F.col("match")))
+
+
+def raw_matches_in(texts: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """One row per match in ``text_rows`` of any number of tables: their other columns, category and match.
 
     Each text is unfolded into its matches per category, and those into single matches. Texts without a digit, an at sign or the
@@ -148,13 +166,12 @@ def matches_in(texts: DataFrame, categories: Sequence[str] = CATEGORIES) -> Data
     text, own = F.col("_text"), [c for c in texts.columns if c != "_text"]
     digits, ats = F.col("_digits"), F.col("_ats")
     hits = F.array(*[F.struct(F.lit(c).alias("category"), found_in(text, c, digits, ats).alias("_found")) for c in categories])
-    rows = (
-        texts.where(text.rlike(_SOMETHING))
+    return (
+        texts.where((F.octet_length(text) >= MIN_MATCH) & text.rlike(_SOMETHING))
         .select("*", digit_words(text).alias("_digits"), at_words(text).alias("_ats"))
         .select(*own, F.inline(hits))
         .select(*own, "category", F.explode("_found").alias("match"))
     )
-    return rows.where(keep_match(F.col("category"), F.col("match")))
 
 
 def pii_matches(

@@ -81,9 +81,21 @@ def _report_sql(columns, categories=pii.CATEGORIES) -> str:
       FROM kept GROUP BY table_name, column_name, category"""
 
 
+# tables of short texts most of which differ, and their keys
+_SHORT = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
+
+
 def _sources(spark, sf_dir, names=tuple(_TABLES)):
-    made = {"customers": inputs.raw_customers, "contacts": inputs.contacts}
-    return {n: made[n](spark, sf_dir) if n in made else inputs.read(spark, sf_dir, n) for n in names}
+    def source(name):
+        df = inputs.read(spark, sf_dir, "customer" if name in ("customers", "contacts") else name)
+        if name == "customers":
+            return pii.deal_short_texts(inputs.raw_customers(spark, sf_dir), "customer_id", df.count())
+        if name == "contacts":
+            # the key is dealt, before the texts are made from it
+            return inputs.contacts_of(pii.deal_short_texts(df.select("c_custkey"), "c_custkey", df.count()))
+        return pii.deal_short_texts(df, _SHORT[name], df.count()) if name in _SHORT else df
+
+    return {name: source(name) for name in names}
 
 
 @query("pii_scan", _report_sql(list(_COLUMNS)))
@@ -143,16 +155,8 @@ _CHECKED = ["credit_card", "api_key", "password_hash", "zip_code"]
 )
 def pii_entropy_filter(spark, sf_dir):
     """How many matches the entropy and length rules leave, over all texts."""
-    tagged = F.array(
-        *[F.struct(F.lit(c).alias("category"), pii.found(F.col("text"), c).alias("found")) for c in _CHECKED]
-    )
-    texts = union_all(
-        [
-            df.select(F.explode(F.array(*[F.col(f"`{c}`") for c in pii.text_columns(df)])).alias("text"))
-            for df in _sources(spark, sf_dir).values()
-        ]
-    )
-    rows = texts.select(F.inline(tagged)).select("category", F.explode("found").alias("match"))
+    texts = union_all([pii.text_rows(df, name) for name, df in _sources(spark, sf_dir).items()])
+    rows = pii.raw_matches_in(texts, _CHECKED)
     keep = pii.keep_match(F.col("category"), F.col("match"))
     return rows.groupBy("category").agg(F.count("*").alias("found"), F.count_if(keep).alias("kept"))
 
