@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,16 @@ def test_edge_vectors(spark):
     assert [(r.id, r.distance) for r in got.orderBy("rank").collect()] == [(6, 0.0), (7, 1.0), (9, pytest.approx(2**0.5))]
     assert candidates.vector_candidates_lsh(docs.where("false"), docs).count() == 0
     assert candidates.vector_candidates_lsh(docs, docs.where("false")).count() == 0
+
+
+def test_bucket_keys_are_made_in_blocks():
+    """Many probes come in batches of a bounded number of keys, for every row and as they are asked."""
+    x = np.random.default_rng(5).normal(size=(700, 6))
+    projections = candidates.Projections({6: x}, 12, 3)
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(701, dtype=np.int32) * 6), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), rows, pa.array([6] * 700, pa.int32())], names=["id", "vector", "length"])
+    out = list(candidates._hash(projections, 2, 1000)(iter([batch])))
+    assert max(sum(len(b) for b in part.column("buckets").to_pylist()) for part in out) <= 1 << 18
+    keys = {row["id"]: row["buckets"] for part in out for row in part.to_pylist()}
+    want = projections.probes(x, 1000)[:, :2] + (np.arange(2) << candidates.MAX_BITS)[:, None]
+    assert keys == {i: want[i].ravel().tolist() for i in range(700)}

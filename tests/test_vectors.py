@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftmark.operators import vectors
@@ -101,3 +104,30 @@ def test_store_of_repeats_and_of_no_rows(spark, tmp_path):
     assert vectors.count_documents(spark, path).first().documents == 3
     vectors.add_documents(docs, path)
     assert vectors.count_documents(spark, path).first().documents == 12
+
+
+def test_a_task_holds_few_distances(spark):
+    """A unit of many documents and many queries: what a worker holds besides the vectors stays below 40 MB."""
+    n, asked = 40_000, 400
+    points = np.random.default_rng(3).normal(size=(n, 8))
+
+    def batch(asks, ids):
+        flat = pa.array(points[ids].ravel())
+        vectors_of = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 8), flat)
+        fixed = [pa.array([8] * len(ids), pa.int32()), pa.array([0] * len(ids), pa.int64()), pa.array([asks] * len(ids))]
+        none = pa.array([None] * len(ids), pa.string())
+        names = ["length", "unit", "asks", "id", "vector", "category"]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(ids), vectors_of, none], names=names)
+
+    ids = np.arange(n)
+    batches = [batch(False, ids[:25_000]), batch(False, ids[25_000:]), batch(True, ids[:150]), batch(True, ids[150:asked])]
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(vectors._nearest(3, True)(iter(batches)))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert len(found) == 3 * asked
+    for q in (0, 149, 150, asked - 1):
+        distance = np.linalg.norm(points - points[q], axis=1)
+        distance[q] = np.inf
+        assert found[found.query_id == q].id.tolist() == np.argsort(distance)[:3].tolist()

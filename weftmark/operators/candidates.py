@@ -37,6 +37,8 @@ SAMPLE_QUERIES = 256
 RECALL = 0.95
 # documents of a bucket's part
 UNIT_DOCUMENTS = 8192
+# bucket keys that a task makes at a time
+BLOCK_KEYS = 1 << 18
 SEED = 11
 
 
@@ -114,17 +116,21 @@ def calibrate(projections: Projections, queries: list[np.ndarray], neighbours: l
 def _hash(projections: Projections, tables: int, probes: int | None):
     """Adds (table, bucket) of each document, or all that a query asks in."""
 
+    step = max(1, min(1024, BLOCK_KEYS // (projections.tables * (probes or 1))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("length").to_numpy()
             for length in np.unique(lengths).tolist():
                 rows = batch.filter(pa.array(lengths == length))
-                for lo in range(0, rows.num_rows, 1024):
-                    part = rows.slice(lo, 1024)
+                for lo in range(0, rows.num_rows, step):
+                    part = rows.slice(lo, step)
                     x = _matrix(part)
                     keys = projections.buckets(projections.offsets(x))[:, :, None] if probes is None else projections.probes(x, probes)
                     keys = keys[:, :tables] + (np.arange(tables, dtype=np.int64) << MAX_BITS)[:, None]
-                    cells = pa.array(keys.reshape(len(x), -1).tolist(), pa.list_(pa.int64()))
+                    keys = keys.reshape(len(x), -1)
+                    ends = np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]
+                    cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                     yield pa.RecordBatch.from_arrays([*part.columns, cells], names=[*part.schema.names, "buckets"])
 
     return run

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from weftmark.session import ship_package
 
 # documents that a task holds at a time, on average, and least documents of a unit where there are few
-UNIT_DOCUMENTS = 65_536
+UNIT_DOCUMENTS = 32_768
 SMALL_UNIT = 1024
 # distances that a task holds at a time
-BLOCK_DISTANCES = 1 << 22
+BLOCK_DISTANCES = 1 << 20
 
 UNIT = "length int, unit long, asks boolean, id long, vector array<double>, category string"
 RESULT = "query_id long, id long, distance double, category string"
@@ -36,7 +36,9 @@ class _Documents:
         step = max(1, BLOCK_DISTANCES // len(self.ids))
         for lo in range(0, len(ids), step):
             block = queries[lo : lo + step]
-            rough = self.squares - 2 * (block @ self.points.T)
+            rough = block @ self.points.T
+            rough *= -2
+            rough += self.squares
             rough[np.isnan(rough)] = np.inf
             # more than what rounding may change
             slack = 1e-9 * (np.abs(self.squares).max() + np.einsum("ij,ij->i", block, block))
@@ -74,8 +76,9 @@ def _nearest(k: int, skip_self: bool):
                     now, held, docs = unit, [], None
                 if not key[2, lo]:
                     held.append(rows)
-                elif held:
-                    docs = docs or _Documents(held)
+                elif held or docs:
+                    # the batches are let go with the matrix made
+                    docs, held = docs or _Documents(held), []
                     ids = rows.column("id").to_numpy()
                     of, at, distance = docs.nearest(ids, _matrix(rows), k, skip_self)
                     yield pa.RecordBatch.from_arrays(
