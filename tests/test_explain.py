@@ -150,6 +150,18 @@ def test_year_over_year(spark):
     assert [(r.week_start_date, r.actual_yoy, r.yoy_pct_diff) for r in rows] == [(week(52), 10.0, 50.0)]
 
 
+def test_year_over_year_leaves_out_what_has_no_change(spark):
+    """A null on either side, a zero or no value 52 weeks before; other metrics and sources are no prior value."""
+    points = [
+        ("A", "GDV", 0, 10.0), ("A", "GDV", 52, None), ("A", "GDV", 1, None), ("A", "GDV", 53, 5.0), ("A", "GDV", 2, 0.0),
+        ("A", "GDV", 54, 5.0), ("A", "VIEWS", 0, 4.0), ("A", "VIEWS", 53, 8.0), ("B", "GDV", 52, 7.0), ("A", "COST", 3, -4.0),
+        ("A", "COST", 55, 2.0),
+    ]
+    df = spark.createDataFrame([(s, week(w), m, v) for s, m, w, v in points], "source_table string, week_start_date date, metric string, actual double")
+    rows = explain.yoy_comparison(df).collect()
+    assert [tuple(r) for r in rows] == [("A", "COST", week(55), 2.0, -4.0, -150.0)]
+
+
 def impact_summary(spark):
     row = lambda m, a, b, w=9, s="CRITICAL", d="DROP", p=-50.0: ("A", week(w), m, a, b, p, -4.0, 0.8, d, s)
     return spark.createDataFrame(
