@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftmark.functions.stats import student_two_sided_p
 from weftmark.operators import detect, explain, facts, impact
+from weftmark.plans import detector
 
 MONDAY = dt.date(2024, 1, 1)
 FACTS = (
@@ -162,6 +163,16 @@ def test_year_over_year_leaves_out_what_has_no_change(spark):
     assert [tuple(r) for r in rows] == [("A", "COST", week(55), 2.0, -4.0, -150.0)]
 
 
+def test_the_detector_gives_all_outputs(spark):
+    rng = np.random.default_rng(5)
+    outputs = detector.detector_outputs(fact_rows(spark, rng.uniform(1e4, 9e4, 60), rng.integers(10, 90, 60)))
+    # eight weeks have one 52 weeks before, and two of the seven metrics are not zero there
+    counts = {name: outputs[name].count() for name in ("metric_facts", "metric_summary", "yoy_comparison")}
+    assert counts == {"metric_facts": 60, "metric_summary": 420, "yoy_comparison": 16}
+    assert {1, 2, 3, 8, 9} <= {r.section for r in outputs["executive_brief"].collect()}
+    assert len(outputs) == 13 and all(df.columns for df in outputs.values())
+
+
 def impact_summary(spark):
     row = lambda m, a, b, w=9, s="CRITICAL", d="DROP", p=-50.0: ("A", week(w), m, a, b, p, -4.0, 0.8, d, s)
     return spark.createDataFrame(
