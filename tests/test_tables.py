@@ -458,3 +458,23 @@ def test_fact_rows_are_dealt_by_fundraiser(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(facts, "TASK_ROWS", 1 << 20)
     assert rows.count() == inputs.fact_lines(spark, sf_dir).count()
     assert inputs.event_rows(spark, sf_dir).count() == inputs.read(spark, sf_dir, "events").count()
+
+
+def test_facts_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """Rows without a fundraiser, and one fundraiser with most rows; the distinct count moves dealt rows no more."""
+    rows = fact_rows(spark, 7).unionByName(fact_rows(spark, 8, 500).withColumn("who", F.lit(3).cast("bigint")))
+    want = facts.weekly_facts(rows, "T", FACT_ROLES)
+    for each, tasks in ((50, 16), (1 << 20, 1)):
+        monkeypatch.setattr(facts, "TASK_ROWS", each)
+        dealt = facts.deal_by_fundraiser(rows, "who", rows.count())
+        got = facts.weekly_facts(dealt, "T", FACT_ROLES)
+        assert dealt.rdd.getNumPartitions() == tasks and same_facts(got, want)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == min(2, tasks)
+
+
+def test_events_are_dealt_by_user(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(facts, "TASK_ROWS", 100)
+    rows = inputs.event_rows(spark, sf_dir)
+    assert rows.rdd.getNumPartitions() >= inputs.read(spark, sf_dir, "events").count() / 100 > 4
+    places = rows.select("user_id", F.spark_partition_id().alias("task")).distinct()
+    assert places.count() == rows.select("user_id").distinct().count()
