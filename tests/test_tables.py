@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import numpy as np
@@ -478,3 +479,17 @@ def test_events_are_dealt_by_user(spark, sf_dir, monkeypatch):
     assert rows.rdd.getNumPartitions() >= inputs.read(spark, sf_dir, "events").count() / 100 > 4
     places = rows.select("user_id", F.spark_partition_id().alias("task")).distinct()
     assert places.count() == rows.select("user_id").distinct().count()
+
+
+def test_lines_are_dealt_ahead_of_the_join_with_orders(spark, sf_dir, monkeypatch):
+    """The join's tasks follow the number of lines where they ask for more than Spark's; few lines are left to Spark, and rows stay."""
+
+    def dealt(rows):
+        return re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION", rows._jdf.queryExecution().executedPlan().toString())
+
+    want, lines = inputs.fact_lines(spark, sf_dir), inputs.read(spark, sf_dir, "lineitem").count()
+    assert dealt(want) == []
+    monkeypatch.setattr(facts, "TASK_ROWS", 500)
+    got = inputs.fact_lines(spark, sf_dir)
+    assert dealt(got) == [str(-(-lines // 500))] and lines > 4 * 500
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
