@@ -493,3 +493,20 @@ def test_lines_are_dealt_ahead_of_the_join_with_orders(spark, sf_dir, monkeypatc
     got = inputs.fact_lines(spark, sf_dir)
     assert dealt(got) == [str(-(-lines // 500))] and lines > 4 * 500
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_many_parts_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Parts beyond a number of rows are sorted and merged in tasks that follow the number of lines, and rows stay; fewer are left to Spark."""
+
+    def joins(rows):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"(\w+Join) \[l_partkey", plan), re.findall(r"hashpartitioning\(l_partkey#\d+L, (\d+)\), REPARTITION", plan)
+
+    monkeypatch.setattr(facts, "TASK_ROWS", 500)
+    want, raw = inputs.fact_lines(spark, sf_dir), inputs.raw_orders(spark, sf_dir)
+    assert joins(want) == joins(raw) == (["BroadcastHashJoin"], [])
+    monkeypatch.setattr(inputs, "BROADCAST_ROWS", inputs.read(spark, sf_dir, "part").count() - 1)
+    tasks = str(-(-inputs.read(spark, sf_dir, "lineitem").count() // 500))
+    for got, same in ((inputs.fact_lines(spark, sf_dir), want), (inputs.raw_orders(spark, sf_dir), raw)):
+        assert joins(got) == (["SortMergeJoin"], [tasks])
+        assert got.count() == same.count() and got.exceptAll(same).isEmpty() and same.exceptAll(got).isEmpty()
